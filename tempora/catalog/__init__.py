@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("climate",)
+_MODULES = ("climate", "summaries")
 
 
 def load():
