@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("climate", "summaries", "ingest", "models")
+_MODULES = ("climate", "summaries", "ingest", "models", "text")
 
 
 def load():
