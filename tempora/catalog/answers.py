@@ -13,6 +13,7 @@ from tempora.operators import answers as A
 from tempora.operators import climatology as C
 from tempora.operators import modeling as MD
 from tempora.operators import retrieval as R
+from tempora.session import ensure_checkpoint_dir
 from tempora.sources import star
 
 TODAY = date(2001, 11, 4)
@@ -164,8 +165,11 @@ def _(spark, path):
 
 @query("question_router", "R10 R7 R8 R9 R11 M5 J6")
 def _(spark, path):
+    # the matrix and the table answers are small results used by several branches: each is
+    # computed once and cut off by a checkpoint in the shared folder
+    ensure_checkpoint_dir(spark)
     daily = star.city_daily(spark, path)
-    m = matrix2(spark, path)
+    m = matrix2(spark, path).checkpoint()
     future = models.future(spark, path).withColumnRenamed("time", "target_date")
     ahead = future.select(F.concat(F.lit("What will the temperature be on "), F.col("target_date").cast("string"), F.lit("?")).alias(KEY))
     bench = star.table(spark, path, "benchmark").select(F.col("text").alias(KEY))
@@ -181,16 +185,14 @@ def _(spark, path):
     )
     docs = text.corpus(spark, path)
     index, idf = R.build_index(docs, "doc_id", "text")
-    answers = [
+    from_tables = A.stack_answers([
         ("forecast", A.forecast_answers(s, fc, KEY, TODAY, "the region")),
         ("year-month", A.year_month_answers(s, m, "city", KEY, BASE)),
         ("month-extreme", A.month_extreme_answers(s, as_history(m), "city", KEY, "EUROPE")),
         ("comparison", A.comparison_answers(s, as_history(m), "city", KEY)),
-    ]
-    open_qs = qs
-    for _, rel in answers:
-        open_qs = open_qs.join(rel.select(KEY), KEY, "left_anti")
+    ], KEY).checkpoint()
+    open_qs = qs.join(from_tables.select(KEY), KEY, "left_anti")
     hits = R.retrieve(index, idf, open_qs.withColumn("body", F.col(KEY)), "doc_id", KEY, "body")
     found = R.extractive_answers(R.with_documents(hits, docs, "doc_id", KEY), KEY)
     found = found.withColumn("source_title", F.element_at("sources", 1)["title"])
-    return A.route(qs, KEY, [*answers, ("retrieval", found)])
+    return A.route(qs, KEY, from_tables.unionByName(A.stack_answers([("retrieval", found)], KEY, 4)))

@@ -226,16 +226,20 @@ def forecast_answers(slots: DataFrame, forecast: DataFrame, key: str, today: dat
     }).select(key, *ANSWER_COLUMNS)
 
 
-def route(questions: DataFrame, key: str, kinds: list[tuple[str, DataFrame]]) -> DataFrame:
-    """First answer in the order of ``kinds`` for every question, else the standard refusal.
-
-    The answer relations are stacked and reduced once per question instead of being joined one
-    after the other.
-    """
+def stack_answers(kinds: list[tuple[str, DataFrame]], key: str, first_order: int = 0) -> DataFrame:
+    """All answer relations as one table, numbered by their precedence."""
     stacked = None
-    for i, (name, rel) in enumerate(kinds):
+    for i, (name, rel) in enumerate(kinds, first_order):
         part = rel.select(key, F.lit(i).alias("order"), F.lit(name).alias("kind"), *ANSWER_COLUMNS)
         stacked = part if stacked is None else stacked.unionByName(part)
+    return stacked
+
+
+def route(questions: DataFrame, key: str, stacked: DataFrame) -> DataFrame:
+    """Answer of the highest precedence for every question, else the standard refusal.
+
+    The stacked relations are reduced once per question instead of being joined one by one.
+    """
     first = stacked.groupBy(key).agg(F.min_by(F.struct("kind", *ANSWER_COLUMNS), "order").alias("a"))
     return questions.join(first, key, "left").select(
         *questions.columns,
