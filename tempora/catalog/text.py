@@ -127,8 +127,7 @@ def _(spark, path):
     with_sql(INDEX) + " SELECT term, df, idf FROM idf", "idf",
 )
 def _(spark, path):
-    docs = documents(spark, path)
-    return R.inverse_document_frequency(R.term_counts(docs, "doc_id", "text"), docs.agg(F.count("*")).scalar())
+    return R.inverse_document_frequency(documents(spark, path), "doc_id", "text")
 
 
 @query("tfidf_vectors", "R3", with_sql(INDEX) + " SELECT doc_id, term, weight FROM dv", "weight")

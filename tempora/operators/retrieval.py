@@ -8,41 +8,52 @@ from pyspark.sql import functions as F
 from tempora.functions.text import NO_ANSWER, answer_score, bigrams, first_sentences, interpretation, words
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, n, total): occurrences of each word and bigram; ``total`` counts every token.
+def _tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, w): the words of every text, after the texts were spread by their key.
 
-    The texts are hashed on their key before they are cut into tokens, so the counting needs no
-    further exchange and the many more token rows are never shuffled.
+    Texts are spread before they are cut, so the many more token rows need no exchange for
+    counting, and a single large input file still feeds all cores.
     """
-    tokens = docs.select(key, text).repartition(key).select(key, words(F.col(text)).alias("w"))
-    rows = tokens.select(key, F.explode(F.concat("w", bigrams(F.col("w")))).alias("term"),
-                         (F.size("w") + F.greatest(F.size("w") - 1, F.lit(0))).alias("total"))
+    return docs.select(key, text).repartition(key).select(key, words(F.col(text)).alias("w"))
+
+
+def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, n, total): occurrences of each word and bigram; ``total`` counts every token."""
+    rows = _tokens(docs, key, text).select(
+        key, F.explode(F.concat("w", bigrams(F.col("w")))).alias("term"),
+        (F.size("w") + F.greatest(F.size("w") - 1, F.lit(0))).alias("total"))
     return rows.groupBy(key, "term").agg(F.count("*").alias("n"), F.max("total").alias("total"))
 
 
-def inverse_document_frequency(counts: DataFrame, corpus_size: Column) -> DataFrame:
-    """Smoothed idf per term: ln((1 + N) / (1 + df)) + 1."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log((1 + F.greatest(corpus_size, F.lit(1))) / (1 + F.col("df"))) + 1.0)
+def inverse_document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Smoothed idf per term: ln((1 + N) / (1 + df)) + 1.
+
+    Each text contributes its distinct terms, so the count is combined on the map side and a
+    term of every document reaches the exchange once per task.
+    """
+    size = docs.agg(F.count("*")).scalar()
+    terms = _tokens(docs, key, text).select(F.explode(F.array_distinct(F.concat("w", bigrams(F.col("w"))))).alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    return df.withColumn("idf", F.log((1 + F.greatest(size, F.lit(1))) / (1 + F.col("df"))) + 1.0)
 
 
 def unit_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, term, weight): tf x idf scaled to unit length; terms outside the vocabulary have no weight.
 
-    The term join has no hint. A frequent term fills one join partition; adaptive execution
-    splits it, because the following exchange on the key leaves the join free to do so.
+    Both sides of the term join grow with the corpus, and their size after the token explosion
+    is unknown to the optimizer, so the join is pinned to sort-merge and never broadcast. A
+    frequent term fills one join partition; adaptive execution splits it, because the following
+    exchange on the key leaves the join free to do so.
     """
-    w = counts.join(idf.select("term", "idf"), "term").withColumn("w", F.col("n") / F.col("total") * F.col("idf"))
+    w = counts.join(idf.select("term", "idf").hint("merge"), "term").withColumn("w", F.col("n") / F.col("total") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def build_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Unit-length document vectors and the idf table of a corpus."""
-    counts = term_counts(docs, key, text)
-    size = docs.agg(F.count("*")).scalar()
-    idf = inverse_document_frequency(counts, size)
-    return unit_weights(counts, idf, key), idf
+    idf = inverse_document_frequency(docs, key, text)
+    return unit_weights(term_counts(docs, key, text), idf, key), idf
 
 
 def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
