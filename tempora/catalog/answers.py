@@ -184,7 +184,7 @@ def _(spark, path):
         .join(clim, "month_day").withColumn("year", F.year("target_date")).join(bias, "year", "left")
     )
     docs = text.corpus(spark, path)
-    index, idf = R.build_index(docs, "doc_id", "text")
+    index, vocabulary = text.stored_index(spark, path)
     from_tables = A.stack_answers([
         ("forecast", A.forecast_answers(s, fc, KEY, TODAY, "the region")),
         ("year-month", A.year_month_answers(s, m, "city", KEY, BASE)),
@@ -192,7 +192,7 @@ def _(spark, path):
         ("comparison", A.comparison_answers(s, as_history(m), "city", KEY)),
     ], KEY).checkpoint()
     open_qs = qs.join(from_tables.select(KEY), KEY, "left_anti")
-    hits = R.retrieve(index, idf, open_qs.withColumn("body", F.col(KEY)), "doc_id", KEY, "body")
+    hits = R.retrieve(index, vocabulary, open_qs.withColumn("body", F.col(KEY)), "doc_id", KEY, "body")
     found = R.extractive_answers(R.with_documents(hits, docs, "doc_id", KEY), KEY)
     found = found.withColumn("source_title", F.element_at("sources", 1)["title"])
     return A.route(qs, KEY, from_tables.unionByName(A.stack_answers([("retrieval", found)], KEY, 4)))

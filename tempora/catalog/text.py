@@ -8,6 +8,7 @@ from tempora.catalog import climate
 from tempora.catalog.base import MATRIX, query, with_sql
 from tempora.functions import text as TX
 from tempora.operators import retrieval as R
+from tempora.session import shared_dir
 from tempora.sources import star
 
 SP = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
@@ -62,10 +63,14 @@ def corpus(spark, path):
     return d.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "source", "text")
 
 
-def hits(spark, path, k=3):
-    docs = documents(spark, path)
-    index, idf = R.build_index(docs, "doc_id", "text")
-    return R.retrieve(index, idf, star.table(spark, path, "benchmark"), "doc_id", "item_id", "text", k)
+def stored_index(spark, path):
+    """Index of the documents, rebuilt in the shared folder as the first step of every retrieval query."""
+    return R.write_index(documents(spark, path), "doc_id", "text", shared_dir(spark, "index"), buckets=16)
+
+
+def hits(spark, path, k=3, frequent=10_000):
+    index, vocabulary = stored_index(spark, path)
+    return R.retrieve(index, vocabulary, star.table(spark, path, "benchmark"), "doc_id", "item_id", "text", k, frequent)
 
 
 @query("normalize_text", "F11", f"SELECT doc_id, {norm_sql('text')} AS text FROM documents")
@@ -132,7 +137,7 @@ def _(spark, path):
 
 @query("tfidf_vectors", "R3", with_sql(INDEX) + " SELECT doc_id, term, weight FROM dv", "weight")
 def _(spark, path):
-    return R.build_index(documents(spark, path), "doc_id", "text")[0]
+    return R.build_index(documents(spark, path), "doc_id", "text")
 
 
 @query(
@@ -143,6 +148,15 @@ def _(spark, path):
     return hits(spark, path).withColumn("score", F.round("score", 4))
 
 
+@query(
+    "tfidf_topk_frequent_terms", "R5 J7",
+    with_sql(INDEX, QUESTIONS) + " SELECT item_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM hits",
+)
+def _(spark, path):
+    # a low limit sends most terms down the bounded path
+    return hits(spark, path, frequent=20).withColumn("score", F.round("score", 4))
+
+
 @query(
     "dense_topk", "R6",
     """WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings),
@@ -214,11 +228,7 @@ def _(spark, path):
     return R.evaluation_rows(a).drop("answer", "n_sources")
 
 
-@query("index_refresh", "R4")
+@query("index_refresh", "R4", with_sql(INDEX) + """ SELECT term, df, max(weight) AS max_weight, idf FROM dv JOIN idf USING (term)
+  GROUP BY term, df, idf""", "max_weight idf")
 def _(spark, path):
-    from tempora.session import shared_dir
-
-    out = shared_dir(spark, "index")
-    R.write_index(documents(spark, path), "doc_id", "text", out)
-    vectors = spark.read.parquet(f"{out}/vectors")
-    return vectors.groupBy("bucket").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
+    return stored_index(spark, path)[1]

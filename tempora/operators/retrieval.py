@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.text import NO_ANSWER, answer_score, bigrams, first_sentences, interpretation, words
+from tempora.session import shared_table
 
 
 def _tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,31 +38,42 @@ def inverse_document_frequency(docs: DataFrame, key: str, text: str) -> DataFram
     return df.withColumn("idf", F.log((1 + F.greatest(size, F.lit(1))) / (1 + F.col("df"))) + 1.0)
 
 
-def unit_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): tf x idf scaled to unit length; terms outside the vocabulary have no weight.
+def _unit(w: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """tf x idf scaled to unit length per key."""
+    raw = w.withColumn("w", F.col("n") / F.col("total") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"), *carry)
+
+
+def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, weight): unit-length vectors of a corpus in long form.
 
     Both sides of the term join grow with the corpus, and their size after the token explosion
     is unknown to the optimizer, so the join is pinned to sort-merge and never broadcast. A
     frequent term fills one join partition; adaptive execution splits it, because the following
     exchange on the key leaves the join free to do so.
     """
-    w = counts.join(idf.select("term", "idf").hint("merge"), "term").withColumn("w", F.col("n") / F.col("total") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", (F.col("w") / norm).alias("weight"))
-
-
-def build_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Unit-length document vectors and the idf table of a corpus."""
     idf = inverse_document_frequency(docs, key, text)
-    return unit_weights(term_counts(docs, key, text), idf, key), idf
+    return _unit(term_counts(docs, key, text).join(idf.select("term", "idf").hint("merge"), "term"), key)
+
 
+def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Full rebuild of the stored index; returns the stored vectors and vocabulary.
 
-def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
-    """Full rebuild of the stored index, partitioned by term hash so that a question reads few folders."""
-    index, idf = build_index(docs, key, text)
+    Vectors are partitioned by term hash, so a question reads only the folders of its terms. The
+    rebalance hint sizes the files and splits the folder of a frequent term over several tasks.
+    The vocabulary (term, df, max_weight, idf) is aggregated from the stored vectors.
+    """
+    spark = docs.sparkSession
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    index.withColumn("bucket", bucket).repartition("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
-    idf.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/idf")
+    vectors = build_index(docs, key, text).withColumn("bucket", bucket)
+    vectors.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
+    stored = spark.read.parquet(f"{path}/vectors")
+    size = docs.agg(F.count("*")).scalar()
+    vocabulary = stored.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("max_weight")).withColumn(
+        "idf", F.log((1 + F.greatest(size, F.lit(1))) / (1 + F.col("df"))) + 1.0)
+    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    return stored.drop("bucket"), spark.read.parquet(f"{path}/vocabulary")
 
 
 def top_per_question(scores: DataFrame, question: str, doc: str, k: int) -> DataFrame:
@@ -71,25 +83,54 @@ def top_per_question(scores: DataFrame, question: str, doc: str, k: int) -> Data
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def question_vectors(questions: DataFrame, question: str, text: str, idf: DataFrame) -> DataFrame:
-    return unit_weights(term_counts(questions, question, text), idf, question)
+def question_vectors(questions: DataFrame, question: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """(question, term, q_weight, df, max_weight) of the question terms found in the vocabulary.
+
+    Terms outside the vocabulary count in the length of the question but carry no weight.
+    """
+    known = term_counts(questions, question, text).join(vocabulary, "term")
+    return _unit(known, question, ("df", "max_weight")).withColumnRenamed("weight", "q_weight")
 
 
-def cosine_scores(index: DataFrame, vectors: DataFrame, doc: str, question: str) -> DataFrame:
-    """Dot products of unit vectors over their shared terms, combined on the map side."""
-    q = vectors.withColumnRenamed("weight", "q_weight")
-    return (
-        index.join(q, "term").groupBy(question, doc)
-        .agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score")).filter(F.col("score") > 0)
-    )
+def _dots(index: DataFrame, terms: DataFrame, doc: str, question: str) -> DataFrame:
+    """Dot products over shared terms, combined on the map side."""
+    return index.join(terms, "term").groupBy(question, doc).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
 
 
 def retrieve(
-    index: DataFrame, idf: DataFrame, questions: DataFrame, doc: str, question: str, text: str, k: int = 3
+    index: DataFrame, vocabulary: DataFrame, questions: DataFrame, doc: str, question: str, text: str, k: int = 3,
+    frequent: int = 10_000,
 ) -> DataFrame:
-    """(question, doc, score, rank): the k most similar documents with a positive score."""
-    vectors = question_vectors(questions, question, text, idf)
-    return top_per_question(cosine_scores(index, vectors, doc, question), question, doc, k)
+    """(question, doc, score, rank): the k most similar documents with a positive score.
+
+    Terms in at most ``frequent`` documents are matched by a plain join, which yields at most
+    that many rows per question term. More frequent terms are not matched against all their
+    documents. Their largest possible contribution to a question is known from the vocabulary;
+    where it cannot lift a document over the k-th best score found so far, only the documents
+    that can still reach the top k look their frequent terms up, by (term, document). Questions
+    without such a guarantee get the full join, so the result is exact in every case.
+
+    Question vectors, first scores and lookups are read several times and are stored in between,
+    which also tells the optimizer their true size for the joins with the index.
+    """
+    q = shared_table(question_vectors(questions, question, text, vocabulary), "question-vectors")
+    rare, hot = q.filter(F.col("df") <= frequent), q.filter(F.col("df") > frequent)
+    partial = shared_table(_dots(index, rare, doc, question), "first-scores")
+    kth = top_per_question(partial, question, doc, k).groupBy(question).agg(
+        F.when(F.count("*") == k, F.min("score")).alias("kth"))
+    bound = hot.groupBy(question).agg(F.sum(F.col("q_weight") * F.col("max_weight")).alias("bound"))
+    # scores are compared at six decimals, hence the margin
+    decided = bound.join(kth, question, "left").withColumn(
+        "settled", F.coalesce(F.col("bound") < F.col("kth") - 2e-6, F.lit(False)))
+    settled = decided.filter("settled").select(question, "bound", "kth")
+    open_hot = hot.join(decided.filter(~F.col("settled")).select(question), question)
+    reachable = partial.join(settled, question).filter(F.col("score") + F.col("bound") >= F.col("kth") - 2e-6)
+    lookups = shared_table(
+        reachable.select(question, doc).join(hot.select(question, "term", "q_weight"), question), "lookups")
+    found = index.join(lookups, ["term", doc]).select(question, doc, (F.col("weight") * F.col("q_weight")).alias("score"))
+    total = partial.unionByName(found).unionByName(_dots(index, open_hot, doc, question)).groupBy(question, doc).agg(
+        F.sum("score").alias("score"))
+    return top_per_question(total.filter(F.col("score") > 0), question, doc, k)
 
 
 def mean_vectors(vectors: DataFrame, label: str, embedding: str) -> DataFrame:

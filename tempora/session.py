@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str, master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -46,3 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(root or os.path.join(tempfile.mkdtemp(prefix="tempora-"), "ckpt"))
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from the stored copy.
+
+    Readers of the copy do not repeat its computation, survive lost executors without it, and
+    the optimizer knows its real size.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
