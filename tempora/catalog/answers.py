@@ -156,7 +156,7 @@ def _(spark, path):
         ELSE 'Yes. ' || head || CASE WHEN delta > 0 THEN ' is warmer than ' ELSE ' is colder than ' END || other || '. Mean temperature is '
         || printf('%.2f', now.t) || ' C versus ' || printf('%.2f', ot) || ' C, a difference of ' || d || ' C over the same cutoff window. ' || anoms END AS answer,
         head || ' is ' || CASE WHEN delta > 0 THEN 'warmer' WHEN delta < 0 THEN 'colder' ELSE 'the same temperature as' END || ' ' || other || ' by ' || d || ' C.' AS interpretation,
-        city || ' ' || label || ' anomaly table' AS source_title FROM k""",
+        city || ' ' || label || ' anomaly table' AS source_title FROM k WHERE delta IS NOT NULL AND anoms IS NOT NULL""",
 )
 def _(spark, path):
     m = matrix2(spark, path)

@@ -57,12 +57,12 @@ def _(spark, path):
 @query(
     "summary_report", "F17",
     with_sql(summaries.CITY_FULL) + """, p AS (SELECT *, chr(10) AS n FROM full_summary)
-      SELECT city, '### ' || city || n || '- Mean temperature: ' || printf('%.2f', round(ytd_mean_temp, 2) + 0.0) || ' C' || n
-        || '- Temperature anomaly: ' || printf('%.2f', round(temp_deviation, 2) + 0.0) || ' C' || n
-        || '- Latest 7-day temperature anomaly: ' || printf('%.2f', round(latest_7d_temp_anomaly, 2) + 0.0) || ' C' || n
-        || '- Precipitation: ' || printf('%.2f', round(ytd_total_precip, 2) + 0.0) || ' mm' || n
-        || '- Precipitation anomaly: ' || printf('%.2f', round(precip_deviation, 2) + 0.0) || ' mm' || n
-        || '- Latest cumulative precipitation anomaly: ' || printf('%.2f', round(latest_cumulative_precip_anomaly, 2) + 0.0) || ' mm' || n AS text FROM p""",
+      SELECT city, '### ' || city || n || '- Mean temperature: ' || coalesce(printf('%.2f', round(ytd_mean_temp, 2) + 0.0), 'n/a') || ' C' || n
+        || '- Temperature anomaly: ' || coalesce(printf('%.2f', round(temp_deviation, 2) + 0.0), 'n/a') || ' C' || n
+        || '- Latest 7-day temperature anomaly: ' || coalesce(printf('%.2f', round(latest_7d_temp_anomaly, 2) + 0.0), 'n/a') || ' C' || n
+        || '- Precipitation: ' || coalesce(printf('%.2f', round(ytd_total_precip, 2) + 0.0), 'n/a') || ' mm' || n
+        || '- Precipitation anomaly: ' || coalesce(printf('%.2f', round(precip_deviation, 2) + 0.0), 'n/a') || ' mm' || n
+        || '- Latest cumulative precipitation anomaly: ' || coalesce(printf('%.2f', round(latest_cumulative_precip_anomaly, 2) + 0.0), 'n/a') || ' mm' || n AS text FROM p""",
 )
 def _(spark, path):
     return D.summary_report(summaries.city_full_summary(spark, path), "city")

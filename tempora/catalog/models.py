@@ -127,7 +127,7 @@ def _(spark, path):
 PRED = REGION + f""",
 clim AS (SELECT month_day, avg(temperature_2m_mean) AS p FROM region_all WHERE year BETWEEN {B0} AND {B1} GROUP BY month_day),
 pred AS (SELECT r.time, r.year, r.temperature_2m_mean AS y_true, c.p AS y_pred, r.temperature_2m_mean - c.p AS residual
-  FROM region_all r JOIN clim c USING (month_day) WHERE r.year >= {TEST_FROM})"""
+  FROM region_all r JOIN clim c USING (month_day) WHERE r.year >= {TEST_FROM} AND r.temperature_2m_mean IS NOT NULL AND c.p IS NOT NULL)"""
 CITY_PRED = CITY + f""",
 clim AS (SELECT city, month_day, avg(temperature_2m_mean) AS p FROM city_cal WHERE year BETWEEN {B0} AND {B1} GROUP BY city, month_day),
 pred AS (SELECT r.city, r.time, r.year, r.temperature_2m_mean AS y_true, c.p AS y_pred, r.temperature_2m_mean - c.p AS residual

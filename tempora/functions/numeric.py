@@ -47,6 +47,6 @@ def between_years(year: Column, span: tuple[int, int]) -> Column:
 
 
 def fixed(c: Column, digits: int, plus: bool = False) -> Column:
-    """Text with a fixed number of decimals, half-up, without a negative zero."""
+    """Text with a fixed number of decimals, half-up, without a negative zero; NULL stays NULL."""
     sign = "+" if plus else ""
-    return F.format_string(f"%{sign}.{digits}f", F.round(c, digits) + F.lit(0.0))
+    return F.when(c.isNotNull(), F.format_string(f"%{sign}.{digits}f", F.round(c, digits) + F.lit(0.0)))

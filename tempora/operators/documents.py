@@ -19,7 +19,7 @@ def _t(*parts) -> Column:
 
 
 def _n(c: str, digits: int = 2, plus: bool = False) -> Column:
-    return fixed(F.coalesce(F.col(c), F.lit(0.0)), digits, plus)
+    return F.coalesce(fixed(F.col(c), digits, plus), F.lit("n/a"))
 
 
 def _doc(df: DataFrame, doc_id, title, source: str, text: Column) -> DataFrame:
