@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempora.catalog import climate, summaries
@@ -189,7 +188,7 @@ def _(spark, path):
 
 @query(
     "even_sample", "W9",
-    with_sql(CITY_PRED) + """, p AS (SELECT city, time, y_true, y_pred, row_number() OVER (ORDER BY time, city) - 1 AS position,
+    with_sql(CITY_PRED) + """, p AS (SELECT city, time, y_true, y_pred, row_number() OVER (ORDER BY time, md5(city)[1:2], city) - 1 AS position,
         count(*) OVER () AS n FROM pred)
       SELECT city, time, y_true, y_pred, position FROM p WHERE position IN
         (SELECT CAST(round_even(i * ((SELECT max(n) FROM p) - 1) / 199.0, 0) AS BIGINT) FROM range(0, 200) t(i))""",
@@ -293,8 +292,8 @@ def _(spark, path):
     daily = star.city_daily(spark, path)
     recent = MD.recent_mean(daily, ["city"], "time", SPEC.temp)
     # every entity has its own last day; the forecast runs from the latest of all
-    last = daily.groupBy("city").agg(F.max("time").alias("d")).withColumn("d", F.max("d").over(Window.partitionBy()))
-    t = FT.future_dates(last, "d", HORIZON, ("city",)).withColumnRenamed("time", "target_date").join(recent, "city")
+    from_latest = recent.withColumn("d", daily.agg(F.max("time")).scalar())
+    t = FT.future_dates(from_latest, "d", HORIZON, tuple(recent.columns)).withColumnRenamed("time", "target_date")
     t = t.withColumn("model_temp", F.lit(None).cast("double"))
     return MD.forecast_table(t, MD.circular_range(daily, t.select("target_date").distinct(), SPEC))
 

@@ -1,4 +1,7 @@
-"""Batch question answering: slots from the text, one relation of answers per question kind, a router."""
+"""Batch question answering: slots from the text, one relation of answers per question kind, a router.
+
+The wording of the answers is a fixed value: it is the output format.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Templated documents from result tables: retrieval corpus, reports, nested maps and the dashboard."""
+"""Templated documents from result tables: retrieval corpus, reports, nested maps and the dashboard.
+
+The wording of the documents is a fixed value: it is the output format.
+"""
 
 from __future__ import annotations
 

@@ -90,8 +90,13 @@ def prediction_histogram(pred: DataFrame, column: str = "y_pred", edges=PREDICTI
 
 
 def even_sample(pred: DataFrame, time: str, tie: list[str], points: int = 200) -> DataFrame:
-    """Rows at the positions round(linspace(0, n-1, points)) of the chronological order; all when n is smaller."""
-    placed = with_global_position(pred, [("_day", F.col(time))], [F.col(c) for c in tie])
+    """Rows at the positions round(linspace(0, n-1, points)) of the chronological order; all when n is smaller.
+
+    Rows of one day are ordered by a two-digit hash of the first tie column and then by the tie
+    columns, so that a day holding a large share of all rows is numbered in 256 parts.
+    """
+    part = F.substring(F.md5(F.col(tie[0]).cast("string")), 1, 2)
+    placed = with_global_position(pred, [("_day", F.col(time)), ("_part", part)], [F.col(c) for c in tie])
     step = (F.col("total") - 1) / F.lit(float(points - 1))
     near = F.floor(F.col("position") / step)
 

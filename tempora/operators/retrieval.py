@@ -151,11 +151,12 @@ def dense_top_k(
 
     The batch travels as one array, so each vector row scores all queries inside its own task and
     nothing is joined. A larger batch is refused rather than silently cut; split it into batches.
+    One query above the limit is enough to see that, so no more than that are ever gathered.
     """
     limit = F.when(F.count("*") <= max_queries, F.collect_list(F.struct(question, "query"))).otherwise(
         F.raise_error(F.lit(f"more than {max_queries} query vectors in one batch")).cast(
             queries.select(F.array(F.struct(question, "query")).alias("a")).schema["a"].dataType))
-    batch = queries.agg(limit.alias("b")).scalar()
+    batch = queries.limit(max_queries + 1).agg(limit.alias("b")).scalar()
     e = F.col(embedding)
     scored = vectors.select(key, embedding, F.sqrt(_dot(e, e)).alias("len"), F.explode(batch).alias("q")).select(
         key, F.col(f"q.{question}").alias(question),

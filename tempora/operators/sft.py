@@ -1,4 +1,7 @@
-"""Fine-tuning examples from result tables, hash-ordered split, prompts and token arrays."""
+"""Fine-tuning examples from result tables, hash-ordered split, prompts and token arrays.
+
+The wording of instructions and outputs is a fixed value: it is the output format.
+"""
 
 from __future__ import annotations
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -83,11 +84,10 @@ def merge_stream(stream: DataFrame, keys: list[str], time: str, start: str, fold
 
 
 def _snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path) or not fs.listStatus(path):
+    try:
+        rows = spark.read.option("basePath", folder).parquet(folder)
+    except AnalysisException:  # nothing has been merged yet
         return None
-    rows = spark.read.option("basePath", folder).parquet(folder)
     if before is not None:
         rows = rows.filter(F.col("batch") < before)
     latest = rows.groupBy("year").agg(F.max("batch").alias("batch"))

@@ -65,6 +65,12 @@ def test_metrics_of_constant_truth(spark):
     assert (m["mse"], m["r2"], m["residual_std"]) == (1.0, 0.0, 1.0)
 
 
+def test_one_day_holding_all_rows_is_numbered_in_parts(spark):
+    df = spark.createDataFrame([(date(2020, 1, 1), i, float(i)) for i in range(500)], "time date, id int, y double")
+    got = MD.even_sample(df, "time", ["id"], points=1000)
+    assert sorted(r["position"] for r in got.collect()) == list(range(500))
+
+
 @pytest.mark.parametrize("n", [5, 37])
 def test_even_sample_matches_linspace(spark, n):
     df = spark.createDataFrame([(date(2020, 1, 1 + i % 28), i, float(i)) for i in range(n)], "time date, id int, y double")
