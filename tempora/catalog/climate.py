@@ -81,11 +81,14 @@ def region_ytd(spark, path, first=None, last=None):
 
 
 def city_current(spark, path):
-    return C.current_daily_anomalies(city_ytd(spark, path), SPEC, ("city",))
+    """Current year against the climatology; each side scans only its own years of the raw rows."""
+    clim = C.daily_climatology(city_ytd(spark, path, B0, B1), SPEC, ("city",))
+    return C.apply_daily_climatology(city_ytd(spark, path, CUR, CUR), clim, SPEC, ("city",))
 
 
 def region_current(spark, path):
-    return C.current_daily_anomalies(region_ytd(spark, path), SPEC)
+    clim = C.daily_climatology(region_ytd(spark, path, B0, B1), SPEC)
+    return C.apply_daily_climatology(region_ytd(spark, path, CUR, CUR), clim, SPEC)
 
 
 @query(

@@ -46,6 +46,14 @@ def test_matrix_scans_the_source_once(spark):
     assert p.count("lineitem.parquet") == 1
 
 
+def test_climatology_and_current_year_scan_their_own_years(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    p = plan(load()["daily_anomaly_rolling"].run(spark, PATH))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [x for x in p.splitlines() if "lineitem.parquet" in x]
+    assert len(scans) == 2 and all("GreaterThanOrEqual(l_shipdate" in x and "LessThan(l_shipdate" in x for x in scans)
+
+
 def test_line_items_are_not_broadcast_when_suppliers_are_small(spark):
     p = plan(star.raw_observations(spark, PATH))
     build = p[p.index("BroadcastExchange"):]
