@@ -68,7 +68,25 @@ def _(spark, path):
     return D.summary_report(summaries.city_full_summary(spark, path), "city")
 
 
-@query("slice_reports", "F17")
+def _two(c: str) -> str:
+    return f"printf('%.2f', round({c}, 2) + 0.0)"
+
+
+@query(
+    "slice_reports", "F17",
+    with_sql(summaries.SLICES) + f""", s AS (SELECT city, month, monthname(make_date(2000, month, 1)) AS m, min(year) AS y0, max(year) AS y1,
+        count(*) AS n, max(cutoff_day) AS cut, avg(mean_temp_c) AS bm, coalesce(stddev_samp(mean_temp_c), 0.0) AS bs,
+        arg_max(mean_temp_c, year) AS t, arg_max(anomaly_c, year) AS a, arg_max(zscore, year) AS z, arg_max(year, anomaly_c) AS wy,
+        max(anomaly_c) AS wa, arg_min(year, anomaly_c) AS cy, min(anomaly_c) AS ca FROM slices GROUP BY city, month)
+      SELECT city, month, replace(lower(city), ' ', '-') || '-' || lower(m) AS name, array_to_string([
+        '# ' || city || ' ' || m || ' Temperature Anomalies', '', 'Window: ' || y0 || ' to ' || y1,
+        m || ' day cutoff used for every year: ' || lpad(CAST(month AS VARCHAR), 2, '0') || '-' || lpad(CAST(cut AS VARCHAR), 2, '0'),
+        'Years analyzed: ' || n, '', '## Baseline', '', '- Baseline mean ' || m || ' temperature: ' || {_two('bm')} || ' C',
+        '- Baseline standard deviation: ' || {_two('bs')} || ' C', '', '## Latest Year', '', '- Year: ' || y1,
+        '- Mean temperature: ' || {_two('t')} || ' C', '- Anomaly: ' || {_two('a')} || ' C', '- Z-score: ' || {_two('z')}, '', '## Extremes', '',
+        '- Warmest ' || m || ' slice: ' || wy || ' (' || {_two('wa')} || ' C anomaly)',
+        '- Coldest ' || m || ' slice: ' || cy || ' (' || {_two('ca')} || ' C anomaly)'], chr(10)) AS text FROM s""",
+)
 def _(spark, path):
     return D.slice_report(MS.slice_summary(summaries.slices(spark, path), ["city", "month"]), "city")
 

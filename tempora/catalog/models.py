@@ -310,6 +310,26 @@ def _(spark, path):
     return MD.coefficients(spark, models, contract)
 
 
+@query(
+    "fit_normal_equations", "M1 M2",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS target, '{n}' AS feature, CAST(0 AS DOUBLE) AS moment" for t in FT.TARGETS for n in ("intercept", *INPUTS)),
+    "moment",
+)
+def _(spark, path):
+    # at the least-squares solution the training residuals are orthogonal to every input
+    models, contract, _ = _fitted(spark, path)
+    train, _ = FT.chronological_split(features(spark, path), TEST_FROM)
+    scored = MD.score(train, models, contract, FT.TARGETS).withColumn("intercept", F.lit(1.0))
+    names = {"y": "y_pred", "y_min": "y_min_pred", "y_max": "y_max_pred"}
+    cells = [
+        F.struct(F.lit(t).alias("target"), F.lit(n).alias("feature"), F.avg((F.col(t) - F.col(names[t])) * F.col(n)).alias("moment"))
+        for t in FT.TARGETS for n in ("intercept", *contract.columns)
+    ]
+    one = scored.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    return one.select(F.explode(F.array(*one.columns)).alias("c")).select("c.*")
+
+
 @query("batch_predictions", "M2")
 def _(spark, path):
     models, contract, test = _fitted(spark, path)
