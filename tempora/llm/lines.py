@@ -114,7 +114,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = []
         for positions in b.column("positions"):
             p = np.asarray(positions.values, np.int64)
-            bits = np.ones(p.max() + 1, np.uint8)
+            bits = np.ones(p.max() // 8 * 8 + 8, np.uint8)  # lines beyond the last dropped one stay
             bits[p] = 0
             packed.append(zlib.compress(np.packbits(bits).tobytes(), 1))
         yield pa.RecordBatch.from_arrays(
@@ -139,8 +139,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     first = F.struct("doc_id", "text_id", "pos")
     sure, edges = runs.filter(~F.col("edge")), runs.filter("edge")
     # two runs per partition at most, so this table is bounded by the number of partitions
-    whole = edges.groupBy("hash").agg(F.sum("n_docs").alias("all_docs"), F.min(first).alias("first")).filter(
-        F.col("all_docs") >= min_docs)
+    whole = F.broadcast(edges.groupBy("hash").agg(F.sum("n_docs").alias("all_docs"), F.min(first).alias("first")).filter(
+        F.col("all_docs") >= min_docs))
     open_ = edges.join(whole, "hash").filter(~F.col("first").eqNullSafe(first) if keep_first else F.lit(True))
     if keep_first:
         heads = sure.groupBy("hash").agg(F.min(first).alias("first"))
@@ -155,9 +155,8 @@ def split_kept(text: str, keep: bytes | None) -> tuple[int, list[str] | None]:
     if keep is None:
         return text.count("\n") + 1, None
     lines = text.split("\n")
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=None)
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))
     gone = set(np.flatnonzero(bits[: len(lines)] == 0).tolist())
-    # the padding bits of the last byte are zero and mean nothing beyond the last dropped line
     return len(lines), [x for i, x in enumerate(lines) if i not in gone]
 
 

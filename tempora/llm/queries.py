@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import decontam, lines, packing, simhash, toxicity
+from tempora.llm import decontam, lines, packing, repeats, simhash, substrings, toxicity
 from tempora.llm.common import documents, shipped
 
 
+@shipped
+def op1_suffix_array_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return repeats.repeated_bytes(documents(spark, path))
+
+
 @shipped
 def op2_simhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, path))
@@ -18,6 +23,11 @@ def op4_decontamination(spark: SparkSession, path: str) -> DataFrame:
     return decontam.leaked_documents(documents(spark, path), spark.read.parquet(f"{path}/benchmark.parquet"))
 
 
+@shipped
+def op5_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return substrings.repeated_words(documents(spark, path))
+
+
 @shipped
 def op6_line_dedup(spark: SparkSession, path: str) -> DataFrame:
     return lines.line_digests(documents(spark, path))
@@ -53,8 +63,10 @@ def pipeline(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": (op1_suffix_array_dedup, None),
     "op2_simhash_near_dedup": (op2_simhash_near_dedup, None),
     "op4_decontamination": (op4_decontamination, None),
+    "op5_substring_dedup": (op5_substring_dedup, None),
     "op6_line_dedup": (op6_line_dedup, LINES_SQL),
     "op7_toxicity": (op7_toxicity, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
