@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import decontam, lines, packing, repeats, simhash, substrings, toxicity
+from tempora.llm import decontam, fingerprints, lines, packing, repeats, sharding, simhash, substrings, toxicity, urls
 from tempora.llm.common import documents, shipped
 
 
@@ -18,6 +18,27 @@ def op2_simhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, path))
 
 
+#: Bytes of text a shard may hold.
+SHARD_BYTES = 1 << 20
+
+
+@shipped
+def op3_extendible_sharding(spark: SparkSession, path: str) -> DataFrame:
+    return sharding.shards(documents(spark, path), SHARD_BYTES)
+
+
+def _shards_sql() -> str:
+    """The first prefix of the path that fits, over the 60 bits of the key; keys are distinct here."""
+    return f"""WITH r AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+l AS (SELECT doc_id, n_bytes, d, h >> (60 - d) AS prefix FROM r, range(0, 41) t(d)),
+s AS (SELECT d, prefix, CAST(sum(n_bytes) AS BIGINT) AS bytes, count(*) AS n FROM l GROUP BY d, prefix),
+f AS (SELECT l.*, s.bytes, s.n, row_number() OVER (PARTITION BY doc_id ORDER BY l.d) AS k
+  FROM l JOIN s ON l.d = s.d AND l.prefix = s.prefix WHERE s.bytes <= {SHARD_BYTES} OR s.n = 1)
+SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE right(bin(prefix + (1::BIGINT << 50)), CAST(d AS INT)) END AS shard,
+  CAST(d AS INTEGER) AS depth, bytes AS shard_bytes, n AS shard_rows, bytes > {SHARD_BYTES} AS oversized FROM f WHERE k = 1"""
+
+
 @shipped
 def op4_decontamination(spark: SparkSession, path: str) -> DataFrame:
     return decontam.leaked_documents(documents(spark, path), spark.read.parquet(f"{path}/benchmark.parquet"))
@@ -48,6 +69,11 @@ def op7_toxicity(spark: SparkSession, path: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, path), spark.read.parquet(f"{path}/labels.parquet"))
 
 
+@shipped
+def op8_document_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    return fingerprints.document_fingerprints(documents(spark, path))
+
+
 @shipped
 def op9_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     import public_tokenizers
@@ -55,6 +81,26 @@ def op9_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(documents(spark, path), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@shipped
+def op10_url_filter(spark: SparkSession, path: str) -> DataFrame:
+    pages = spark.read.parquet(f"{path}/pages.parquet")
+    return urls.judge(pages, urls.labelled(pages))
+
+
+def _urls_sql() -> str:
+    rules = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in rules]
+    rule = " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits)
+    verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
+    labels = ", ".join(f"'{x}'" for x in urls.LISTED_LABELS)
+    return f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+c AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS canonical FROM p),
+l AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND list_has_any(string_split(host, '.'), [{labels}]))
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  CASE {verdict} WHEN canonical IN (SELECT canonical FROM l) THEN 'block' ELSE 'allow' END AS verdict FROM c"""
+
+
 @shipped
 def pipeline(spark: SparkSession, path: str) -> DataFrame:
     import corpus_pipeline
@@ -65,10 +111,13 @@ def pipeline(spark: SparkSession, path: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_array_dedup": (op1_suffix_array_dedup, None),
     "op2_simhash_near_dedup": (op2_simhash_near_dedup, None),
+    "op3_extendible_sharding": (op3_extendible_sharding, _shards_sql()),
     "op4_decontamination": (op4_decontamination, None),
     "op5_substring_dedup": (op5_substring_dedup, None),
     "op6_line_dedup": (op6_line_dedup, LINES_SQL),
     "op7_toxicity": (op7_toxicity, None),
+    "op8_document_fingerprints": (op8_document_fingerprints, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
+    "op10_url_filter": (op10_url_filter, _urls_sql()),
     "pipeline": (pipeline, None),
 }
