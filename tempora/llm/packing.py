@@ -13,6 +13,7 @@ packed as documents of their own; a null ``doc_id`` stays null. Extra columns ar
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -27,14 +28,15 @@ from tempora.llm import common as C
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long"
 #: Words whose ids a worker keeps between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 class WordEncoder:
     """Ids of a text word by word.
 
     The vocabulary's normalizer and splitter never join characters across ASCII white space, so
-    a text's ids are its words' ids in order and each distinct word is encoded once.
+    a text's ids are its words' ids in order and each distinct word is encoded once. Words not
+    met for a while drop out of the cache: when its younger half is full, the older half goes.
     """
 
     def __init__(self, vocabulary: str):
@@ -42,17 +44,24 @@ class WordEncoder:
 
         self.encoder = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list({w for ws in split for w in ws})
+        words = set().union(*split)
+        if len(self.known) + len(words) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        words.difference_update(self.known)
+        new = []
+        for w in words:
+            if w in self.older:
+                self.known[w] = self.older[w]
+            else:
+                new.append(w)
         coded = self.encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         for w, e in zip(new, coded, strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+            self.known[w] = array("I", e.ids).tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
