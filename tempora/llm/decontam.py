@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from tempora.llm import common as C
 from tempora.llm.toxicity import FOLD
 
-PASSAGE, BLOCK, MIN_WORDS = 48, 256, 6
+PASSAGE, HALF, BLOCK, MIN_WORDS = 48, 24, 256, 6
 RANK, OVERSAMPLE = 256, 16
 #: Words in a larger share of the passages carry no weight.
-COMMON = 0.02
-MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.3, 0.6, 0.5
+COMMON = 0.005
+MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.22, 0.6, 0.5
 SLOTS = 22
 
 
@@ -112,57 +112,77 @@ def _numbered(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
 NUMBERED = "doc_id long, n_words long, pos binary, ids binary"
 
 
-def _halves(pos: np.ndarray) -> np.ndarray:
-    return pos // (PASSAGE // 2)
+@dataclass
+class Chunk:
+    """The benchmark words of a few documents: row of the document, place in it, word number."""
+
+    row: np.ndarray
+    pos: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch) -> Chunk:
+        pos, offsets = C.string_bytes(b.column("pos"))
+        ids, _ = C.string_bytes(b.column("ids"))
+        row = np.repeat(np.arange(b.num_rows), np.diff(offsets) // 4)
+        return cls(row, pos.view(np.uint32).astype(np.int64), ids.view(np.uint32).astype(np.int64))
 
+    def only(self, keep: np.ndarray) -> Chunk:
+        return Chunk(self.row[keep], self.pos[keep], self.ids[keep])
 
-def _sequences(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for i, (p, w) in enumerate(zip(b.column("pos"), b.column("ids"), strict=True)):
-        if len(raw := p.as_buffer()):
-            yield i, np.frombuffer(raw, np.uint32).astype(np.int64), np.frombuffer(w.as_buffer(), np.uint32).astype(np.int64)
+    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Half passages that hold words: where each begins among the words, its document and its number there."""
+        half = self.pos // HALF
+        new = np.ones(len(half), bool)
+        new[1:] = (half[1:] != half[:-1]) | (self.row[1:] != self.row[:-1])
+        begin = np.flatnonzero(new)
+        return begin, self.row[begin], half[begin]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
-    """Passages that hold each word, and all passages as word -1."""
-    df, passages = np.zeros(n_words, np.int64), 0
+    """Half passages that hold each word, and all half passages as word -1."""
+    df, halves = np.zeros(n_words, np.int64), 0
     for b in batches:
-        n = b.column("n_words").to_numpy()
-        passages += int(np.maximum(1, -(-n // (PASSAGE // 2)) - 1)[n > 0].sum())
-        for _, pos, ids in _sequences(b):
-            h = _halves(pos)
-            # a half belongs to the passage it begins and to the one before
-            both = np.unique(np.concatenate([h, h[h > 0] - 1]) * n_words + np.concatenate([ids, ids[h > 0]]))
-            df += np.bincount(both % n_words, minlength=n_words)
+        halves += int((-(-b.column("n_words").to_numpy() // HALF)).sum())
+        c = Chunk.of(b)
+        begin, _, _ = c.halves()
+        of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(c.ids))))
+        df += np.bincount(np.unique(of * n_words + c.ids) % n_words, minlength=n_words)
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(some, -1)), pa.array(np.append(df[some], passages))], ["word", "n"])
+        [pa.array(np.append(some, -1)), pa.array(np.append(df[some], halves))], ["word", "n"])
 
 
-def _passage_entries(pos, ids, weight):
-    """Sorted (passage, word) entries of the words that carry weight."""
-    keep = weight[ids] > 0
-    pos, ids = pos[keep], ids[keep]
-    h = _halves(pos)
-    p = np.concatenate([h, h[h > 0] - 1])
-    w = np.concatenate([ids, ids[h > 0]])
-    turn = np.argsort(p, kind="stable")
-    return p[turn], w[turn]
+def _half_sums(c: Chunk, weight: np.ndarray, vectors: np.ndarray):
+    """Halves of a chunk, their weighted sums of word vectors, and which follow on the half before."""
+    begin, row, half = c.halves()
+    sums = np.add.reduceat(weight[c.ids][:, None] * vectors[c.ids], begin) if len(begin) else np.zeros((0, vectors.shape[1]), np.float32)
+    follows = np.zeros(len(begin), bool)
+    follows[1:] = (row[1:] == row[:-1]) & (half[1:] == half[:-1] + 1)
+    return begin, row, half, sums, follows
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Sum over passages a of a (a' omega), one row per word."""
+    """Sum over passages a of a (a' omega), one row per word.
+
+    A passage is two halves, so a word of half h meets the passages (h - 1, h) and (h, h + 1).
+    """
     weight, omega = shared.value
     total = np.zeros_like(omega)
     for b in batches:
-        for _, pos, ids in _sequences(b):
-            p, w = _passage_entries(pos, ids, weight)
-            if not len(p):
-                continue
-            begin = np.flatnonzero(np.diff(p, prepend=-1))
-            size = np.diff(np.append(begin, len(p)))
-            x = weight[w][:, None]
-            sums = np.add.reduceat(x * omega[w], begin)
-            np.add.at(total, w, x * np.repeat(sums, size, 0))
+        c = Chunk.of(b)
+        c = c.only(weight[c.ids] > 0)
+        begin, _, _, sums, follows = _half_sums(c, weight, omega)
+        if not len(begin):
+            continue
+        seen = 2 * sums
+        seen[1:][follows[1:]] += sums[:-1][follows[1:]]
+        seen[:-1][follows[1:]] += sums[1:][follows[1:]]
+        of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(c.ids))))
+        turn = np.argsort(c.ids, kind="stable")
+        words = c.ids[turn]
+        first = np.flatnonzero(np.diff(words, prepend=-1))
+        total[words[first]] += weight[words[first]][:, None] * np.add.reduceat(seen[of[turn]], first)
     some = np.flatnonzero(np.abs(total).sum(1))
     if len(some):
         yield pa.RecordBatch.from_arrays(
@@ -183,42 +203,45 @@ class Latent:
     basis: np.ndarray  # words x rank
     points: np.ndarray  # items x rank, unit length
 
-    def candidates(self, pos: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(item, first word of the passage, cosine) above the threshold."""
-        p, w = _passage_entries(pos, ids, self.weight)
-        if not len(p):
+    def candidates(self, c: Chunk) -> Iterator[tuple[int, int, int, float]]:
+        """(document, item, first word of the passage, cosine) above the threshold."""
+        c = c.only(self.weight[c.ids] > 0)
+        begin, row, half, sums, follows = _half_sums(c, self.weight, self.basis)
+        if not len(begin):
             return
-        begin = np.flatnonzero(np.diff(p, prepend=-1))
-        size = np.diff(np.append(begin, len(p)))
-        enough = size >= 3
-        if not enough.any():
-            return
-        keep = np.repeat(enough, size)
-        p, w = p[keep], w[keep]
-        begin = np.flatnonzero(np.diff(p, prepend=-1))
-        x = self.weight[w]
-        v = np.add.reduceat(x[:, None] * self.basis[w], begin)
-        norm = np.sqrt(np.add.reduceat(x * x, begin))
-        cos = (v @ self.points.T) / norm[:, None]
+        x = self.weight[c.ids]
+        norm = np.add.reduceat(x * x, begin)
+        count = np.diff(np.append(begin, len(x)))
+        # a passage is a half and the next one; where there is no next one, the half alone
+        sums[:-1][follows[1:]] += sums[1:][follows[1:]]
+        norm[:-1] += np.where(follows[1:], norm[1:], 0)
+        count[:-1] += np.where(follows[1:], count[1:], 0)
+        some = np.flatnonzero(count >= 3)
+        cos = (sums[some] @ self.points.T) / np.sqrt(norm[some])[:, None]
         for r, i in zip(*np.nonzero(cos >= MIN_COSINE), strict=True):
-            yield int(i), int(p[begin[r]]) * (PASSAGE // 2), float(cos[r, i])
-
-    def leaks(self, pos: np.ndarray, ids: np.ndarray) -> dict[int, tuple[float, float, int]]:
-        """item -> (share of the item in its longest common subsequence, cosine, first word)."""
-        found: dict[int, tuple[float, float, int]] = {}
-        for i, start, cos in self.candidates(pos, ids):
+            k = some[r]
+            yield int(row[k]), int(i), int(half[k]) * HALF, float(cos[r, i])
+
+    def leaks(self, c: Chunk) -> dict[tuple[int, int], tuple[float, float, int]]:
+        """(document, item) -> (share of the item in its longest common subsequence, cosine, first word)."""
+        found: dict[tuple[int, int], tuple[float, float, int]] = {}
+        edge = None
+        for row, i, start, cos in self.candidates(c):
             item = self.items.words[i]
             n = len(item)
-            if n < MIN_WORDS or (i in found and found[i][0] >= 1):
+            if n < MIN_WORDS or found.get((row, i), (0.0,))[0] >= 1:
                 continue
-            a, b = np.searchsorted(pos, [start - n, start + PASSAGE + n])
-            near = ids[a:b].tolist()
+            if edge is None:
+                edge = np.searchsorted(c.row, np.arange(c.row[-1] + 2))
+            low, high = edge[row], edge[row + 1]
+            a, b = low + np.searchsorted(c.pos[low:high], [start - n, start + PASSAGE + n])
+            near = c.ids[a:b].tolist()
             share = common_subsequence(item, near) / n
             if share < MIN_LCS:
                 continue
             tail = item[-max(3, n // 4):]
             if common_subsequence(tail, near) / len(tail) >= MIN_ANSWER:
-                found[i] = max(found.get(i, (0.0, 0.0, 0)), (share, cos, start))
+                found[row, i] = max(found.get((row, i), (0.0, 0.0, 0)), (share, cos, start))
         return found
 
 
@@ -286,8 +309,7 @@ def _leaks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     latent = shared.value
     for b in batches:
         ids = b.column("doc_id").to_pylist()
-        rows = [(ids[k], latent.items.ids[i], cos, share, start)
-                for k, pos, words in _sequences(b) for i, (share, cos, start) in latent.leaks(pos, words).items()]
+        rows = [(ids[k], latent.items.ids[i], cos, share, start) for (k, i), (share, cos, start) in latent.leaks(Chunk.of(b)).items()]
         if rows:
             c = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -325,10 +347,9 @@ def _clean(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             h, first = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             n = latent.items.numbers(h)
             at = np.flatnonzero(n >= 0)
-            cut = np.searchsorted(at, first)
-            for k in range(j - i):
-                own = at[cut[k] : cut[k + 1]]
-                good[i + k] = not latent.leaks(own - first[k], n[own].astype(np.int64))
+            row = np.searchsorted(first, at, "right") - 1
+            for k, _ in latent.leaks(Chunk(row, at - first[row], n[at].astype(np.int64))):
+                good[i + k] = False
         yield b.filter(pa.array(good))
 
 
