@@ -182,6 +182,21 @@ class Spans:
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+#: Bytes of text that one pass of the arithmetic takes in; its arrays are some hundred times as large.
+PASS = 1 << 20
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, first = words(data, offsets)
-    return Spans(data)(starts, ends), starts, ends, first
+    """Hash, start and end of every word, and the index of each text's first word."""
+    parts, first, n = [], [np.zeros(1, np.int64)], 0
+    for i, j in slices(offsets, PASS):
+        at = offsets[i]
+        piece = data[at : offsets[j]]
+        starts, ends, own = words(piece, offsets[i : j + 1] - at)
+        parts.append((Spans(piece)(starts, ends), starts + at, ends + at))
+        first.append(own[1:] + n)
+        n += len(starts)
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, np.zeros(1, np.int64)
+    return (*(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(first))

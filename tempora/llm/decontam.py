@@ -89,6 +89,11 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Items]:
         yield made()
 
 
+def judged_blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """Blocks that have any word."""
+    return (items for items in item_blocks(benchmark) if len(items.hashes))
+
+
 def _numbered(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     items = shared.value
     for b in batches:
@@ -331,7 +336,7 @@ def fitted(docs: DataFrame, items: Items) -> tuple[DataFrame, Latent]:
 def leaked_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, first_word of every leak."""
     out = docs.sparkSession.createDataFrame([], LEAKS)
-    for items in item_blocks(benchmark):
+    for items in judged_blocks(benchmark):
         numbered, latent = fitted(docs, items)
         shared = docs.sparkSession.sparkContext.broadcast(latent)
         out = out.unionByName(numbered.mapInArrow(lambda it, s=shared: _leaks(it, s), LEAKS))
@@ -356,7 +361,7 @@ def _clean(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, with the same columns."""
     out = docs
-    for items in item_blocks(benchmark):
+    for items in judged_blocks(benchmark):
         numbered, latent = fitted(docs, items)
         C.discard(numbered)
         shared = docs.sparkSession.sparkContext.broadcast(latent)

@@ -37,40 +37,43 @@ class Anchors:
     """Anchor windows of a block: each entry is a maximal run of windows with one anchor."""
 
     def __init__(self, block: B.Block, least: int, buckets: int):
-        data, offsets = block.data, block.offsets
-        n, span = len(data), least - GRAM + 1
-        left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
-        self.row = np.zeros(0, np.int64)
-        self.first = self.last = self.row
-        if n < least or not (left >= least).any():
-            self.key = self.context = np.zeros(0, np.uint64)
-            return
-        sums = C.Spans(data)
-        grams = np.arange(n - GRAM + 1)
-        h = sums(grams, grams + GRAM)
-        # smallest hash of each window by doubling, the leftmost where hashes are equal
-        best = grams
-        size = 1
-        while size < span:
-            step = min(size, span - size)
-            x, y = best[:-step], best[step:]
-            best = np.where(h[y] < h[x], y, x)
-            size += step
-        start = np.flatnonzero(left[: n - least + 1] >= least)
-        anchor = best[start]
-        new = np.ones(len(start), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
-        begin = np.flatnonzero(new)
-        self.first, self.last = start[begin], start[np.append(begin[1:], len(start)) - 1]
-        at = anchor[begin]
-        self.key = h[at]
-        # a context is its bytes and the anchor's place in them
-        whole = sums(self.first, self.last + least)
-        self.context = C.mix(whole + (at - self.first).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-        self.row = np.searchsorted(offsets, self.first, "right") - 1
+        parts = [_anchors(block.data, block.offsets[i : j + 1], i, least) for i, j in C.slices(block.offsets, C.PASS)]
+        parts = parts or [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))]
+        self.key, self.context, self.first, self.last, self.row = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.both = C.mix(B.combined(self.key, buckets)) ^ self.context
 
 
+def _anchors(data: np.ndarray, offsets: np.ndarray, row: int, least: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, context digest, first and last window, row) of a few texts, numbered from ``row``."""
+    base = offsets[0]
+    data, offsets = data[base : offsets[-1]], offsets - base
+    n, span = len(data), least - GRAM + 1
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
+    if n < least or not (left >= least).any():
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    sums = C.Spans(data)
+    grams = np.arange(n - GRAM + 1)
+    h = sums(grams, grams + GRAM)
+    # smallest hash of each window by doubling, the leftmost where hashes are equal
+    best = grams
+    size = 1
+    while size < span:
+        step = min(size, span - size)
+        x, y = best[:-step], best[step:]
+        best = np.where(h[y] < h[x], y, x)
+        size += step
+    start = np.flatnonzero(left[: n - least + 1] >= least)
+    anchor = best[start]
+    new = np.ones(len(start), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
+    begin = np.flatnonzero(new)
+    first, last = start[begin], start[np.append(begin[1:], len(start)) - 1]
+    at = anchor[begin]
+    # a context is its bytes and the anchor's place in them
+    context = C.mix(sums(first, last + least) + (at - first).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+    return h[at], context, first + base, last + base, np.searchsorted(offsets, first, "right") - 1 + row
+
+
 def _contexts(table: pa.Table, least: int, buckets: int) -> pa.Table:
     block = B.Block(table)
     a = Anchors(block, least, buckets)
@@ -126,11 +129,16 @@ def _judge(table: pa.Table) -> pa.Table:
     return rows
 
 
+def _prefix_words(data: np.ndarray, starts: np.ndarray, depth: int) -> list[np.ndarray]:
+    """The first ``depth`` bytes of the suffixes at ``starts`` as 64-bit words that sort like them."""
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8) if len(starts) else np.zeros((0, 8), np.uint8)
+    at = sorted({*range(0, depth - 7, 8), depth - 8})
+    return [eight[starts + k].view(">u8").ravel().astype(np.uint64) for k in at]
+
+
 def suffix_array(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` to ``depth`` bytes (ties by place), and whether each shares them with the one before."""
-    at = sorted({*range(0, depth - 7, 8), depth - 8})
-    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
-    words = [eight[starts + k].copy().view(">u8").ravel().astype(np.uint64) for k in at]
+    words = _prefix_words(data, starts, depth)
     order = np.lexsort(words[::-1])
     same = np.zeros(len(order), bool)
     if len(order):
@@ -140,6 +148,15 @@ def suffix_array(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
     return order, same
 
 
+def _prefix_digest(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that tell prefixes of ``depth`` bytes apart."""
+    a, b = np.zeros(len(starts), np.uint64), np.full(len(starts), 0x9E3779B97F4A7C15, np.uint64)
+    for w in _prefix_words(data, starts, depth):
+        a = C.mix(a * np.uint64(0xD1342543DE82EF95) + w)
+        b = C.mix(b ^ w) * np.uint64(0xA24BAED4963EE407)
+    return a, C.mix(b) & np.uint64(0xFFFFFFFF)
+
+
 def _resolve(table: pa.Table, judged: pa.Table, least: int, buckets: int) -> pa.Table:
     block = B.Block(table)
     a = Anchors(block, least, buckets)
@@ -171,8 +188,7 @@ def _resolve(table: pa.Table, judged: pa.Table, least: int, buckets: int) -> pa.
     s, doc = s[~later], doc[~later]
     turn = np.argsort(s)
     s, doc = s[turn], doc[turn]
-    h1 = C.Spans(block.data)(s, s + least)
-    h2 = C.Spans(block.data, 1)(s, s + least) & np.uint64(0xFFFFFFFF)
+    h1, h2 = _prefix_digest(block.data, s, least)
     return B.minima_rows(number, buckets, _merged(ranges), h1, h2, doc, s)
 
 
@@ -275,23 +291,78 @@ def interval_tree(data: bytes, bounds: np.ndarray, starts: np.ndarray, least: in
             stack.append((lcp, first))
 
 
+GROUPS = "repeat string, n_bytes long, doc_id long, start long"
+
+
+def _pieces(table: pa.Table, judged: pa.Table, least: int, buckets: int, around: int) -> pa.Table:
+    """The surroundings of a block's repeated anchors, with the shard that the anchor belongs to."""
+    block = B.Block(table)
+    a = Anchors(block, least, buckets)
+    v = B.from_six(b"".join(x.as_buffer() for c in judged.column("keys").chunks for x in c))
+    rows = np.zeros(0, np.int64)
+    if len(v) and len(a.key):
+        of = np.repeat(judged.column("bucket").to_numpy().astype(np.uint64), B.sizes(judged.column("keys"), 6))
+        known = np.unique(((of & np.uint64(0x3FFFF)) << B.KEY_BITS) | (v >> np.uint64(2)))
+        rows = np.flatnonzero(np.isin(B.combined(a.key, buckets), known))
+    begin = np.maximum(a.first[rows] - around, block.offsets[a.row[rows]])
+    end = np.minimum(a.last[rows] + least + around, block.offsets[a.row[rows] + 1])
+    return pa.table({
+        "anchor": pa.array(a.key[rows].view(np.int64)), "doc_id": pa.array(block.ids[a.row[rows]]),
+        "start": pa.array(begin - block.offsets[a.row[rows]]),
+        "piece": pa.array([block.data[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary())})
+
+
 def _groups(table: pa.Table, least: int) -> pa.Table:
-    """Maximal repeats of the candidate windows that one shard holds."""
-    place = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-    table = table.take(pa.array(place))
-    data, bounds = C.string_bytes(table.column("piece"))
-    size = np.diff(bounds)
-    starts = np.concatenate([np.arange(a, b - least + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] or [bounds[:0]])
-    raw = data.tobytes()
+    """Maximal repeats among the pieces of a shard; equal pieces are one suffix with several places."""
     rows = {c: [] for c in ("repeat", "n_bytes", "doc_id", "start")}
-    ids, begins = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
-    if len(size):
+    table = table.sort_by("anchor")
+    anchor = table.column("anchor").to_numpy()
+    edge = np.append(np.flatnonzero(np.diff(anchor, prepend=anchor[:1] - 1)), len(anchor))
+    ids, begins = table.column("doc_id"), table.column("start")
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        data, bounds = C.string_bytes(table.column("piece").slice(a, b - a).combine_chunks())
+        starts = np.concatenate([np.arange(x, y - least + 1) for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
+        raw = data.tobytes()
         for length, members in interval_tree(raw, bounds, starts, least):
             name = hashlib.sha256(raw[members[0] : members[0] + length]).hexdigest()
             of = np.searchsorted(bounds, members, "right") - 1
-            rows["repeat"] += [name] * len(members)
-            rows["n_bytes"] += [length] * len(members)
-            rows["doc_id"] += ids[of].tolist()
-            rows["start"] += (begins[of] + np.array(members) - bounds[of]).tolist()
+            for k, m in zip(of.tolist(), members, strict=True):
+                for d, s in zip(ids[a + k].as_py(), begins[a + k].as_py(), strict=True):
+                    rows["repeat"].append(name)
+                    rows["n_bytes"].append(length)
+                    rows["doc_id"].append(d)
+                    rows["start"].append(s + m - int(bounds[k]))
     return pa.table({"repeat": pa.array(rows["repeat"], pa.string()), **{
         c: pa.array(rows[c], pa.int64()) for c in ("n_bytes", "doc_id", "start")}})
+
+
+def maximal_repeats(docs: DataFrame, least: int = 50, around: int = 256) -> DataFrame:
+    """(repeat, n_bytes, doc_id, start) of every occurrence of each left-diverse common-prefix interval.
+
+    Shards are made by anchor, so the occurrences of an anchor meet whatever documents they are
+    in; equal surroundings are one suffix with a list of places. A repeat is followed ``around``
+    bytes beyond its anchor's windows on either side; a longer one shows as several overlapping
+    groups, one for each anchor. ``repeat`` is the SHA-256 of the repeated bytes.
+    """
+    dealt, buckets = B.blocks(docs)
+
+    def contexts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _contexts(table, least, buckets)
+
+    def judge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _judge(table)
+
+    def pieces(key: tuple[pa.Scalar, ...], table: pa.Table, judged: pa.Table) -> pa.Table:
+        return _pieces(table, judged, least, buckets, around)
+
+    def groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _groups(table, least)
+
+    by_block = dealt.groupBy("block")
+    judged = by_block.applyInArrow(contexts, CONTEXTS).groupBy("bucket").applyInArrow(judge, CONTEXTS)
+    found = by_block.cogroup(judged.groupBy("block")).applyInArrow(pieces, "anchor long, doc_id long, start long, piece binary")
+    same = found.groupBy("anchor", "piece").agg(F.collect_list(F.struct("doc_id", "start")).alias("at"))
+    same = same.select("anchor", "piece", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(8 * buckets))
+    out = same.withColumn("shard", shard).groupBy("shard").applyInArrow(groups, GROUPS).distinct()
+    return out.withColumn("doc_id", C.null_id())
