@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tempora.llm import common as C
 
 SHINGLE, BINS, BITS = 5, 128, 8
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 BIN_BITS = BINS.bit_length() - 1
 
 
