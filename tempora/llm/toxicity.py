@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tempora.llm import common as C
 
-BITS, DIM, SCALE = 18, 16, 60.0
-SAMPLE_ROWS, SAMPLE_TEXT, MIN_TEXTS = 2500, 8_000, 10
+BITS, DIM, SCALE = 18, 16, 200.0
+SAMPLE_ROWS, SAMPLE_TEXT, MIN_TEXTS = 2500, 8_000, 5
 GRAMS = (4, 5, 6)
 #: Neutral features added to each text, so that a few words alone do not decide.
 SMOOTH = 400
@@ -94,7 +94,7 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(weights)
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 0.05, decay: float = 3e-5, seed: int = 7):
+def fit(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 0.05, decay: float = 1e-4, seed: int = 7):
     """Softmax weights and embeddings fitted jointly; returns (number per bucket, intercept).
 
     Forward and backward passes go through ``embedding @ (w1 - w0)``, one number per bucket, so
