@@ -28,23 +28,63 @@ from tempora.llm import common as C
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long"
 #: Words whose ids a worker keeps between batches.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 
 class WordEncoder:
     """Ids of a text word by word.
 
     The vocabulary's normalizer and splitter never join characters across ASCII white space, so
-    a text's ids are its words' ids in order and each distinct word is encoded once. Words not
-    met for a while drop out of the cache: when its younger half is full, the older half goes.
+    a text's ids are its words' ids in order and each distinct word is encoded once. Words of
+    Latin letters, with or without a closing full stop or comma, need only lower case and the
+    vocabulary's model; all others take the whole way. Words not met for a while drop out of the
+    cache: when its younger half is full, the older half goes.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.encoder = Tokenizer.from_file(vocabulary)
+        self.model = self.encoder.model
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        # the character that stands for each byte of a Latin letter, as the library's own byte mapping has it
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_chars = {}
+        for first in range(0xC2, 0xCA):
+            for c in range(0x80, 0xC0):
+                pair = bytes([first, c])
+                mapped = level.pre_tokenize_str(pair.decode())[0][0]
+                self.byte_chars[first], self.byte_chars[c] = mapped[0], mapped[1]
+        self.closing = {m: self._whole([m])[0] for m in (b".", b",")}
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        coded = self.encoder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in coded]
+
+    def _latin(self, word: bytes) -> bytes | None:
+        if word.isascii():
+            if not word.isalpha():
+                return None
+            piece = word.lower().decode()
+        else:
+            s = word.decode()
+            if not s.isalpha() or max(s) > "\u023a" or "\u0130" in s:
+                return None
+            piece = s.lower().encode().decode("latin-1").translate(self.byte_chars)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def learn(self, words: list[bytes]) -> None:
+        rest = []
+        for w in words:
+            end = self.closing.get(w[-1:])
+            ids = self._latin(w[:-1] if end else w)
+            if ids:
+                self.known[w] = ids + end if end else ids
+            else:
+                rest.append(w)
+        self.known.update(zip(rest, self._whole(rest), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -59,9 +99,7 @@ class WordEncoder:
                 self.known[w] = self.older[w]
             else:
                 new.append(w)
-        coded = self.encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, coded, strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+        self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
