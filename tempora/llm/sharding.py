@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import common as C
 
-HASH_BITS, STEP = 60, 8
+HASH_BITS, STEP = 60, 4
 
 
 def hash_bits(c: Column) -> Column:
