@@ -32,7 +32,9 @@ RANK, OVERSAMPLE = 256, 16
 #: Words in a larger share of the passages carry no weight.
 COMMON = 0.005
 MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.22, 0.6, 0.5
-SLOTS = 22
+SLOTS = 18
+#: Weighted words whose vectors are in memory at a time, in whole documents.
+AT_ONCE = 30_000
 
 
 @dataclass
@@ -135,6 +137,17 @@ class Chunk:
     def only(self, keep: np.ndarray) -> Chunk:
         return Chunk(self.row[keep], self.pos[keep], self.ids[keep])
 
+    def parts(self) -> Iterator[Chunk]:
+        """Runs of whole documents of about ``AT_ONCE`` words."""
+        i, n = 0, len(self.row)
+        while i < n:
+            j = min(i + AT_ONCE, n)
+            if j < n:
+                j = int(np.searchsorted(self.row, self.row[j], "left"))
+                j = j if j > i else int(np.searchsorted(self.row, self.row[i], "right"))
+            yield Chunk(self.row[i:j], self.pos[i:j], self.ids[i:j])
+            i = j
+
     def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Half passages that hold words: where each begins among the words, its document and its number there."""
         half = self.pos // HALF
@@ -175,19 +188,17 @@ def _sketch(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     weight, omega = shared.value
     total = np.zeros_like(omega)
     for b in batches:
-        c = Chunk.of(b)
-        c = c.only(weight[c.ids] > 0)
-        begin, _, _, sums, follows = _half_sums(c, weight, omega)
-        if not len(begin):
-            continue
-        seen = 2 * sums
-        seen[1:][follows[1:]] += sums[:-1][follows[1:]]
-        seen[:-1][follows[1:]] += sums[1:][follows[1:]]
-        of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(c.ids))))
-        turn = np.argsort(c.ids, kind="stable")
-        words = c.ids[turn]
-        first = np.flatnonzero(np.diff(words, prepend=-1))
-        total[words[first]] += weight[words[first]][:, None] * np.add.reduceat(seen[of[turn]], first)
+        whole = Chunk.of(b)
+        for c in whole.only(weight[whole.ids] > 0).parts():
+            begin, _, _, sums, follows = _half_sums(c, weight, omega)
+            seen = 2 * sums
+            seen[1:][follows[1:]] += sums[:-1][follows[1:]]
+            seen[:-1][follows[1:]] += sums[1:][follows[1:]]
+            of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(c.ids))))
+            turn = np.argsort(c.ids, kind="stable")
+            words = c.ids[turn]
+            first = np.flatnonzero(np.diff(words, prepend=-1))
+            total[words[first]] += weight[words[first]][:, None] * np.add.reduceat(seen[of[turn]], first)
     some = np.flatnonzero(np.abs(total).sum(1))
     if len(some):
         yield pa.RecordBatch.from_arrays(
@@ -210,10 +221,11 @@ class Latent:
 
     def candidates(self, c: Chunk) -> Iterator[tuple[int, int, int, float]]:
         """(document, item, first word of the passage, cosine) above the threshold."""
-        c = c.only(self.weight[c.ids] > 0)
+        for part in c.only(self.weight[c.ids] > 0).parts():
+            yield from self._candidates(part)
+
+    def _candidates(self, c: Chunk) -> Iterator[tuple[int, int, int, float]]:
         begin, row, half, sums, follows = _half_sums(c, self.weight, self.basis)
-        if not len(begin):
-            return
         x = self.weight[c.ids]
         norm = np.add.reduceat(x * x, begin)
         count = np.diff(np.append(begin, len(x)))
