@@ -115,6 +115,7 @@ _LABEL = "left(monthname(make_date(2000, {m}, 1)), 3)"
         CASE WHEN NOT known THEN '' ELSE {_LABEL.format(m='bm')} || ' ' || year || ' was the ' || extreme || ' month in ' || city || ' that year.' END AS interpretation,
         CASE WHEN known THEN city || ' regional anomalies' END AS source_title FROM j WHERE NOT known OR bm IS NOT NULL""",
 )
+@star.one_daily_pass
 def _(spark, path):
     m = matrix2(spark, path)
     return A.year_month_answers(slots(spark, m, questions(m)), m, "city", KEY, BASE)
@@ -164,6 +165,7 @@ def _(spark, path):
 
 
 @query("question_router", "R10 R7 R8 R9 R11 M5 J6")
+@star.one_daily_pass
 def _(spark, path):
     # the matrix and the table answers are small results used by several branches: each is
     # computed once and cut off by a checkpoint in the shared folder

@@ -37,6 +37,7 @@ def _corpus(spark, path):
 
 
 @query("corpus_documents", "R1 F17 F14")
+@star.one_daily_pass
 def _(spark, path):
     return _corpus(spark, path)
 
@@ -115,22 +116,23 @@ def _(spark, path):
 
 
 @query("entity_documents", "F19 F18 I17")
+@star.one_daily_pass
 def _(spark, path):
     return D.entity_documents(
         climate.matrix(spark, path), summaries.slices(spark, path), summaries.city_full_summary(spark, path), "city")
 
 
 @query("dashboard_document", "F19 W9 T-3")
+@star.one_daily_pass
 def _(spark, path):
+    # the ranking has a row per entity and is a table of its own (city_ranking_combined)
     pred = models.city_pred(spark, path)
     m = climate.matrix(spark, path)
     sample = MD.even_sample(pred, "time", ["city"]).select(
         "position", F.round("y_true", 2).alias("actual"), F.round("y_pred", 2).alias("predicted"))
-    rank = SM.combined_ranking(summaries.city_summary(spark, path), "city").limit(20)
     return D.dashboard({
         "summary": summaries.region_summary(spark, path),
         "latest": SM.latest_metrics(climate.region_current(spark, path), SPEC),
-        "top_entities": rank,
         "model": MD.regression_metrics(pred),
         "predictions": sample,
         "threshold_days": SM.threshold_days(star.city_daily(spark, path), SPEC, summaries.THRESHOLDS),

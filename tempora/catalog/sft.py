@@ -39,6 +39,7 @@ def table_examples(spark, path):
 
 
 @query("sft_examples", "S1 S2 F17")
+@star.one_daily_pass
 def _(spark, path):
     return table_examples(spark, path)
 

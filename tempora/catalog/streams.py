@@ -70,7 +70,7 @@ def _(spark, path):
 def _(spark, path):
     out = shared_dir(spark, "snapshot")
     rows = jobs.as_stream(spark, path, "orders.parquet").select(
-        "o_custkey", F.to_date("o_orderdate").alias("time"), (-F.col("o_totalprice")).alias("neg_price"))
-    jobs.merge_stream(rows, ["o_custkey", "time"], "time", "1996-03-01", out, f"{out}-checkpoint").awaitTermination()
-    # equal ranks fall to the smallest content, here the highest price
-    return jobs.read_snapshot(spark, out).select("o_custkey", "time", (-F.col("neg_price")).alias("price"))
+        "o_custkey", F.to_date("o_orderdate").alias("time"), F.col("o_totalprice").alias("price"))
+    jobs.merge_stream(
+        rows, ["o_custkey", "time"], "time", "1996-03-01", out, f"{out}-checkpoint", order="price").awaitTermination()
+    return jobs.read_snapshot(spark, out).select("o_custkey", "time", "price")

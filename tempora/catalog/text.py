@@ -8,7 +8,7 @@ from tempora.catalog import climate
 from tempora.catalog.base import MATRIX, query, with_sql
 from tempora.functions import text as TX
 from tempora.operators import retrieval as R
-from tempora.session import shared_dir
+from tempora.session import input_state, shared_dir
 from tempora.sources import star
 
 SP = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
@@ -63,9 +63,15 @@ def corpus(spark, path):
     return d.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "source", "text")
 
 
+_INDEXES: dict = {}
+
+
 def stored_index(spark, path):
-    """Index of the documents, rebuilt in the shared folder as the first step of every retrieval query."""
-    return R.write_index(documents(spark, path), "doc_id", "text", shared_dir(spark, "index"), buckets=16)
+    """Index of the documents in the shared folder; written once for one state of the input file."""
+    key = (spark.sparkContext.applicationId, input_state(spark, [f"{path}/documents.parquet"]))
+    if key not in _INDEXES:
+        _INDEXES[key] = R.write_index(documents(spark, path), "doc_id", "text", shared_dir(spark, "index"), buckets=16)
+    return _INDEXES[key]
 
 
 def hits(spark, path, k=3, frequent=10_000):
@@ -231,4 +237,4 @@ def _(spark, path):
 @query("index_refresh", "R4", with_sql(INDEX) + """ SELECT term, df, max(weight) AS max_weight, idf FROM dv JOIN idf USING (term)
   GROUP BY term, df, idf""", "max_weight idf")
 def _(spark, path):
-    return stored_index(spark, path)[1]
+    return stored_index(spark, path)[1].drop("bucket")

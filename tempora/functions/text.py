@@ -53,8 +53,7 @@ def paragraphs(c: Column, limit: int = 3) -> Column:
 def words(c: Column) -> Column:
     """Lower-case tokens without stop words, in text order."""
     found = F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(found, lambda w: ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def bigrams(tokens: Column) -> Column:
@@ -73,13 +72,13 @@ def z_label(z: Column) -> Column:
     )
 
 
-def z_prose(z: Column) -> Column:
+def z_prose(z: Column, record: str = "35-year record") -> Column:
     a = F.abs(z)
     return (
         F.when(a < 0.5, "within the normal range").when(a < 1.0, "slightly unusual")
         .when(a < 1.5, "anomalous — outside typical variability")
         .when(a < 2.0, "very anomalous — in the ~5th percentile of historical years")
-        .when(z.isNotNull(), "extreme — a rare event in the 35-year record")
+        .when(z.isNotNull(), f"extreme — a rare event in the {record}")
     )
 
 
@@ -109,14 +108,17 @@ def first_number(c: Column, pattern: str) -> Column:
     return F.regexp_extract(c, pattern, 1).try_cast("double")
 
 
-def interpretation(answer: Column) -> Column:
-    """Plain sentences on the anomaly, z-score and fit figures found in an answer; may be empty."""
+def interpretation(answer: Column, average: str = "30-year average", record: str = "35-year record") -> Column:
+    """Plain sentences on the anomaly, z-score and fit figures found in an answer; may be empty.
+
+    ``average`` and ``record`` name the baseline and the whole period of the figures.
+    """
     v = F.coalesce(first_number(answer, TEMP_ANOMALY_PATTERN), first_number(answer, ANY_ANOMALY_PATTERN))
     z = first_number(answer, ZSCORE_PATTERN)
     parts = [
         F.concat(F.lit("This means it has been "), intensity(v), F.lit(" "), direction(v),
-                 F.lit(" than the 30-year average ("), fixed(v, 1, plus=True), F.lit(" °C).")),
-        F.concat(F.lit("A z-score of "), fixed(z, 2, plus=True), F.lit(" is "), z_prose(z), F.lit(".")),
+                 F.lit(f" than the {average} ("), fixed(v, 1, plus=True), F.lit(" °C).")),
+        F.concat(F.lit("A z-score of "), fixed(z, 2, plus=True), F.lit(" is "), z_prose(z, record), F.lit(".")),
         fit_sentence(first_number(answer, R2_PATTERN)),
     ]
     return F.concat_ws(" ", *parts)

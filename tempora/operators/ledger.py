@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def run_history(runs: DataFrame, name: str, required: list[str], limit: int = 200) -> DataFrame:
-    """The first ``limit`` runs of a name, oldest first, then only those with the required metrics."""
-    first = runs.filter(F.col("name") == name).orderBy("start_time", "run_id").limit(limit)
+def run_history(runs: DataFrame, name: str, required: list[str], limit: int | None = None) -> DataFrame:
+    """Runs of a name with the required metrics, oldest first; with ``limit`` among the first runs only."""
+    first = runs.filter(F.col("name") == name).orderBy("start_time", "run_id")
+    if limit is not None:
+        first = first.limit(limit)
     have = [F.try_element_at("metrics", F.lit(m)).isNotNull() for m in required]
     for h in have:
         first = first.filter(h)
@@ -24,9 +26,9 @@ def newest_run(runs: DataFrame) -> DataFrame:
 
 
 def champion(versions: DataFrame) -> DataFrame:
-    """Newest version of every model that passed its gate."""
+    """Newest version of every model that passed its gate; among equal versions the largest run id."""
     return versions.filter("passed").groupBy("model").agg(
-        F.max("version").alias("version"), F.max_by("run_id", "version").alias("run_id"))
+        F.max("version").alias("version"), F.max_by("run_id", F.struct("version", "run_id")).alias("run_id"))
 
 
 def version_for_run(versions: DataFrame) -> DataFrame:

@@ -97,6 +97,8 @@ def even_sample(pred: DataFrame, time: str, tie: list[str], points: int = 200) -
     """
     part = F.substring(F.md5(F.col(tie[0]).cast("string")), 1, 2)
     placed = with_global_position(pred, [("_day", F.col(time)), ("_part", part)], [F.col(c) for c in tie])
+    if points == 1:
+        return placed.filter("position = 0").drop("total")
     step = (F.col("total") - 1) / F.lit(float(points - 1))
     near = F.floor(F.col("position") / step)
 

@@ -9,35 +9,29 @@ from tempora.functions.text import NO_ANSWER, answer_score, bigrams, first_sente
 from tempora.session import shared_table
 
 
-def _tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, w): the words of every text, after the texts were spread by their key.
+def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, n, total): occurrences of each word and bigram; ``total`` counts every token.
 
-    Texts are spread before they are cut, so the many more token rows need no exchange for
-    counting, and a single large input file still feeds all cores.
+    Texts are cut in the scan. The tokens of a text stand in one task, so its counts are
+    complete before the exchange and only (key, term, count) rows travel, never text.
     """
-    return docs.select(key, text).repartition(key).select(key, words(F.col(text)).alias("w"))
-
-
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, n, total): occurrences of each word and bigram; ``total`` counts every token."""
-    rows = _tokens(docs, key, text).select(
+    rows = docs.select(key, words(F.col(text)).alias("w")).select(
         key, F.explode(F.concat("w", bigrams(F.col("w")))).alias("term"),
         (F.size("w") + F.greatest(F.size("w") - 1, F.lit(0))).alias("total"))
     return rows.groupBy(key, "term").agg(F.count("*").alias("n"), F.max("total").alias("total"))
 
 
-def inverse_document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Smoothed idf per term: ln((1 + N) / (1 + df)) + 1.
-
-    Each text contributes its distinct terms, so the count is combined on the map side and a
-    term of every document reaches the exchange once per task.
-    """
-    size = docs.agg(F.count("*")).scalar()
-    terms = _tokens(docs, key, text).select(F.explode(F.array_distinct(F.concat("w", bigrams(F.col("w"))))).alias("term"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+def _idf(counts: DataFrame, size: Column) -> DataFrame:
+    """(term, df, idf) of stored term counts, smoothed: ln((1 + N) / (1 + df)) + 1."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
     return df.withColumn("idf", F.log((1 + F.greatest(size, F.lit(1))) / (1 + F.col("df"))) + 1.0)
 
 
+def inverse_document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, df, idf) of a corpus. A term's rows are combined on the map side."""
+    return _idf(term_counts(docs, key, text), docs.agg(F.count("*")).scalar())
+
+
 def _unit(w: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """tf x idf scaled to unit length per key."""
     raw = w.withColumn("w", F.col("n") / F.col("total") * F.col("idf"))
@@ -48,13 +42,19 @@ def _unit(w: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
 def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): unit-length vectors of a corpus in long form.
 
+    The texts are cut once: the counts are stored and both sides of the term join read them.
     Both sides of the term join grow with the corpus, and their size after the token explosion
     is unknown to the optimizer, so the join is pinned to sort-merge and never broadcast. A
     frequent term fills one join partition; adaptive execution splits it, because the following
     exchange on the key leaves the join free to do so.
     """
-    idf = inverse_document_frequency(docs, key, text)
-    return _unit(term_counts(docs, key, text).join(idf.select("term", "idf").hint("merge"), "term"), key)
+    counts = shared_table(term_counts(docs, key, text), "term-counts")
+    idf = _idf(counts, docs.agg(F.count("*")).scalar())
+    return _unit(counts.join(idf.select("term", "idf").hint("merge"), "term"), key)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -65,15 +65,15 @@ def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int =
     The vocabulary (term, df, max_weight, idf) is aggregated from the stored vectors.
     """
     spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    vectors = build_index(docs, key, text).withColumn("bucket", bucket)
+    vectors = build_index(docs, key, text).withColumn("bucket", _bucket(buckets))
     vectors.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
     stored = spark.read.parquet(f"{path}/vectors")
+    # the vocabulary carries each term's folder, so questions join on (bucket, term) and prune
     size = docs.agg(F.count("*")).scalar()
-    vocabulary = stored.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("max_weight")).withColumn(
+    vocabulary = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("weight").alias("max_weight")).withColumn(
         "idf", F.log((1 + F.greatest(size, F.lit(1))) / (1 + F.col("df"))) + 1.0)
     vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    return stored.drop("bucket"), spark.read.parquet(f"{path}/vocabulary")
+    return stored, spark.read.parquet(f"{path}/vocabulary")
 
 
 def top_per_question(scores: DataFrame, question: str, doc: str, k: int) -> DataFrame:
@@ -84,17 +84,17 @@ def top_per_question(scores: DataFrame, question: str, doc: str, k: int) -> Data
 
 
 def question_vectors(questions: DataFrame, question: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """(question, term, q_weight, df, max_weight) of the question terms found in the vocabulary.
+    """(question, bucket, term, q_weight, df, max_weight) of the question terms found in the vocabulary.
 
     Terms outside the vocabulary count in the length of the question but carry no weight.
     """
     known = term_counts(questions, question, text).join(vocabulary, "term")
-    return _unit(known, question, ("df", "max_weight")).withColumnRenamed("weight", "q_weight")
+    return _unit(known, question, ("bucket", "df", "max_weight")).withColumnRenamed("weight", "q_weight")
 
 
 def _dots(index: DataFrame, terms: DataFrame, doc: str, question: str) -> DataFrame:
     """Dot products over shared terms, combined on the map side."""
-    return index.join(terms, "term").groupBy(question, doc).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
+    return index.join(terms, ["bucket", "term"]).groupBy(question, doc).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
 
 
 def retrieve(
@@ -126,8 +126,8 @@ def retrieve(
     open_hot = hot.join(decided.filter(~F.col("settled")).select(question), question)
     reachable = partial.join(settled, question).filter(F.col("score") + F.col("bound") >= F.col("kth") - 2e-6)
     lookups = shared_table(
-        reachable.select(question, doc).join(hot.select(question, "term", "q_weight"), question), "lookups")
-    found = index.join(lookups, ["term", doc]).select(question, doc, (F.col("weight") * F.col("q_weight")).alias("score"))
+        reachable.select(question, doc).join(hot.select(question, "bucket", "term", "q_weight"), question), "lookups")
+    found = index.join(lookups, ["bucket", "term", doc]).select(question, doc, (F.col("weight") * F.col("q_weight")).alias("score"))
     total = partial.unionByName(found).unionByName(_dots(index, open_hot, doc, question)).groupBy(question, doc).agg(
         F.sum("score").alias("score"))
     return top_per_question(total.filter(F.col("score") > 0), question, doc, k)
@@ -144,23 +144,35 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def _unit_vector(c: str) -> Column:
+    """Components divided by the vector's length; NULL for a vector of zeros."""
+    v = F.col(c)
+    return F.transform(v, lambda x: F.try_divide(x.cast("double"), F.sqrt(F.col("_sq"))))
+
+
+def _normalized(df: DataFrame, column: str, out: str) -> DataFrame:
+    v = F.col(column)
+    return df.withColumn("_sq", _dot(v, v)).filter("_sq > 0").withColumn(out, _unit_vector(column)).drop("_sq")
+
+
 def dense_top_k(
-    vectors: DataFrame, queries: DataFrame, key: str, embedding: str, question: str, k: int = 3, max_queries: int = 1000
+    vectors: DataFrame, queries: DataFrame, key: str, embedding: str, question: str, k: int = 3, block: int = 256
 ) -> DataFrame:
-    """Cosine top-k of dense vectors for a batch of at most ``max_queries`` query vectors.
+    """Cosine top-k of dense vectors for any number of query vectors.
 
-    The batch travels as one array, so each vector row scores all queries inside its own task and
-    nothing is joined. A larger batch is refused rather than silently cut; split it into batches.
-    One query above the limit is enough to see that, so no more than that are ever gathered.
+    Queries are cut into blocks of about ``block`` by hash; a vector meets each block as one
+    array and scores its queries inside the task. Vectors and queries are brought to unit length
+    once. Only k rows per query leave a task. Zero vectors have no direction and no score.
     """
-    limit = F.when(F.count("*") <= max_queries, F.collect_list(F.struct(question, "query"))).otherwise(
-        F.raise_error(F.lit(f"more than {max_queries} query vectors in one batch")).cast(
-            queries.select(F.array(F.struct(question, "query")).alias("a")).schema["a"].dataType))
-    batch = queries.limit(max_queries + 1).agg(limit.alias("b")).scalar()
-    e = F.col(embedding)
-    scored = vectors.select(key, embedding, F.sqrt(_dot(e, e)).alias("len"), F.explode(batch).alias("q")).select(
-        key, F.col(f"q.{question}").alias(question),
-        F.try_divide(_dot(e, F.col("q.query")), F.col("len") * F.sqrt(_dot(F.col("q.query"), F.col("q.query")))).alias("score"))
+    queries = shared_table(_normalized(queries, "query", "u").select(question, "u"), "unit-queries")
+    blocks = max(1, -(-queries.count() // block))
+    of = F.pmod(F.xxhash64(question), F.lit(blocks).cast("long")).alias("_block")
+    groups = queries.groupBy(of).agg(F.collect_list(F.struct(question, "u")).alias("_q"))
+    unit = _normalized(vectors.select(key, embedding), embedding, "_v").withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = unit.join(groups, "_block")
+    scored = met.select(key, "_v", F.explode("_q").alias("q")).select(
+        key, F.col(f"q.{question}").alias(question), _dot(F.col("_v"), F.col("q.u")).alias("score"))
     return top_per_question(scored, question, key, k)
 
 

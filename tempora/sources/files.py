@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from collections import defaultdict
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,15 +27,36 @@ def read_observations_csv(spark: SparkSession, path: str, spec: ObservationSpec)
     """Observation CSV with a header and any subset of the known measures, fill values cleaned.
 
     The header alone decides which columns exist; types come from the specification, so no
-    pass over the data is spent on inference. A cell that does not parse becomes NULL.
+    pass over the data is spent on inference. Files may differ in the order and choice of their
+    columns: files of one header are read together and the groups are united by name. A cell
+    that does not parse becomes NULL.
     """
-    header = spark.read.option("header", True).csv(path).columns
     known = {f.name: f for f in observation_schema(spec).fields}
-    schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for file in spark.read.text(path).inputFiles():
+        groups[tuple(first_line(spark, file))].append(file)
+    parts = []
+    for header, files in sorted(groups.items()):
+        schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+        parts.append(spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(files))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return clean_sentinel(df, spec.sentinel)
 
 
+def first_line(spark: SparkSession, file: str) -> list[str]:
+    """The cells of a CSV file's first line; only that line is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    raw = at.getFileSystem(conf).open(at)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return next(csv.reader([line.lstrip("\ufeff")])) if line else []
+
+
 def write_ordered_csv(df: DataFrame, path: str, order: list[str | Column]) -> None:
     """CSV part files with a header whose concatenation in file order is the total order."""
     df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)

@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.functions.numeric import clean_sentinel
+from tempora.session import stored_once
+
+
+_SHARED: ContextVar[bool] = ContextVar("one_daily_pass", default=False)
+
+
+def one_daily_pass(f):
+    """For results composed of many others: all of them read one stored daily table.
+
+    The table is made once per application for one state of its input files.
+    """
+    @wraps(f)
+    def run(*args):
+        token = _SHARED.set(True)
+        try:
+            return f(*args)
+        finally:
+            _SHARED.reset(token)
+
+    return run
 
 
 # The tables' columns. Reading with a schema saves a job per table that would only open footers.
@@ -86,5 +109,10 @@ def daily_from_rows(rows: DataFrame, extra_keys: list[str] | None = None) -> Dat
 def city_daily(
     spark: SparkSession, path: str, first_year: int | None = None, last_year: int | None = None
 ) -> DataFrame:
-    rows = clean_sentinel(raw_observations(spark, path, first_year, last_year))
-    return daily_from_rows(rows)
+    """One row per (entity, day)."""
+    def build() -> DataFrame:
+        return daily_from_rows(clean_sentinel(raw_observations(spark, path, first_year, last_year)))
+
+    if first_year is not None or last_year is not None or not _SHARED.get():
+        return build()
+    return stored_once(spark, "daily", [f"{path}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")], build)

@@ -184,3 +184,42 @@ def test_global_position_is_a_permutation_in_order(spark):
     assert [(r["k"], -r["id"]) for r in out] == want
     assert [r["position"] for r in out] == list(range(1000)) and out[0]["total"] == 1000
     assert not math.isnan(out[0]["position"])
+
+
+def test_csv_files_of_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time,temperature_2m_mean,precipitation_sum,city\n2020-01-01,1.0,9.0,X\n")
+    (tmp_path / "b.csv").write_text("city,precipitation_sum,time,temperature_2m_mean\nX,9.0,2020-01-02,1.0\n")
+    (tmp_path / "c.csv").write_text("time,city\n2020-01-03,X\n")
+    out = files.read_observations_csv(spark, str(tmp_path), SPEC).orderBy("time").collect()
+    assert [(r["temperature_2m_mean"], r["precipitation_sum"], r["city"]) for r in out] == [(1.0, 9.0, "X")] * 2 + [(None, None, "X")]
+
+
+def test_champion_of_equal_versions_does_not_depend_on_the_order(spark):
+    from tempora.operators import ledger as L
+
+    rows = [("m", 1, 3, True), ("m", 2, 3, True), ("m", 9, 2, True)]
+    for r in (rows, rows[::-1]):
+        df = spark.createDataFrame(r, "model string, run_id int, version int, passed boolean")
+        assert [tuple(x) for x in L.champion(df).collect()] == [("m", 3, 2)]
+
+
+def test_run_history_is_whole(spark):
+    from tempora.operators import ledger as L
+
+    df = spark.createDataFrame([("a", i, i, {"r": 1.0}) for i in range(300)], "name string, run_id int, start_time int, metrics map<string,double>")
+    assert L.run_history(df, "a", ["r"]).count() == 300
+    assert L.run_history(df, "a", ["r"], limit=200).count() == 200
+
+
+def test_shared_folder_is_required_off_one_machine(spark, monkeypatch):
+    from tempora import session
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+        class sparkContext:
+            master = "spark://host"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_root(Elsewhere)

@@ -67,6 +67,7 @@ def test_metrics_of_constant_truth(spark):
 
 def test_one_day_holding_all_rows_is_numbered_in_parts(spark):
     df = spark.createDataFrame([(date(2020, 1, 1), i, float(i)) for i in range(500)], "time date, id int, y double")
+    assert [r["position"] for r in MD.even_sample(df, "time", ["id"], points=1).collect()] == [0]
     got = MD.even_sample(df, "time", ["id"], points=1000)
     assert sorted(r["position"] for r in got.collect()) == list(range(500))
 
@@ -166,13 +167,11 @@ def test_retrieval_is_exact_with_and_without_frequent_terms(spark, tmp_path, fre
     assert got == brute_top(docs, qs, 3)
 
 
-def test_dense_batch_limit(spark):
-    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, e array<float>")
-    q = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.0, 2.0])], "q string, query array<double>")
+def test_dense_queries_in_blocks(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id int, e array<float>")
+    q = spark.createDataFrame([(i, [1.0, 0.1] if i % 2 else [0.0, 2.0]) for i in range(1001)], "q int, query array<double>")
     top = {r["q"]: r["id"] for r in R.dense_top_k(v, q, "id", "e", "q", 1).collect()}
-    assert top == {"a": 1, "b": 2}
-    with pytest.raises(Exception, match="more than 1 query"):
-        R.dense_top_k(v, q, "id", "e", "q", 1, max_queries=1).collect()
+    assert top == {i: 1 if i % 2 else 2 for i in range(1001)}
 
 
 def test_entity_lookup_finds_the_first_contained_name(spark):
