@@ -26,8 +26,13 @@ _MULTIPLIER = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _SHIPPED: set[str] = set()
 
 
+#: Rows of text in an Arrow batch; Spark's default of 10,000 is for narrow rows.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application (as ``--py-files`` would)."""
+    """Send this package to the executors, once per application (as ``--py-files`` would), and keep batches of texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -100,7 +100,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
     items = shared.value
     for b in batches:
         data, offsets = C.string_bytes(b.column("text"))
-        for i, j in C.slices(offsets, 4 << 20):
+        for i, j in C.slices(offsets, C.PASS):
             pos, ids, count = [], [], []
             h, first = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             n = items.numbers(h)
@@ -360,7 +360,7 @@ def _clean(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     for b in batches:
         data, offsets = C.string_bytes(b.column("text"))
         good = np.ones(b.num_rows, bool)
-        for i, j in C.slices(offsets, 4 << 20):
+        for i, j in C.slices(offsets, C.PASS):
             h, first = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             n = latent.items.numbers(h)
             at = np.flatnonzero(n >= 0)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import common as C
 
-NEWLINE, CHUNK = 0x0A, 4 << 20
+NEWLINE = 0x0A
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 RUNS = "hash long, doc_id long, text_id long, pos int, n_docs long, edge boolean"
@@ -34,7 +34,7 @@ def _line_hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[
     for b in batches:
         data, offsets = C.string_bytes(b.column("text"))
         ids, tids = b.column("doc_id").to_numpy(), b.column("text_id").to_numpy()
-        for i, j in C.slices(offsets, CHUNK):
+        for i, j in C.slices(offsets, C.PASS):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             part = LOWER[part]
             starts, ends, _ = C.words(part, at)

@@ -159,7 +159,7 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = C.string_bytes(b.column("text"))
         fp = np.zeros((b.num_rows, len(SALTS)), np.uint64)
         some = np.zeros(b.num_rows, bool)
-        for i, j in C.slices(offsets, 4 << 20):
+        for i, j in C.slices(offsets, C.PASS):
             h, _, _, first = C.word_hashes(FOLD[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
             for k in range(j - i):
                 own = np.unique(h[first[k] : first[k + 1]])
@@ -186,7 +186,7 @@ def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = C.string_bytes(b.column("text"))
-        for i, j in C.slices(offsets, 4 << 20):
+        for i, j in C.slices(offsets, C.PASS):
             h, _, _, first = C.word_hashes(FOLD[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
             span, sets = C.Spans(h), []
             for r in range(j - i):

@@ -176,7 +176,7 @@ def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         score = np.zeros(b.num_rows)
         if shared is not None:
             table, intercept = shared.value
-            for i, j in C.slices(offsets, 2 << 20):
+            for i, j in C.slices(offsets, C.PASS):
                 z = log_odds(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table) + intercept
                 score[i:j] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         keep = [c for c in b.schema.names if c != "text"]
@@ -200,7 +200,7 @@ def _clean(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         data, offsets = C.string_bytes(b.column("text"))
         table, intercept = shared.value
         good = np.ones(b.num_rows, bool)
-        for i, j in C.slices(offsets, 2 << 20):
+        for i, j in C.slices(offsets, C.PASS):
             z = log_odds(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table) + intercept
             good[i:j] = 1 / (1 + np.exp(-np.clip(z, -500, 500))) < THRESHOLD
         yield b.filter(pa.array(good))
