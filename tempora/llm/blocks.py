@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import common as C
 
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 LEAST_BLOCKS = 32
 KEY_BITS = np.uint64(46)
 KEY_MASK = np.uint64((1 << 46) - 1)
