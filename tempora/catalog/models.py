@@ -315,19 +315,21 @@ def _(spark, path):
 
 @query(
     "fit_normal_equations", "M1 M2",
-    " UNION ALL ".join(
-        f"SELECT '{t}' AS target, '{n}' AS feature, CAST(0 AS DOUBLE) AS moment" for t in FT.TARGETS for n in ("intercept", *INPUTS)),
-    "moment",
+    with_sql(FEATURES) + f", tr AS (SELECT *, 1.0 AS intercept FROM features WHERE year < {TEST_FROM}) " + " UNION ALL ".join(
+        f"SELECT '{t}' AS target, '{n}' AS feature, avg({n} * {t}) AS moment, avg({n} * {t}) AS fitted_moment FROM tr"
+        for t in FT.TARGETS for n in ("intercept", *INPUTS)),
+    "moment fitted_moment",
 )
 @star.one_daily_pass
 def _(spark, path):
-    # at the least-squares solution the training residuals are orthogonal to every input
+    # at the least-squares solution, and only there, the fitted values have the targets' moments with every input
     models, contract, _ = _fitted(spark, path)
     train, _ = FT.chronological_split(features(spark, path), TEST_FROM)
     scored = MD.score(train, models, contract, FT.TARGETS).withColumn("intercept", F.lit(1.0))
     names = {"y": "y_pred", "y_min": "y_min_pred", "y_max": "y_max_pred"}
     cells = [
-        F.struct(F.lit(t).alias("target"), F.lit(n).alias("feature"), F.avg((F.col(t) - F.col(names[t])) * F.col(n)).alias("moment"))
+        F.struct(F.lit(t).alias("target"), F.lit(n).alias("feature"), F.avg(F.col(t) * F.col(n)).alias("moment"),
+                 F.avg(F.col(names[t]) * F.col(n)).alias("fitted_moment"))
         for t in FT.TARGETS for n in ("intercept", *contract.columns)
     ]
     one = scored.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)])

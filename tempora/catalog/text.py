@@ -133,6 +133,40 @@ def _(spark, path):
         TX.intensity(a).alias("intensity"), TX.direction(a).alias("direction"))
 
 
+R2_BANDS = """CASE WHEN r2 > 1 THEN NULL WHEN r2 >= 0.8 THEN 'R² = ' || printf('%.2f', r2) || ' indicates the model explains most of the variance — a good fit.'
+  WHEN r2 >= 0.65 THEN 'R² = ' || printf('%.2f', r2) || ' means the model captures the main seasonal pattern reasonably well.'
+  WHEN r2 >= 0 THEN 'R² = ' || printf('%.2f', r2) || ' suggests the model has limited predictive power.'
+  ELSE 'R² = ' || printf('%.2f', r2) || ' means the model is worse than predicting the mean — it needs improvement.' END"""
+
+
+@query(
+    "fit_sentences", "F9",
+    f"WITH r AS (SELECT o_orderkey, CAST(o_orderkey % 190 - 80 AS DOUBLE) / 100.0 AS r2 FROM orders) SELECT o_orderkey, {R2_BANDS} AS sentence FROM r",
+)
+def _(spark, path):
+    r2 = (F.col("o_orderkey") % 190 - 80).cast("double") / 100.0
+    return star.table(spark, path, "orders").select("o_orderkey", TX.fit_sentence(r2).alias("sentence"))
+
+
+@query(
+    "interpretation", "F10",
+    f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 97 - 48 AS DOUBLE) / 10.0 AS v, CAST(o_orderkey % 61 - 30 AS DOUBLE) / 10.0 AS z,
+      CAST(o_orderkey % 190 - 80 AS DOUBLE) / 100.0 AS r2 FROM orders)
+      SELECT o_orderkey, 'This means it has been ' || CASE WHEN abs(v) < 1 THEN 'slightly' WHEN abs(v) < 3 THEN 'notably' ELSE 'significantly' END
+      || CASE WHEN v > 0 THEN ' warmer' ELSE ' colder' END || ' than the 30-year average (' || printf('%+.1f', v) || ' °C). A z-score of '
+      || printf('%+.2f', z) || ' is ' || CASE WHEN abs(z) < 0.5 THEN 'within the normal range' WHEN abs(z) < 1 THEN 'slightly unusual'
+        WHEN abs(z) < 1.5 THEN 'anomalous — outside typical variability'
+        WHEN abs(z) < 2 THEN 'very anomalous — in the ~5th percentile of historical years'
+        ELSE 'extreme — a rare event in the 35-year record' END || '.' || coalesce(' ' || {R2_BANDS}, '') AS interpretation FROM o""",
+)
+def _(spark, path):
+    k = F.col("o_orderkey")
+    answer = F.concat(
+        F.lit("The region had an anomaly: "), F.format_string("%+.1f", (k % 97 - 48).cast("double") / 10.0), F.lit("°C, z-score "),
+        F.format_string("%.1f", (k % 61 - 30).cast("double") / 10.0), F.lit(", R² = "), F.format_string("%.2f", (k % 190 - 80).cast("double") / 100.0))
+    return star.table(spark, path, "orders").select("o_orderkey", TX.interpretation(answer).alias("interpretation"))
+
+
 @query(
     "document_frequency", "R2",
     with_sql(INDEX) + " SELECT term, df, idf FROM idf", "idf",

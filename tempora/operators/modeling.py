@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +18,46 @@ from tempora.spec import ObservationSpec
 PREDICTION_EDGES = (-20, -15, -10, -5, 0, 5, 10, 15, 20, 25, 30, 35)
 
 
-def _assembled(df: DataFrame, contract: FeatureContract, keep: tuple[str, ...]) -> DataFrame:
-    inputs = contract.apply(df, keep)
-    return VectorAssembler(inputCols=list(contract.columns), outputCol="features").transform(inputs)
+@dataclass(frozen=True)
+class LinearModel:
+    intercept: float
+    coefficients: tuple[float, ...]
 
+    def value(self, columns: tuple[str, ...]) -> Column:
+        out = F.lit(self.intercept)
+        for c, n in zip(self.coefficients, columns, strict=True):
+            out = out + F.lit(c) * F.col(n)
+        return out
 
-def fit_regressors(train: DataFrame, contract: FeatureContract) -> dict[str, LinearRegressionModel]:
-    """A linear model per target present; MLlib solves the normal equations in one distributed pass."""
-    targets = [t for t in TARGETS if t in train.columns]
-    data = _assembled(train, contract, tuple(targets))
-    return {
-        t: LinearRegression(featuresCol="features", labelCol=t, solver="normal").fit(data.filter(F.col(t).isNotNull()))
-        for t in targets
-    }
 
+def fit_regressors(train: DataFrame, contract: FeatureContract) -> dict[str, LinearModel]:
+    """A linear model per target present, by the normal equations.
 
-def coefficients(spark, models: dict[str, LinearRegressionModel], contract: FeatureContract) -> DataFrame:
+    All moments of all targets are sums of one aggregate over the training rows; the system of
+    one equation per input is solved on the driver.
+    """
+    targets = [t for t in TARGETS if t in train.columns]
+    data = contract.apply(train, tuple(targets))
+    x = [F.lit(1.0), *(F.col(c) for c in contract.columns)]
+    n = len(x)
+    cells = []
+    for t in targets:
+        own = F.col(t).isNotNull()
+        cells += [F.sum(F.when(own, x[i] * x[j])) for i in range(n) for j in range(i, n)]
+        cells += [F.sum(x[i] * F.col(t)) for i in range(n)]
+    row = [v or 0.0 for v in data.agg(*(c.alias(f"m{k}") for k, c in enumerate(cells))).first()]
+    models, each = {}, n * (n + 1) // 2 + n
+    for k, t in enumerate(targets):
+        sums = row[k * each : (k + 1) * each]
+        gram = np.zeros((n, n))
+        gram[np.triu_indices(n)] = sums[:-n]
+        gram = gram + np.triu(gram, 1).T
+        w = np.linalg.lstsq(gram, np.array(sums[-n:]), rcond=1e-13)[0]
+        models[t] = LinearModel(float(w[0]), tuple(map(float, w[1:])))
+    return models
+
+
+def coefficients(spark, models: dict[str, LinearModel], contract: FeatureContract) -> DataFrame:
     rows = [
         (t, n, float(v)) for t, m in models.items()
         for n, v in [("intercept", m.intercept), *zip(contract.columns, m.coefficients)]
@@ -41,14 +66,12 @@ def coefficients(spark, models: dict[str, LinearRegressionModel], contract: Feat
 
 
 def score(
-    df: DataFrame, models: dict[str, LinearRegressionModel], contract: FeatureContract, keep: tuple[str, ...] = ()
+    df: DataFrame, models: dict[str, LinearModel], contract: FeatureContract, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``y_pred`` (and ``y_min_pred``/``y_max_pred``) from the fitted models."""
-    out = _assembled(df, contract, keep)
     names = {"y": "y_pred", "y_min": "y_min_pred", "y_max": "y_max_pred"}
-    for t, m in models.items():
-        out = m.copy({m.predictionCol: names[t]}).transform(out)
-    return out.drop("features")
+    columns = tuple(contract.columns)
+    return contract.apply(df, keep).withColumns({names[t]: m.value(columns) for t, m in models.items()})
 
 
 def predictions(test: DataFrame, models, contract: FeatureContract, keep: tuple[str, ...] = ()) -> DataFrame:
