@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempora.catalog import climate, models, summaries
-from tempora.catalog.base import B0, B1, MATRIX, SPEC, query, with_sql
+from tempora.catalog.base import B0, B1, MATRIX, REGISTRY, SPEC, query, with_sql
 from tempora.operators import degree_days as DG
 from tempora.operators import documents as D
 from tempora.operators import modeling as MD
@@ -138,3 +138,56 @@ def _(spark, path):
         "threshold_days": SM.threshold_days(star.city_daily(spark, path), SPEC, summaries.THRESHOLDS),
         "region_years": m.groupBy("year").agg(F.round(F.avg("anomaly"), 2).alias("mean_anomaly")),
     })
+
+
+def _entity_documents(spark, path):
+    return REGISTRY["entity_documents"].run(spark, path)
+
+
+@query(
+    "entity_document_regional", "F19 F18",
+    with_sql(MATRIX) + " SELECT city, year, month, mean_temp AS temp, anomaly, z_score AS z FROM matrix",
+    "temp anomaly z",
+)
+def _(spark, path):
+    # the documents' own cells, read back from their JSON
+    kind = "struct<regional: struct<data: map<string, map<string, struct<temp: double, anomaly: double, z: double>>>>>"
+    d = _entity_documents(spark, path).select("city", F.from_json("document", kind).alias("d"))
+    years = d.select("city", F.explode("d.regional.data").alias("year", "m"))
+    return years.select("city", F.col("year").cast("int").alias("year"), F.explode("m").alias("month", "c")).select(
+        "city", "year", F.col("month").cast("int").alias("month"), "c.*")
+
+
+@query(
+    "entity_document_months", "F19",
+    with_sql(summaries.SLICES) + """ SELECT city, CAST(month AS INTEGER) AS month, CAST(year AS INTEGER) AS year,
+      round(mean_temp_c, 3) AS mean_temp_c, round(anomaly_c, 3) AS anomaly_c, round(zscore, 3) AS zscore FROM slices""",
+    "mean_temp_c anomaly_c zscore",
+)
+def _(spark, path):
+    kind = "struct<months: map<string, struct<annual: array<struct<year: int, mean_temp_c: double, anomaly_c: double, zscore: double>>>>>"
+    d = _entity_documents(spark, path).select("city", F.from_json("document", kind).alias("d"))
+    months = d.select("city", F.explode("d.months").alias("month", "m"))
+    return months.select("city", F.col("month").cast("int").alias("month"), F.explode("m.annual").alias("a")).select("city", "month", "a.*")
+
+
+@query(
+    "entity_document_summary", "F19",
+    with_sql(summaries.CITY_SUMMARY) + " SELECT city, ytd_mean_temp, ytd_total_precip, temp_deviation, temp_zscore, precip_zscore FROM summary",
+    "ytd_mean_temp ytd_total_precip temp_deviation temp_zscore precip_zscore",
+)
+def _(spark, path):
+    kind = ("struct<summary: struct<ytd_mean_temp: double, ytd_total_precip: double, temp_deviation: double, "
+            "temp_zscore: double, precip_zscore: double>>")
+    return _entity_documents(spark, path).select("city", F.from_json("document", kind)["summary"].alias("s")).select("city", "s.*")
+
+
+@query(
+    "dashboard_region_years", "F19",
+    with_sql(MATRIX) + " SELECT CAST(year AS INTEGER) AS year, round(avg(anomaly), 2) AS mean_anomaly FROM matrix GROUP BY year",
+    "mean_anomaly",
+)
+def _(spark, path):
+    kind = "struct<region_years: array<struct<year: int, mean_anomaly: double>>>"
+    d = REGISTRY["dashboard_document"].run(spark, path)
+    return d.select(F.explode(F.from_json("document", kind)["region_years"]).alias("r")).select("r.*")
