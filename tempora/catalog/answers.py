@@ -7,12 +7,14 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tempora.catalog import climate, models, summaries, text
-from tempora.catalog.base import B0, B1, MATRIX, SPEC, query, with_sql
+from tempora.catalog.base import REGISTRY, B0, B1, MATRIX, SPEC, query, with_sql
 from tempora.functions.calendar import month_name
 from tempora.operators import answers as A
 from tempora.operators import climatology as C
+from tempora.operators import features as FT
 from tempora.operators import modeling as MD
 from tempora.operators import retrieval as R
+from tempora.operators import sft as SFT
 from tempora.session import ensure_checkpoint_dir
 from tempora.sources import star
 
@@ -178,12 +180,14 @@ def _(spark, path):
     qs = questions(m).unionByName(ahead).unionByName(bench).distinct()
     s = slots(spark, m, qs)
 
-    region = C.region_daily(daily, SPEC)
-    clim = C.daily_climatology(region, SPEC).select("month_day", F.col("climatology_temp_mean").alias("y_pred"))
-    bias = MD.year_bias(models.climatology_predictions(region).filter(F.col("year") == SPEC.current_year), ["year"], "time")
+    fitted, contract, test = models._fitted(spark, path)
+    ahead_pred = MD.score(FT.future_features(models.future(spark, path), contract), fitted, contract, ("time",)).select(
+        F.col("time").alias("target_date"), "y_pred")
+    past = MD.predictions(test, fitted, contract, ("time",)).withColumn("year", F.year("time"))
+    bias = MD.year_bias(past.filter(F.col("year") == SPEC.current_year), ["year"], "time")
     fc = (
-        MD.circular_range(daily, future, SPEC).withColumn("month_day", F.date_format("target_date", "MM-dd"))
-        .join(clim, "month_day").withColumn("year", F.year("target_date")).join(bias, "year", "left")
+        MD.circular_range(daily, future, SPEC).join(ahead_pred, "target_date")
+        .withColumn("year", F.year("target_date")).join(bias, "year", "left")
     )
     docs = text.corpus(spark, path)
     index, vocabulary = text.stored_index(spark, path)
@@ -198,3 +202,37 @@ def _(spark, path):
     found = R.extractive_answers(R.with_documents(hits, docs, "doc_id", KEY), KEY)
     found = found.withColumn("source_title", F.element_at("sources", 1)["title"])
     return A.route(qs, KEY, from_tables.unionByName(A.stack_answers([("retrieval", found)], KEY, 4)))
+
+
+@query(
+    "table_answer_evaluation", "R12 F15",
+    f"""WITH a AS ({REGISTRY['year_month_answers'].sql}), e AS (SELECT question, answer, CAST(source_title IS NOT NULL AS BIGINT) AS n FROM a)
+      SELECT question, NOT contains(answer, 'No relevant pipeline artifacts') AS answered, n AS source_count,
+        length(answer) AS answer_length, CAST({text.SCORE} AS DOUBLE) AS judge_score FROM e""",
+    "judge_score",
+)
+def _(spark, path):
+    a = REGISTRY["year_month_answers"].run(spark, path)
+    a = a.select("question", "answer", F.col("source_title").isNotNull().cast("long").alias("n_sources"))
+    return R.evaluation_rows(a).drop("answer", "n_sources")
+
+
+@query("router_evaluation", "R12 R10")
+def _(spark, path):
+    a = REGISTRY["question_router"].run(spark, path)
+    n = F.size("sources").cast("long") if "sources" in a.columns else F.col("source_title").isNotNull().cast("long")
+    return R.evaluation_rows(a.withColumn("n_sources", n)).select(KEY, "answered", "source_count", "answer_length", "judge_score")
+
+
+@query(
+    "sft_question_answers", "S1",
+    f"""WITH a AS ({REGISTRY['year_month_answers'].sql})
+      SELECT question AS instruction, '{{"question":' || CAST(to_json(question) AS VARCHAR) || ',"sources":' ||
+        CASE WHEN source_title IS NULL THEN '[]' ELSE '[' || CAST(to_json(source_title) AS VARCHAR) || ']' END || '}}' AS input,
+        answer || CASE WHEN interpretation = '' THEN '' ELSE ' ' || interpretation END AS output FROM a
+      WHERE trim(question) <> '' AND trim(answer) <> ''""",
+)
+def _(spark, path):
+    a = REGISTRY["year_month_answers"].run(spark, path)
+    a = a.withColumn("sources", F.array_compact(F.array("source_title")))
+    return SFT.question_answer_examples(a, KEY, "answer", "interpretation", "sources").select("instruction", "input", "output")

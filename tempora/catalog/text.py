@@ -74,9 +74,9 @@ def stored_index(spark, path):
     return _INDEXES[key]
 
 
-def hits(spark, path, k=3, frequent=10_000):
+def hits(spark, path, k=3, first=0.5):
     index, vocabulary = stored_index(spark, path)
-    return R.retrieve(index, vocabulary, star.table(spark, path, "benchmark"), "doc_id", "item_id", "text", k, frequent)
+    return R.retrieve(index, vocabulary, star.table(spark, path, "benchmark"), "doc_id", "item_id", "text", k, first)
 
 
 @query("normalize_text", "F11", f"SELECT doc_id, {norm_sql('text')} AS text FROM documents")
@@ -193,8 +193,8 @@ def _(spark, path):
     with_sql(INDEX, QUESTIONS) + " SELECT item_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM hits",
 )
 def _(spark, path):
-    # a low limit sends most terms down the bounded path
-    return hits(spark, path, frequent=20).withColumn("score", F.round("score", 4))
+    # a small share sends most terms down the bounded path
+    return hits(spark, path, first=0.1).withColumn("score", F.round("score", 4))
 
 
 @query(

@@ -99,22 +99,23 @@ def _dots(index: DataFrame, terms: DataFrame, doc: str, question: str) -> DataFr
 
 def retrieve(
     index: DataFrame, vocabulary: DataFrame, questions: DataFrame, doc: str, question: str, text: str, k: int = 3,
-    frequent: int = 10_000,
+    first: float = 0.5,
 ) -> DataFrame:
     """(question, doc, score, rank): the k most similar documents with a positive score.
 
-    Terms in at most ``frequent`` documents are matched by a plain join, which yields at most
-    that many rows per question term. More frequent terms are not matched against all their
-    documents. Their largest possible contribution to a question is known from the vocabulary;
-    where it cannot lift a document over the k-th best score found so far, only the documents
-    that can still reach the top k look their frequent terms up, by (term, document). Questions
-    without such a guarantee get the full join, so the result is exact in every case.
+    Each question's rarest terms, a share ``first`` of them, are matched with their documents.
+    The largest possible contribution of its other terms is known from the vocabulary; where it
+    cannot lift a document over the k-th best score found so far, only the documents that can
+    still reach the top k look these terms up, by (term, document). Questions without such a
+    guarantee are matched on all terms, so the result is exact in every case.
 
     Question vectors, first scores and lookups are read several times and are stored in between,
     which also tells the optimizer their true size for the joins with the index.
     """
     q = shared_table(question_vectors(questions, question, text, vocabulary), "question-vectors")
-    rare, hot = q.filter(F.col("df") <= frequent), q.filter(F.col("df") > frequent)
+    w = Window.partitionBy(question)
+    placed = q.withColumn("_place", F.row_number().over(w.orderBy("df", "term")) <= F.ceil(F.count("*").over(w) * first))
+    rare, hot = placed.filter("_place").drop("_place"), placed.filter(~F.col("_place")).drop("_place")
     partial = shared_table(_dots(index, rare, doc, question), "first-scores")
     kth = top_per_question(partial, question, doc, k).groupBy(question).agg(
         F.when(F.count("*") == k, F.min("score")).alias("kth"))

@@ -276,6 +276,14 @@ def strongest_examples(matrix: DataFrame, entity: str, n: int = 10) -> DataFrame
     return examples(f, F.lit("Identify strongest regional monthly anomaly signals."), F.to_json("rows"), _text("Top anomaly signals: ", listed, "."), "anomaly_matrix")
 
 
+def question_answer_examples(answers: DataFrame, question: str, answer: str, interpretation: str, sources: str) -> DataFrame:
+    """Answered questions as examples: the question with its sources, and the answer with its interpretation."""
+    q, a, i = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in (question, answer, interpretation))
+    context = F.to_json(F.struct(q.alias("question"), F.col(sources).alias("sources")))
+    full = F.when(i == "", a).otherwise(F.concat(a, F.lit(" "), i))
+    return examples(answers.filter((q != "") & (a != "")), q, context, full, "question_answers")
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
