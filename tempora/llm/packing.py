@@ -28,40 +28,38 @@ from tempora.llm import common as C
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long"
 #: Words whose ids a worker keeps between batches.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
-class WordEncoder:
-    """Ids of a text word by word.
+class WordEncoder(dict):
+    """Little-endian unsigned 32-bit ids of each word (bytes to bytes), encoded when first asked for.
 
     The vocabulary's normalizer and splitter never join characters across ASCII white space, so
     a text's ids are its words' ids in order and each distinct word is encoded once. Words of
     Latin letters, with or without a closing full stop or comma, need only lower case and the
-    vocabulary's model; all others take the whole way. Words not met for a while drop out of the
-    cache: when its younger half is full, the older half goes.
+    vocabulary's model; all others take the whole way. Words not met for a while drop out: when
+    the younger half is full, the older half goes.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.encoder = Tokenizer.from_file(vocabulary)
-        self.model = self.encoder.model
-        self.known: dict[bytes, bytes] = {}
+        self.tokens = self.encoder.model.tokenize
         self.older: dict[bytes, bytes] = {}
         # the character that stands for each byte of a Latin letter, as the library's own byte mapping has it
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_chars = {}
         for first in range(0xC2, 0xCA):
             for c in range(0x80, 0xC0):
-                pair = bytes([first, c])
-                mapped = level.pre_tokenize_str(pair.decode())[0][0]
+                mapped = level.pre_tokenize_str(bytes([first, c]).decode())[0][0]
                 self.byte_chars[first], self.byte_chars[c] = mapped[0], mapped[1]
-        self.closing = {m: self._whole([m])[0] for m in (b".", b",")}
+        self.closing = {m: self._whole(m) for m in (b".", b",")}
 
-    def _whole(self, words: list[bytes]) -> list[bytes]:
-        coded = self.encoder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in coded]
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.encoder.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def _latin(self, word: bytes) -> bytes | None:
         if word.isascii():
@@ -73,35 +71,23 @@ class WordEncoder:
             if not s.isalpha() or max(s) > "\u023a" or "\u0130" in s:
                 return None
             piece = s.lower().encode().decode("latin-1").translate(self.byte_chars)
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        rest = []
-        for w in words:
-            end = self.closing.get(w[-1:])
-            ids = self._latin(w[:-1] if end else w)
-            if ids:
-                self.known[w] = ids + end if end else ids
-            else:
-                rest.append(w)
-        self.known.update(zip(rest, self._whole(rest), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        if len(self.known) + len(words) > CACHE_WORDS // 2:
-            self.known, self.older = {}, self.known
-        words.difference_update(self.known)
-        new = []
-        for w in words:
-            if w in self.older:
-                self.known[w] = self.older[w]
-            else:
-                new.append(w)
-        self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        return array("I", [t.id for t in self.tokens(piece)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            end = self.closing.get(word[-1:], b"")
+            ids = self._latin(word[:-1] if end else word)
+            ids = ids + end if ids else self._whole(word)
+        self[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text."""
+        if len(self) > CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -118,10 +104,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -
         data, offsets = C.string_bytes(b.column("text"))
         ids = b.column("doc_id").to_pylist()
         for i, j in C.slices(offsets, 4 << 20):
-            texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
             rows = []
-            for d, coded in zip(ids[i:j], encoder.encode(texts), strict=True):
-                coded += end
+            for k in range(i, j):
+                d, coded = ids[k], encoder.encode(data[offsets[k] : offsets[k + 1]].tobytes()) + end
                 rows += [(d, p // width, p // 4, len(x := coded[p : p + width]) // 4, zlib.crc32(x))
                          for p in range(0, len(coded), width)]
             cols = list(zip(*rows, strict=True))
