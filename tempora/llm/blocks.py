@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import common as C
 
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 5 << 20
 LEAST_BLOCKS = 32
 KEY_BITS = np.uint64(46)
 KEY_MASK = np.uint64((1 << 46) - 1)
@@ -35,6 +35,7 @@ class Block:
     """The distinct (doc_id, text) rows of a block, smallest id first."""
 
     def __init__(self, table: pa.Table):
+        C.trim()
         ids = table.column("doc_id").to_numpy()
         tids = table.column("text_id").to_numpy()
         order = np.lexsort((tids, ids))
@@ -107,31 +108,36 @@ def covered(ranges: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-MINIMA = "bucket int, block int, ranges binary, h1 binary, h2 binary, doc binary, at binary"
+MINIMA = "bucket int, block int, ranges binary, twins binary, h1 binary, h2 binary, doc binary, at binary"
 
 
-def minima_rows(block: int, buckets: int, ranges: np.ndarray, h1, h2, doc, at) -> pa.Table:
-    """A block's settled ranges (bucket -1) and its smallest place of every open class, by bucket."""
-    out = {c: [] for c in ("bucket", "ranges", "h1", "h2", "doc", "at")}
+def minima_rows(block: int, buckets: int, ranges: np.ndarray, h1, h2, doc, at, twins=()) -> pa.Table:
+    """A block's settled ranges (bucket -1) and its smallest place of every open class, by bucket.
 
-    def row(bucket, ranges, h1, h2, doc, at):
-        for c, v in zip(out, (bucket, ranges, h1, h2, doc, at), strict=True):
+    ``twins`` are pairs of such a place and another of the same class and document; they share
+    its fate and stay with the block.
+    """
+    out = {c: [] for c in ("bucket", "ranges", "twins", "h1", "h2", "doc", "at")}
+
+    def row(*values):
+        for c, v in zip(out, values, strict=True):
             out[c].append(v)
 
-    row(-1, ranges.astype(np.uint32).tobytes(), None, None, None, None)
+    row(-1, ranges.astype(np.uint32).tobytes(), np.asarray(twins, np.uint32).tobytes(), None, None, None, None)
     if len(h1):
         turn, names, begin = cut(bucket_of(h1, buckets))
         for k, b in enumerate(names.tolist()):
             own = turn[begin[k] : begin[k + 1]]
-            row(b, None, h1[own].tobytes(), h2[own].astype(np.uint32).tobytes(), doc[own].tobytes(), at[own].astype(np.uint32).tobytes())
+            row(b, None, None, h1[own].tobytes(), h2[own].astype(np.uint32).tobytes(), doc[own].tobytes(), at[own].astype(np.uint32).tobytes())
     n = len(out["bucket"])
     return pa.table({
         "bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array([block] * n, pa.int32()),
-        **{c: pa.array(out[c], pa.binary()) for c in ("ranges", "h1", "h2", "doc", "at")}})
+        **{c: pa.array(out[c], pa.binary()) for c in ("ranges", "twins", "h1", "h2", "doc", "at")}})
 
 
 def losing_minima(table: pa.Table, by_place: bool) -> pa.Table:
     """Places of a bucket that some block has earlier: a smaller id, or with ``by_place`` the same id before."""
+    C.trim()
     h1, h2 = joined(table.column("h1"), np.uint64), joined(table.column("h2"), np.uint32)
     doc, at = joined(table.column("doc"), np.int64), joined(table.column("at"), np.uint32)
     block = np.repeat(table.column("block").to_numpy(), sizes(table.column("at"), 4))
@@ -147,17 +153,18 @@ def losing_minima(table: pa.Table, by_place: bool) -> pa.Table:
     place = at[lost][turn]
     return pa.table({
         "block": pa.array(names.astype(np.int32)), "ranges": pa.array([None] * len(names), pa.binary()),
+        "twins": pa.array([None] * len(names), pa.binary()),
         "lost": pa.array([place[begin[k] : begin[k + 1]].tobytes() for k in range(len(names))], pa.binary())})
 
 
 def settle(minima: DataFrame, by_place: bool) -> DataFrame:
-    """(block, ranges, lost): what each block has to remove."""
+    """(block, ranges, twins, lost): what each block has to remove."""
 
     def lose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return losing_minima(table, by_place)
 
-    lost = minima.filter("bucket >= 0").groupBy("bucket").applyInArrow(lose, "block int, ranges binary, lost binary")
-    sure = minima.filter("bucket < 0").select("block", "ranges", F.lit(None).cast("binary").alias("lost"))
+    lost = minima.filter("bucket >= 0").groupBy("bucket").applyInArrow(lose, "block int, ranges binary, twins binary, lost binary")
+    sure = minima.filter("bucket < 0").select("block", "ranges", "twins", F.lit(None).cast("binary").alias("lost"))
     return sure.unionByName(lost)
 
 
@@ -165,4 +172,6 @@ def removed(table: pa.Table, length: int, n: int) -> np.ndarray:
     """Mask of the places a block removes, from its rows of :func:`settle`."""
     ranges = joined(table.column("ranges"), np.uint32).reshape(-1, 2)
     lost = joined(table.column("lost"), np.uint32).astype(np.int64)
+    twins = joined(table.column("twins"), np.uint32).astype(np.int64).reshape(-1, 2)
+    lost = np.concatenate([lost, twins[np.isin(twins[:, 0], lost), 1]])
     return covered(np.concatenate([ranges.astype(np.int64), np.stack([lost, lost + length], 1)]), n)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import os
+import sys
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -23,6 +26,14 @@ WHITESPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MULTIPLIER = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
+def trim() -> None:
+    """Give memory that earlier groups or batches have freed back to the system; workers live long."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -101,6 +101,7 @@ def _contexts(table: pa.Table, least: int, buckets: int) -> pa.Table:
 
 def _judge(table: pa.Table) -> pa.Table:
     """Keys that several documents have: for each context its first document and whether the key has others."""
+    C.trim()
     v = B.from_six(b"".join(x.as_buffer() for c in table.column("keys").chunks for x in c))
     context, doc = B.joined(table.column("contexts"), np.uint32), B.joined(table.column("docs"), np.int64)
     size = B.sizes(table.column("keys"), 6)
@@ -185,11 +186,17 @@ def _resolve(table: pa.Table, judged: pa.Table, least: int, buckets: int) -> pa.
     doc = block.ids[np.searchsorted(block.offsets, s, "right") - 1]
     later = doc > doc[head]
     ranges = np.concatenate([ranges, np.stack([s[later], s[later] + least], 1)])
-    s, doc = s[~later], doc[~later]
+    # one place speaks for a class; the others of its document are its twins
+    s, doc, head = s[~later], doc[~later], head[~later]
+    new = np.ones(len(s), bool)
+    new[1:] = head[1:] != head[:-1]
+    lead = s[new][np.cumsum(new) - 1] if len(s) else s
+    twins = np.stack([lead[~new], s[~new]], 1)
+    s, doc = s[new], doc[new]
     turn = np.argsort(s)
     s, doc = s[turn], doc[turn]
     h1, h2 = _prefix_digest(block.data, s, least)
-    return B.minima_rows(number, buckets, _merged(ranges), h1, h2, doc, s)
+    return B.minima_rows(number, buckets, _merged(ranges), h1, h2, doc, s, twins)
 
 
 def _merged(ranges: np.ndarray) -> np.ndarray:

@@ -62,6 +62,7 @@ def _probes(table: pa.Table, half: int, buckets: int) -> pa.Table:
 
 def _hits(table: pa.Table) -> pa.Table:
     """Of each block's keys those that hit a reference block at another place."""
+    C.trim()
     v = B.from_six(b"".join(x.as_buffer() for c in table.column("keys").chunks for x in c))
     size = B.sizes(table.column("keys"), 6)
     source = np.repeat(np.arange(len(size)), size)
