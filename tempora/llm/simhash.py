@@ -171,16 +171,20 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of every segment, in the order of the bits and in a stride over them."""
     n = WIDE_BITS // WIDE_SEGMENT
+    order = np.arange(n * WIDE_SEGMENT)
+    stride = order * 11 % len(order)
     for b in batches:
         bits = np.unpackbits(
             np.stack([b.column(f"f{c}").to_numpy() for c in range(len(SALTS))], 1).view(np.uint8), axis=1, bitorder="little")
-        parts = bits[:, : n * WIDE_SEGMENT].reshape(-1, n, WIDE_SEGMENT).astype(np.int64) @ (1 << np.arange(WIDE_SEGMENT))
         ids = b.column("doc_id").to_numpy()
-        for s in range(n):
-            row, index = codewords(parts[:, (s + 1) % n])
-            key = (np.int64(s) << 40) | (parts[row, s] << 12) | index
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row])], ["key", "doc_id"])
+        for k, places in enumerate((order, stride)):
+            parts = bits[:, places].reshape(-1, n, WIDE_SEGMENT).astype(np.int64) @ (1 << np.arange(WIDE_SEGMENT))
+            for s in range(n):
+                row, index = codewords(parts[:, (s + 1) % n])
+                key = (np.int64(k * n + s) << 40) | (parts[row, s] << 12) | index
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row])], ["key", "doc_id"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
