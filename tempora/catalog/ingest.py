@@ -138,7 +138,8 @@ def _(spark, path):
     M,
 )
 def _(spark, path):
-    return I.merge_by_priority([feed(spark, path, f) for f in "ANR"], ["city", "time"], "source")
+    rows = clean_sentinel(star.raw_observations(spark, path))
+    return I.merge_tagged(star.daily_from_rows(rows, ["l_returnflag"]), ["city", "time"], "l_returnflag", list("ANR"), "source")
 
 
 @query(

@@ -60,6 +60,14 @@ def merge_by_priority(sources: list[DataFrame], keys: list[str], label: str | No
     return out.withColumnRenamed("_priority", label) if label else out.drop("_priority")
 
 
+def merge_tagged(rows: DataFrame, keys: list[str], tag: str, order: list[str], label: str | None = None) -> DataFrame:
+    """Like :func:`merge_by_priority` for sources that stand in one table, told apart by ``tag``: one scan for all."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col(tag)) - 1
+    tagged = rows.withColumn("_priority", rank.cast("int")).filter("_priority >= 0").drop(tag)
+    out = _picked(tagged, keys, F.col("_priority"))
+    return out.withColumnRenamed("_priority", label) if label else out.drop("_priority")
+
+
 def merge_existing_wins(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return merge_by_priority([existing, new], keys)
 
