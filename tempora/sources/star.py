@@ -110,9 +110,13 @@ def city_daily(
     spark: SparkSession, path: str, first_year: int | None = None, last_year: int | None = None
 ) -> DataFrame:
     """One row per (entity, day)."""
-    def build() -> DataFrame:
+    if not _SHARED.get():
         return daily_from_rows(clean_sentinel(raw_observations(spark, path, first_year, last_year)))
-
-    if first_year is not None or last_year is not None or not _SHARED.get():
-        return build()
-    return stored_once(spark, "daily", [f"{path}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")], build)
+    stored = stored_once(
+        spark, "daily", [f"{path}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")],
+        lambda: daily_from_rows(clean_sentinel(raw_observations(spark, path))))
+    if first_year is not None:
+        stored = stored.filter(F.col("time") >= F.lit(f"{first_year}-01-01").cast("date"))
+    if last_year is not None:
+        stored = stored.filter(F.col("time") < F.lit(f"{last_year + 1}-01-01").cast("date"))
+    return stored

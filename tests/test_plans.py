@@ -6,9 +6,11 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.catalog import load
+from tempora.catalog import load, text
 from tempora.operators import documents as D
+from tempora.operators import retrieval as R
 from tempora.plans import analysis, regional
+from tempora.session import shared_table
 from tempora.sources import star
 from tempora.spec import ObservationSpec
 
@@ -84,3 +86,22 @@ def test_dashboard_is_strict_json(spark):
     doc = D.dashboard({"one": bad, "many": spark.range(3)}).first()["document"]
     got = json.loads(doc, parse_constant=lambda c: pytest.fail(c))
     assert got["many"] == [{"id": 0}, {"id": 1}, {"id": 2}] and got["one"][0].get("x") is None
+
+
+@pytest.mark.parametrize("name", ["corpus_documents", "sft_examples", "dashboard_document", "entity_documents", "forecast_days", "question_router"])
+def test_composed_results_read_the_stored_daily_table(spark, name):
+    p = plan(load()[name].run(spark, PATH))
+    assert "lineitem.parquet" not in p
+
+
+def test_text_never_crosses_an_exchange(spark):
+    p = plan(R.term_counts(star.table(spark, PATH, "documents"), "doc_id", "text"))
+    above, below = p.split("Exchange", 1)
+    assert p.count("Exchange") == 1 and "Generate explode" in below and "text" not in below.split("\n", 1)[0]
+
+
+def test_questions_open_only_the_folders_of_their_terms(spark):
+    index, vocabulary = text.stored_index(spark, PATH)
+    assert text.stored_index(spark, PATH)[0] is index  # written once for one state of the documents
+    q = shared_table(R.question_vectors(star.table(spark, PATH, "benchmark"), "item_id", "text", vocabulary), "questions")
+    assert "dynamicpruning" in plan(R._dots(index, q.filter("df < 3"), "doc_id", "item_id"))
