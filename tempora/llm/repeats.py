@@ -71,7 +71,8 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, row: int, least: int) -> tup
     at = anchor[begin]
     # a context is its bytes and the anchor's place in them
     context = C.mix(sums(first, last + least) + (at - first).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-    return h[at], context, first + base, last + base, np.searchsorted(offsets, first, "right") - 1 + row
+    # the smallest hash of a window is small: mixed again, it deals anchors evenly over buckets
+    return C.mix(h[at]), context, first + base, last + base, np.searchsorted(offsets, first, "right") - 1 + row
 
 
 def _contexts(table: pa.Table, least: int, buckets: int) -> pa.Table:
