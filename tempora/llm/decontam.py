@@ -30,11 +30,11 @@ from tempora.llm.toxicity import FOLD
 PASSAGE, HALF, BLOCK, MIN_WORDS = 48, 24, 256, 6
 RANK, OVERSAMPLE = 256, 16
 #: Words in a larger share of the passages carry no weight.
-COMMON = 0.005
+COMMON = 0.002
 MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.22, 0.6, 0.5
 SLOTS = 18
 #: Weighted words whose vectors are in memory at a time, in whole documents.
-AT_ONCE = 30_000
+AT_ONCE = 8_000
 
 
 @dataclass
