@@ -136,12 +136,16 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts make up about ``size`` bytes; a longer text is a range of its own."""
+    """Row ranges whose texts make up about ``size`` bytes; a longer text is a range of its own.
+
+    After the last range of a batch, memory that is free again goes back to the system.
+    """
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    trim()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

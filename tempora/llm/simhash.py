@@ -107,6 +107,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
     for b in batches:
         data, offsets = C.string_bytes(b.column("text"))
         fp = [majority(shingle_hashes(word_list(data[offsets[i] : offsets[i + 1]].tobytes()), shingle)) for i in range(b.num_rows)]
+        C.trim()
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
 
