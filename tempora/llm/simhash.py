@@ -171,21 +171,19 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "same", "worded", *(f"f{c}" for c in range(len(SALTS)))])
 
 
-def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of every segment, in the order of the bits and in a stride over them."""
+def _wide_keys(batches: Iterator[pa.RecordBatch], stride: int) -> Iterator[pa.RecordBatch]:
+    """Keys of every segment; ``stride`` gives the order in which the bits make up segments."""
     n = WIDE_BITS // WIDE_SEGMENT
-    order = np.arange(n * WIDE_SEGMENT)
-    stride = order * 11 % len(order)
+    places = np.arange(n * WIDE_SEGMENT) * stride % (n * WIDE_SEGMENT)
     for b in batches:
         bits = np.unpackbits(
             np.stack([b.column(f"f{c}").to_numpy() for c in range(len(SALTS))], 1).view(np.uint8), axis=1, bitorder="little")
         ids = b.column("doc_id").to_numpy()
-        for k, places in enumerate((order, stride)):
-            parts = bits[:, places].reshape(-1, n, WIDE_SEGMENT).astype(np.int64) @ (1 << np.arange(WIDE_SEGMENT))
-            for s in range(n):
-                row, index = codewords(parts[:, (s + 1) % n])
-                key = (np.int64(k * n + s) << 40) | (parts[row, s] << 12) | index
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row])], ["key", "doc_id"])
+        parts = bits[:, places].reshape(-1, n, WIDE_SEGMENT).astype(np.int64) @ (1 << np.arange(WIDE_SEGMENT))
+        for s in range(n):
+            row, index = codewords(parts[:, (s + 1) % n])
+            key = (np.int64(s) << 40) | (parts[row, s] << 12) | index
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row])], ["key", "doc_id"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -213,25 +211,13 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
 
 
-def duplicate_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Ids of the documents that have a group of near duplicates with a smaller id in it.
-
-    Copies of a text count as one. Candidates are documents that share a Golay key of their
-    256-bit fingerprints over distinct words, each paired with the smallest id under the key,
-    so a key of n documents gives n - 1 pairs. Pairs are verified by the Jaccard similarity of
-    their sets of ``shingle``-word shingles; verified pairs are joined into groups.
-    """
-    d = docs.select(C.doc_id(), C.text())
+def _similar_ids(d: DataFrame, own: DataFrame, stride: int, shingle: int, similarity: float) -> DataFrame:
+    """Ids with a smaller id in their group, from candidates of one bit order."""
     cols = [f"f{c}" for c in range(len(SALTS))]
-    kinds = "doc_id long, same string, worded boolean, " + ", ".join(f"{c} long" for c in cols)
-    wide = C.store(d.withColumn("same", F.md5("text")).mapInArrow(_wide, kinds), "wide-fingerprints")
-    first = C.store(wide.groupBy("same").agg(F.min(F.struct("doc_id", "worded", *cols)).alias("x")).select("same", "x.*"), "texts")
-    own = first.filter("worded").drop("same", "worded").dropDuplicates(["doc_id"])
-    keys = C.store(own.mapInArrow(_wide_keys, "key long, doc_id long"), "wide-keys")
+    keys = C.store(own.filter("worded").mapInArrow(lambda it: _wide_keys(it, stride), "key long, doc_id long"), "wide-keys")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     near = C.store(keys.join(shared, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "near")
     C.discard(keys)
-    own = first.drop("same", "worded").dropDuplicates(["doc_id"])
     left = own.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in cols))
     right = own.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in cols))
     apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in cols), F.lit(0))
@@ -244,11 +230,34 @@ def duplicate_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     links_ = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(
         lambda it: _similar(it, similarity), "a long, b long")
-    near_ids = components(links_).filter("node <> component").select(F.col("node").alias("doc_id"))
+    out = C.store(components(links_).filter("node <> component").select(F.col("node").alias("doc_id")), "similar")
+    C.discard(sets)
+    return out
+
+
+def duplicate_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Ids of the documents that have a group of near duplicates with a smaller id in it.
+
+    Copies of a text count as one. Candidates are documents that share a Golay key of their
+    256-bit fingerprints over distinct words, each paired with the smallest id under the key,
+    so a key of n documents gives n - 1 pairs. Pairs are verified by the Jaccard similarity of
+    their sets of ``shingle``-word shingles; verified pairs are joined into groups. What is left
+    is searched once more with the bits in another order.
+    """
+    d = docs.select(C.doc_id(), C.text())
+    cols = [f"f{c}" for c in range(len(SALTS))]
+    kinds = "doc_id long, same string, worded boolean, " + ", ".join(f"{c} long" for c in cols)
+    wide = C.store(d.withColumn("same", F.md5("text")).mapInArrow(_wide, kinds), "wide-fingerprints")
+    first = C.store(wide.groupBy("same").agg(F.min(F.struct("doc_id", "worded", *cols)).alias("x")).select("same", "x.*"), "texts")
     heads = first.select("same", F.col("doc_id").alias("head"))
-    copies = wide.select("same", "doc_id").join(heads, "same").filter("doc_id <> head").select("doc_id")
     # a copy of a text goes whatever happens to the text itself
-    return C.store(near_ids.unionByName(copies).distinct(), "duplicates")
+    gone = wide.select("same", "doc_id").join(heads, "same").filter("doc_id <> head").select("doc_id")
+    own = first.drop("same").dropDuplicates(["doc_id"])
+    for stride in (1, 11):
+        similar = _similar_ids(d, own, stride, shingle, similarity)
+        own = own.join(similar, "doc_id", "left_anti")
+        gone = gone.unionByName(similar)
+    return C.store(gone.distinct(), "duplicates")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
