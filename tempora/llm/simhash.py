@@ -236,7 +236,9 @@ def _similar_ids(d: DataFrame, own: DataFrame, stride: int, shingle: int, simila
 
 
 def duplicate_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Ids of the documents that have a group of near duplicates with a smaller id in it.
+    """(doc_id, same) of the documents that have a near duplicate with a smaller id in their group.
+
+    ``same`` is the MD5 of the text that went; rows of the id with another text stay.
 
     Copies of a text count as one. Candidates are documents that share a Golay key of their
     256-bit fingerprints over distinct words, each paired with the smallest id under the key,
@@ -251,19 +253,21 @@ def duplicate_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     first = C.store(wide.groupBy("same").agg(F.min(F.struct("doc_id", "worded", *cols)).alias("x")).select("same", "x.*"), "texts")
     heads = first.select("same", F.col("doc_id").alias("head"))
     # a copy of a text goes whatever happens to the text itself
-    gone = wide.select("same", "doc_id").join(heads, "same").filter("doc_id <> head").select("doc_id")
-    own = first.drop("same").dropDuplicates(["doc_id"])
+    gone = wide.select("same", "doc_id").join(heads, "same").filter("doc_id <> head").select("doc_id", "same")
+    own = first.dropDuplicates(["doc_id"])
     for stride in (1, 11):
         similar = _similar_ids(d, own, stride, shingle, similarity)
+        gone = gone.unionByName(own.join(similar, "doc_id", "left_semi").select("doc_id", "same"))
         own = own.join(similar, "doc_id", "left_anti")
-        gone = gone.unionByName(similar)
     return C.store(gone.distinct(), "duplicates")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest id.
 
-    Rows that share a ``doc_id`` are one document: all of them stay or go.
+    Rows that repeat a ``doc_id`` and text stay or go together.
     """
-    gone = duplicate_ids(docs, shingle, similarity).select(F.col("doc_id").alias("__gone")).hint("shuffle_hash")
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NULL_ID)) == F.col("__gone"), "left_anti")
+    gone = duplicate_ids(docs, shingle, similarity).select(F.col("doc_id").alias("__gone"), F.col("same").alias("__same"))
+    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NULL_ID)) == F.col("__gone")) & (
+        F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col("__same"))
+    return docs.join(gone.hint("shuffle_hash"), on, "left_anti")
