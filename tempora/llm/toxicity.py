@@ -81,17 +81,15 @@ def places(offsets: np.ndarray) -> np.ndarray:
     return offsets + np.arange(len(offsets))
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket and weight (share of the text's features) of a few texts."""
-    rows, cols, weights = [], [], []
-    for i, t in enumerate(texts):
+def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and weights (share of the text's features) of a few texts."""
+    out = []
+    for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
         got = np.concatenate([b for b, _ in features(raw, np.array([0, len(raw)]))])
         b, n = np.unique(got, return_counts=True)
-        rows.append(np.full(len(b), i, np.int32))
-        cols.append(b.astype(np.int32))
-        weights.append((n * (SCALE / (len(got) + SMOOTH))).astype(np.float32))
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(weights)
+        out.append((b.astype(np.int32), (n * (SCALE / (len(got) + SMOOTH))).astype(np.float32)))
+    return out
 
 
 def fit(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 0.05, decay: float = 1e-4, seed: int = 7):
@@ -100,24 +98,36 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 0.0
     Forward and backward passes go through ``embedding @ (w1 - w0)``, one number per bucket, so
     a step costs two passes over the non-zero entries.
     """
-    rows, cols, weights = bags(texts)
+    bagged = bags(texts)
     y = labels.astype(np.float32)
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     # buckets of a few texts only could do nothing but learn these texts by heart
-    used = np.flatnonzero(np.bincount(cols, minlength=1 << BITS) >= min(MIN_TEXTS, len(texts)))
-    keep = np.isin(cols, used)
+    held = np.zeros(1 << BITS, np.int32)
+    for c, _ in bagged:
+        held[c] += 1
+    used = np.flatnonzero(held >= min(MIN_TEXTS, len(texts)))
     if not len(used):
         return np.zeros(1 << BITS, np.float32), 0.0
-    rows, cols, weights = rows[keep], np.searchsorted(used, cols[keep]).astype(np.int32), weights[keep]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    for i, (c, v) in enumerate(bagged):
+        k = place[c]
+        bagged[i] = (k[k >= 0], v[k >= 0])
+    rows = np.repeat(np.arange(len(bagged), dtype=np.int32), [len(c) for c, _ in bagged])
+    cols, weights = np.concatenate([c for c, _ in bagged]), np.concatenate([v for _, v in bagged])
+    del bagged
     turn = np.argsort(cols, kind="stable")
     cols_at = np.searchsorted(cols, np.arange(len(used)), sorter=turn)
     rows_turned, weights_turned = rows[turn], weights[turn]
     del turn
-    some, rows_at = np.unique(rows, return_index=True)
+    rows_at = np.flatnonzero(np.diff(rows, prepend=-1))
+    some = rows[rows_at]
+    del rows
     part = e[used]
+    del e
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (part, w, b)]
     n = len(texts)
     for t in range(1, steps + 1):
