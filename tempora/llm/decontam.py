@@ -3,8 +3,9 @@
 One scan turns every document into the positions of the benchmark's words. Passages are runs of
 ``PASSAGE`` words, half overlapping. Document frequencies over all passages give TF-IDF weights;
 a distributed randomised SVD (one sketch of A'A over all passages, the items folded in) gives
-the latent space. Passages with a high latent cosine to an item are candidates; a candidate is
-a leak when the longest common subsequence with the item covers ``MIN_LCS`` of its words and
+the latent space. Passages with a high latent cosine to an item are candidates, and so are the
+places where enough pairs of an item's neighbouring words stand together, however frequent the
+words and however many the copies of the leak. A candidate is a leak when the longest common subsequence with the item covers ``MIN_LCS`` of its words and
 the item's closing words (its answer) are there too. Words that no item has can neither match
 nor change a subsequence, so nothing is lost by leaving them out.
 
@@ -33,10 +34,16 @@ RANK, OVERSAMPLE = 256, 16
 COMMON = 0.002
 MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.22, 0.6, 0.5
 SLOTS = 18
+#: Neighbouring item words may have so many other benchmark words between them, less one, and still are a pair.
+GAPS = (1, 2, 3)
 #: Weighted words whose vectors are in memory at a time, in whole documents.
 AT_ONCE = 8_000
 
 
+def _slot_of(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+
 @dataclass
 class Items:
     """A block of benchmark items as sequences of word numbers."""
@@ -45,11 +52,28 @@ class Items:
     words: list[np.ndarray]
     hashes: np.ndarray  # sorted; a word's number is its place
     slot: np.ndarray = field(init=False)
+    pairs: np.ndarray = field(init=False)  # sorted pairs of neighbouring words in items
+    owners: np.ndarray = field(init=False)  # items that have each pair, from ``begin`` on
+    begin: np.ndarray = field(init=False)
+    least: np.ndarray = field(init=False)  # distinct pairs that a leak of the item has
+    maybe: np.ndarray = field(init=False)
 
     def __post_init__(self):
         # hashes spread over 2**SLOTS slots; each slot tells where its hashes begin
         at = (self.hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
         self.slot = np.searchsorted(at, np.arange((1 << SLOTS) + 1)).astype(np.int32)
+        own = [np.unique(w[:-1] * len(self.hashes) + w[1:]) for w in self.words]
+        codes, owners = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        turn = np.argsort(codes, kind="stable")
+        self.owners = owners[turn]
+        self.pairs, begin = np.unique(codes[turn], return_index=True)
+        self.begin = np.append(begin, len(codes))
+        # of n words k stay, in at most n - k + 1 runs: 2k - n - 1 pairs, less the item's repeated ones
+        n = np.array([len(w) for w in self.words])
+        k = np.ceil(MIN_LCS * n - 1e-9).astype(np.int64)
+        self.least = np.maximum(2 * k - n - 1 - (n - 1 - np.array([len(x) for x in own])), 1)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[_slot_of(self.pairs)] = True
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """Number of each hashed word, -1 for words of no item."""
@@ -218,6 +242,7 @@ class Latent:
     weight: np.ndarray
     basis: np.ndarray  # words x rank
     points: np.ndarray  # items x rank, unit length
+    places: dict = field(default_factory=dict)  # places of each word in an item and in its tail, as needed
 
     def candidates(self, c: Chunk) -> Iterator[tuple[int, int, int, float]]:
         """(document, item, first word of the passage, cosine) above the threshold."""
@@ -242,38 +267,111 @@ class Latent:
     def leaks(self, c: Chunk) -> dict[tuple[int, int], tuple[float, float, int]]:
         """(document, item) -> (share of the item in its longest common subsequence, cosine, first word)."""
         found: dict[tuple[int, int], tuple[float, float, int]] = {}
-        edge = None
+        if not len(c.row):
+            return found
+        edge = np.searchsorted(c.row, np.arange(c.row[-1] + 2))
         for row, i, start, cos in self.candidates(c):
-            item = self.items.words[i]
-            n = len(item)
+            n = len(self.items.words[i])
             if n < MIN_WORDS or found.get((row, i), (0.0,))[0] >= 1:
                 continue
-            if edge is None:
-                edge = np.searchsorted(c.row, np.arange(c.row[-1] + 2))
-            low, high = edge[row], edge[row + 1]
-            a, b = low + np.searchsorted(c.pos[low:high], [start - n, start + PASSAGE + n])
-            near = c.ids[a:b].tolist()
-            share = common_subsequence(item, near) / n
-            if share < MIN_LCS:
-                continue
-            tail = item[-max(3, n // 4):]
-            if common_subsequence(tail, near) / len(tail) >= MIN_ANSWER:
+            share = self.share(c, edge, row, i, start)
+            if share:
                 found[row, i] = max(found.get((row, i), (0.0, 0.0, 0)), (share, cos, start))
+        by_cosine = set(found)
+        for row, i, start in self.paired(c):
+            if (row, i) in by_cosine or found.get((row, i), (0.0,))[0] >= 1:
+                continue
+            # the window that begins with the pairs, and the one that has them in its middle
+            for at in (start, start + len(self.items.words[i]) // HALF * HALF):
+                share = self.share(c, edge, row, i, at, self.items.least[i])
+                if share > found.get((row, i), (0.0,))[0]:
+                    found[row, i] = share, self.cosine(c, edge, row, i, start), start
         return found
 
+    def share(self, c: Chunk, edge: np.ndarray, row: int, i: int, start: int, pairs: int = 0) -> float:
+        """Share of the item in its longest common subsequence with the words around a passage, 0 if it is no leak."""
+        item = self.items.words[i]
+        n = len(item)
+        low, high = edge[row], edge[row + 1]
+        a, b = low + np.searchsorted(c.pos[low:high], [start - n, start + PASSAGE + n])
+        near = c.ids[a:b].tolist()
+        if i not in self.places:
+            self.places[i] = word_places(item), word_places(item[-max(3, n // 4):])
+        whole, tail = self.places[i]
+        if pairs and sum(map(whole.__contains__, near)) < MIN_LCS * n:
+            return 0.0
+        share = _common(whole, n, near) / n
+        size = len(item[-max(3, n // 4):])
+        return share if share >= MIN_LCS and _common(tail, size, near) / size >= MIN_ANSWER else 0.0
+
+    def cosine(self, c: Chunk, edge: np.ndarray, row: int, i: int, start: int) -> float:
+        """Latent cosine of a passage to an item; 0 where no word has weight."""
+        low, high = edge[row], edge[row + 1]
+        a, b = low + np.searchsorted(c.pos[low:high], [start, start + PASSAGE])
+        ids = c.ids[a:b]
+        x = self.weight[ids]
+        return float((x @ self.basis[ids]) @ self.points[i] / max(np.sqrt((x * x).sum()), 1e-9))
+
+    def paired(self, c: Chunk) -> Iterator[tuple[int, int, int]]:
+        """(document, item, first word of a half) from where as many pairs of the item stand together as a leak has."""
+        items = self.items
+        n_words, n_items = len(items.hashes), len(items.words)
+        places, pairs = [], []
+        for gap in GAPS:
+            code = c.ids[:-gap] * n_words + c.ids[gap:]
+            at = np.flatnonzero(items.maybe[_slot_of(code)] & (c.row[gap:] == c.row[:-gap]))
+            k = np.searchsorted(items.pairs, code[at])
+            some = items.pairs[np.minimum(k, len(items.pairs) - 1)] == code[at] if len(items.pairs) else np.zeros(len(at), bool)
+            places.append(at[some])
+            pairs.append(k[some])
+        at, k = np.concatenate(places), np.concatenate(pairs)
+        size = items.begin[k + 1] - items.begin[k]
+        of = np.repeat(np.arange(len(k)), size)
+        item = items.owners[np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + items.begin[k[of]]]
+        at, k = at[of], k[of]
+        long_ = np.array([len(w) for w in items.words])
+        key = c.row[at] * n_items + item
+        turn = np.lexsort((at, key))
+        at, k, key, item = at[turn], k[turn], key[turn], item[turn]
+        last = np.arange(len(at)) + items.least[item] - 1
+        end = np.minimum(last, len(at) - 1)
+        near = (last < len(at)) & (key[end] == key) & (c.pos[at[end]] - c.pos[at] <= PASSAGE + 2 * long_[item])
+        near &= long_[item] >= MIN_WORDS
+        before = None
+        for x in np.flatnonzero(near).tolist():
+            row, i, start = int(c.row[at[x]]), int(item[x]), int(c.pos[at[x]]) // HALF * HALF
+            if (row, i, start) == before:
+                continue
+            least, far, seen, y = items.least[i], c.pos[at[x]] + PASSAGE + 2 * long_[i], set(), x
+            while y < len(at) and key[y] == key[x] and c.pos[at[y]] <= far and len(seen) < least:
+                seen.add(k[y])
+                y += 1
+            if len(seen) >= least:
+                before = row, i, start
+                yield row, i, start
 
-def common_subsequence(item: np.ndarray, words: list[int]) -> int:
-    """Length of the longest common subsequence, a machine word of the item at a time."""
+
+def word_places(item: np.ndarray) -> dict[int, int]:
+    """The places of each word in an item as the bits of a number."""
     place: dict[int, int] = {}
     for k, w in enumerate(item.tolist()):
         place[w] = place.get(w, 0) | (1 << k)
-    full = (1 << len(item)) - 1
+    return place
+
+
+def _common(place: dict[int, int], n: int, words: list[int]) -> int:
+    full = (1 << n) - 1
     v = full
     for w in words:
         if m := place.get(w):
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    return n - v.bit_count()
+
+
+def common_subsequence(item: np.ndarray, words: list[int]) -> int:
+    """Length of the longest common subsequence, a machine word of the item at a time."""
+    return _common(word_places(item), len(item), words)
 
 
 def latent_space(numbered: DataFrame, items: Items, rank: int = RANK) -> Latent:

@@ -77,6 +77,29 @@ def test_leaks_of_nothing(spark):
     assert decontam.drop_leaked(table(spark, [(1, "x")]), none).count() == 1
 
 
+def test_leaks_of_frequent_words(spark):
+    """A leak that a third of the documents have, and an item of everyday words only."""
+    r = random.Random(4)
+    everyday = "the of and to in a is that it was for on are as with his they at be this".split()
+    hidden, common = words(r, 30), [r.choice(everyday) for _ in range(25)]
+    rows, want = [], set()
+    for d in range(1500):
+        w = [r.choice(everyday) if r.random() < 0.5 else words(r, 1)[0] for _ in range(100)]
+        if d % 3 == 0:
+            w[40:40] = hidden
+            want.add((d, 1))
+        if d % 50 == 1:
+            w[60:60] = common
+            want.add((d, 2))
+        rows.append((d, " ".join(w)))
+    b = spark.createDataFrame([(1, " ".join(hidden)), (2, " ".join(common))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.leaked_documents(table(spark, rows), b).collect()}
+    assert want <= got
+    assert {d for d, i in got if i == 1} == {d for d, i in want if i == 1}
+    kept = {x.doc_id for x in decontam.drop_leaked(table(spark, rows), b).collect()}
+    assert kept == set(range(1500)) - {d for d, _ in got}
+
+
 def test_common_subsequence():
     r = random.Random(0)
     for _ in range(200):
