@@ -10,7 +10,8 @@ the item's closing words (its answer) are there too. Words that no item has can
 nor change a subsequence, so nothing is lost by leaving them out.
 
 The benchmark is the stated query set; it is taken in blocks of ``BLOCK`` items, so what is sent
-to executors is bounded by the block. Items of fewer than ``MIN_WORDS`` words are not judged.
+to executors is bounded by the block. Items of fewer than ``MIN_WORDS`` words are leaks where all
+their words stand in a row. A long item has a small cosine to any passage; its pairs find it.
 Null and empty texts have no leak. A null ``doc_id`` stays null; repeated rows give the same
 rows again. Extra columns are ignored.
 """
@@ -286,8 +287,23 @@ class Latent:
                 share = self.share(c, edge, row, i, at, self.items.least[i])
                 if share > found.get((row, i), (0.0,))[0]:
                     found[row, i] = share, self.cosine(c, edge, row, i, start), start
+        for row, i, start in self.verbatim(c):
+            if (row, i) not in found:
+                found[row, i] = 1.0, self.cosine(c, edge, row, i, start), start
         return found
 
+    def verbatim(self, c: Chunk) -> Iterator[tuple[int, int, int]]:
+        """(document, item, first word of a half) where all words of an item under ``MIN_WORDS`` stand in a row."""
+        for i, item in enumerate(self.items.words):
+            n = len(item)
+            if not 0 < n < MIN_WORDS:
+                continue
+            at = np.flatnonzero(c.ids[: max(len(c.ids) - n + 1, 0)] == item[0])
+            for k in range(1, n):
+                at = at[(c.ids[at + k] == item[k]) & (c.row[at + k] == c.row[at]) & (c.pos[at + k] == c.pos[at] + k)]
+            for x in at.tolist():
+                yield int(c.row[x]), i, int(c.pos[x]) // HALF * HALF
+
     def share(self, c: Chunk, edge: np.ndarray, row: int, i: int, start: int, pairs: int = 0) -> float:
         """Share of the item in its longest common subsequence with the words around a passage, 0 if it is no leak."""
         item = self.items.words[i]
@@ -331,24 +347,41 @@ class Latent:
         at, k = at[of], k[of]
         long_ = np.array([len(w) for w in items.words])
         key = c.row[at] * n_items + item
+        # most documents have too few of an item's pairs, wherever they stand
+        many = (np.bincount(key, minlength=1)[key] >= items.least[item]) & (long_[item] >= MIN_WORDS)
+        at, k, key, item = at[many], k[many], key[many], item[many]
+        # a window lies in two neighbouring tiles of its length
+        tile = c.pos[at] // (PASSAGE + 2 * long_[item])
+        tile += key * (int(tile.max(initial=0)) + 2)
+        distinct = np.sort(tile * len(items.pairs) + k)
+        distinct = distinct[np.diff(distinct, prepend=-1) > 0] // max(len(items.pairs), 1)
+        tiles, n = np.unique(distinct, return_counts=True)
+        beside = np.zeros(len(n), np.int64)
+        follows = np.flatnonzero(np.diff(tiles) == 1)
+        beside[follows] = n[follows + 1]
+        beside[follows + 1] = np.maximum(beside[follows + 1], n[follows])
+        of = np.searchsorted(tiles, tile)
+        some = (n + beside)[of] >= items.least[item]
+        at, k, key, item = at[some], k[some], key[some], item[some]
         turn = np.lexsort((at, key))
         at, k, key, item = at[turn], k[turn], key[turn], item[turn]
-        last = np.arange(len(at)) + items.least[item] - 1
-        end = np.minimum(last, len(at) - 1)
-        near = (last < len(at)) & (key[end] == key) & (c.pos[at[end]] - c.pos[at] <= PASSAGE + 2 * long_[item])
-        near &= long_[item] >= MIN_WORDS
-        before = None
-        for x in np.flatnonzero(near).tolist():
-            row, i, start = int(c.row[at[x]]), int(item[x]), int(c.pos[at[x]]) // HALF * HALF
-            if (row, i, start) == before:
-                continue
-            least, far, seen, y = items.least[i], c.pos[at[x]] + PASSAGE + 2 * long_[i], set(), x
-            while y < len(at) and key[y] == key[x] and c.pos[at[y]] <= far and len(seen) < least:
-                seen.add(k[y])
-                y += 1
-            if len(seen) >= least:
-                before = row, i, start
-                yield row, i, start
+        pos, near = c.pos[at].tolist(), {}
+        first, before, group = 0, None, -1
+        for y, (pair, own, i) in enumerate(zip(k.tolist(), key.tolist(), item.tolist(), strict=True)):
+            if own != group:
+                first, near, group, least, span = y, {}, own, int(items.least[i]), PASSAGE + 2 * int(long_[i])
+            near[pair] = near.get(pair, 0) + 1
+            while pos[y] - pos[first] > span:
+                left = int(k[first])
+                near[left] -= 1
+                if not near[left]:
+                    del near[left]
+                first += 1
+            if len(near) >= least:
+                start = pos[first] // HALF * HALF
+                if (own, start) != before:
+                    before = own, start
+                    yield own // n_items, i, start
 
 
 def word_places(item: np.ndarray) -> dict[int, int]:

@@ -100,6 +100,20 @@ def test_leaks_of_frequent_words(spark):
     assert kept == set(range(1500)) - {d for d, _ in got}
 
 
+def test_leaks_of_short_and_long_items(spark):
+    r = random.Random(6)
+    long_ = words(r, 1500)
+    items = [(1, "who wrote hamlet"), (2, "Why?"), (3, " ".join(long_)), (4, "name the capital of peru")]
+    text = lambda n: " ".join(words(r, n))
+    rows = [(0, f"{text(40)} Who wrote Hamlet {text(40)}"), (1, f"who {text(2)} wrote hamlet"), (2, f"{text(9)} why? {text(9)}"),
+            (3, f"{text(60)} {' '.join(long_)} {text(60)}"), (4, " ".join(long_[:800])), (5, text(300)),
+            (6, "name the capital"), (7, "of peru name the capital of peru"), (8, "who wrote")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.leaked_documents(table(spark, rows), b).collect()}
+    assert got == {(0, 1), (2, 2), (3, 3), (7, 4)}
+    assert {x.doc_id for x in decontam.drop_leaked(table(spark, rows), b).collect()} == {1, 4, 5, 6, 8}
+
+
 def test_common_subsequence():
     r = random.Random(0)
     for _ in range(200):
