@@ -70,7 +70,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, row: int, least: int) -> tup
     first, last = start[begin], start[np.append(begin[1:], len(start)) - 1]
     at = anchor[begin]
     # a context is its bytes and the anchor's place in them
-    context = C.mix(sums(first, last + least) + (at - first).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+    context = C.mix(sums(first, last + least) + (at - first).astype(np.uint64))
     # the smallest hash of a window is small: mixed again, it deals anchors evenly over buckets
     return C.mix(h[at]), context, first + base, last + base, np.searchsorted(offsets, first, "right") - 1 + row
 
@@ -96,7 +96,7 @@ def _contexts(table: pa.Table, least: int, buckets: int) -> pa.Table:
         "bucket": pa.array(names.astype(np.int32)),
         "block": pa.array(np.full(len(names), table.column("block")[0].as_py(), np.int32)),
         "keys": pa.array([B.six_bytes(packed[x]) for x in own], pa.binary()),
-        "contexts": pa.array([a.context[lead[x]].astype(np.uint32).tobytes() for x in own], pa.binary()),
+        "contexts": pa.array([a.context[lead[x]].tobytes() for x in own], pa.binary()),
         "docs": pa.array([docs[x].tobytes() for x in own], pa.binary())})
 
 
@@ -104,7 +104,7 @@ def _judge(table: pa.Table) -> pa.Table:
     """Keys that several documents have: for each context its first document and whether the key has others."""
     C.trim()
     v = B.from_six(b"".join(x.as_buffer() for c in table.column("keys").chunks for x in c))
-    context, doc = B.joined(table.column("contexts"), np.uint32), B.joined(table.column("docs"), np.int64)
+    context, doc = B.joined(table.column("contexts"), np.uint64), B.joined(table.column("docs"), np.int64)
     size = B.sizes(table.column("keys"), 6)
     source = np.repeat(np.arange(len(size)), size)
     turn = np.lexsort((doc, context, v >> np.uint64(2)))
@@ -168,12 +168,13 @@ def _resolve(table: pa.Table, judged: pa.Table, least: int, buckets: int) -> pa.
     if not len(v) or not len(a.key):
         return B.minima_rows(number, buckets, np.zeros((0, 2)), none, none, none, none)
     of = np.repeat(judged.column("bucket").to_numpy().astype(np.uint64), B.sizes(judged.column("keys"), 6))
-    known = C.mix(((of & np.uint64(0x3FFFF)) << B.KEY_BITS) | (v >> np.uint64(2))) ^ B.joined(judged.column("contexts"), np.uint32).astype(np.uint64)
+    context = B.joined(judged.column("contexts"), np.uint64)
+    known = C.mix(((of & np.uint64(0x3FFFF)) << B.KEY_BITS) | (v >> np.uint64(2))) ^ context
     first, mixed = B.joined(judged.column("docs"), np.int64), (v & np.uint64(1)) > 0
     turn = np.argsort(known)
-    known, first, mixed = known[turn], first[turn], mixed[turn]
+    known, context, first, mixed = known[turn], context[turn], first[turn], mixed[turn]
     k = np.minimum(np.searchsorted(known, a.both), len(known) - 1)
-    found = known[k] == a.both
+    found = (known[k] == a.both) & (context[k] == a.context)  # the key and 64 bits of the context
     ids = block.ids[a.row]
     settled = found & (ids > first[k])
     ranges = np.stack([a.first[settled], a.last[settled] + least], 1)

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.llm import lines, repeats, substrings
+from tempora.llm import common, lines, repeats, substrings
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001/documents.parquet"
@@ -143,3 +144,21 @@ def test_interval_tree_is_every_maximal_repeat():
             if len(at) > 1 and (len(left) > 1 or None in left) and (len(right) > 1 or None in right):
                 want.add((n, tuple(sorted(b + o for _, o, b in at))))
     assert got == want
+
+
+def test_contexts_that_agree_in_32_bits():
+    """300,000 surroundings of one anchor have as many digests."""
+    r = np.random.default_rng(3)
+    grams = r.integers(97, 123, 24 * 20000).astype(np.uint8)
+    at = np.arange(20000) * 24
+    best = at[np.argmin(common.Spans(grams)(at, at + 24))]
+    texts = r.integers(97, 123, (300_000, 76)).astype(np.uint8)
+    texts[:, 26:50] = grams[best : best + 24]
+    digests = []
+    for i in range(0, len(texts), 10_000):
+        key, context, *_ = repeats._anchors(texts[i : i + 10_000].ravel(), np.arange(10_001) * 76, 0, 50)
+        digests.append(np.stack([key, context], 1))
+    digests = np.concatenate(digests)
+    top = np.unique(digests[:, 0], return_counts=True)
+    own = digests[digests[:, 0] == top[0][top[1].argmax()], 1]
+    assert len(own) > 250_000 and len(np.unique(own)) == len(own)
