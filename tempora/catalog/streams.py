@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tempora.catalog.base import query
-from tempora.session import shared_dir
-from tempora.streaming import jobs
+from tempora.catalog.base import B0, B1, SPEC, query, with_sql
+from tempora.catalog.climate import CITY_ENRICHED, CUR, city_ytd
+from tempora.operators import climatology as C
+from tempora.session import shared_dir, shared_table
+from tempora.sources import star
+from tempora.streaming import jobs, rolling
 
 MONTHLY = """WITH o AS (SELECT o_orderpriority AS priority, date_trunc('month', o_orderdate) AS m, o_totalprice AS v FROM orders)
   SELECT priority, CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, avg(v) AS mean, count(v) AS count FROM o"""
@@ -63,14 +66,45 @@ def _(spark, path):
 
 @query(
     "stream_merge_snapshot", "ST4 I10",
-    """SELECT o_custkey, CAST(o_orderdate AS DATE) AS time, max(o_totalprice) AS price FROM orders
-      WHERE o_orderdate >= TIMESTAMP '1996-03-01' GROUP BY ALL""",
+    """SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+      arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS orderkey, arg_max(o_totalprice, {'d': o_orderdate, 'k': o_orderkey}) AS price
+      FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' GROUP BY ALL""",
     "price",
 )
 def _(spark, path):
-    out = shared_dir(spark, "snapshot")
-    rows = jobs.as_stream(spark, path, "orders.parquet").select(
-        "o_custkey", F.to_date("o_orderdate").alias("time"), F.col("o_totalprice").alias("price"))
-    jobs.merge_stream(
-        rows, ["o_custkey", "time"], "time", "1996-03-01", out, f"{out}-checkpoint", order="price").awaitTermination()
-    return jobs.read_snapshot(spark, out).select("o_custkey", "time", "price")
+    # three arrivals in an order that has nothing to do with the orders' dates
+    landed, out = shared_dir(spark, "landed"), shared_dir(spark, "snapshot")
+    rows = star.table(spark, path, "orders").filter(F.col("o_orderdate") >= F.lit("1996-03-01").cast("timestamp_ntz")).select(
+        "o_custkey", F.trunc("o_orderdate", "month").alias("month"), F.struct("o_orderdate", "o_orderkey").alias("placed"),
+        F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"), F.pmod(F.hash("o_orderkey"), F.lit(3)).alias("arrival"))
+    keys = ["o_custkey", "month"]
+    for k in range(3):
+        rows.filter(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(rows.drop("arrival").schema).parquet(landed)
+        jobs.merge_stream(stream, keys, "month", "1996-03-01", out, f"{out}-checkpoint", "placed").awaitTermination()
+    return jobs.read_snapshot(spark, out).select("o_custkey", "month", "orderkey", "price")
+
+
+@query(
+    "stream_daily_anomaly_rolling", "ST3 W1 W2 W3 W4",
+    with_sql(CITY_ENRICHED) + f" SELECT city, time, {', '.join((*rolling.INPUTS, *rolling.OUTPUTS))} FROM enriched",
+    " ".join((*rolling.INPUTS, *rolling.OUTPUTS)),
+)
+def _(spark, path):
+    """Daily rows arrive in three landings, series up to twelve days apart; the stream is restarted for each."""
+    landed, out = shared_dir(spark, "landed"), shared_dir(spark, "rolling")
+    clim = shared_table(C.daily_climatology(city_ytd(spark, path, B0, B1), SPEC, ("city",)), "climatology")
+    days = shared_table(city_ytd(spark, path, CUR, CUR), "days")
+    ahead = F.pmod(F.hash("city"), F.lit(2)) * 12
+    arrival = F.least(F.floor((F.dayofyear("time") + ahead) / 130), F.lit(2))
+    for k in range(3):
+        days.filter(arrival == k).write.mode("append").parquet(landed)
+        if k == 2:  # nothing comes after: a row without an entity moves the watermark past the last day
+            days.agg(F.max(SPEC.time).alias("time")).select(
+                *[(F.date_add("time", 60) if c == "time" else F.lit(None)).cast(days.schema[c].dataType).alias(c) for c in days.columns]
+            ).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(days.schema).parquet(landed)
+        joined = C.daily_anomalies(stream, clim, SPEC, ("city",)).select("city", "time", *rolling.INPUTS)
+        with rolling.state_store(spark):
+            jobs.run_available(rolling.rolling_stream(joined, ["city"], "time", "20 days"), out, f"{out}-checkpoint")
+    return spark.read.parquet(out)

@@ -69,10 +69,10 @@ def with_rolling_anomalies(df: DataFrame, spec: ObservationSpec, group_cols: tup
     return df.withColumns(cols)
 
 
-def apply_daily_climatology(
+def daily_anomalies(
     daily: DataFrame, climatology: DataFrame, spec: ObservationSpec, group_cols: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Left-join the climatology on (group, month-day), derive anomalies and rolling figures.
+    """Left-join the climatology on (group, month-day) and derive anomalies; ``daily`` may be a stream.
 
     The climatology has up to 366 rows per entity, so it carries no broadcast hint; Spark
     broadcasts it when it is below the size threshold.
@@ -84,7 +84,14 @@ def apply_daily_climatology(
     }
     if spec.snow in daily.columns and "climatology_snow_mean" in climatology.columns:
         cols["snow_anomaly"] = F.col(spec.snow) - F.col("climatology_snow_mean")
-    return with_rolling_anomalies(joined.withColumns(cols), spec, group_cols)
+    return joined.withColumns(cols)
+
+
+def apply_daily_climatology(
+    daily: DataFrame, climatology: DataFrame, spec: ObservationSpec, group_cols: tuple[str, ...] = ()
+) -> DataFrame:
+    """Daily anomalies with their rolling and cumulative figures."""
+    return with_rolling_anomalies(daily_anomalies(daily, climatology, spec, group_cols), spec, group_cols)
 
 
 def current_daily_anomalies(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tempora.operators.ingest import merge_newest_wins
+from tempora.streaming.snapshot import Snapshot
 
 
 def as_stream(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
@@ -61,27 +61,16 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
 def merge_stream(
     stream: DataFrame, keys: list[str], time: str, start: str, folder: str, checkpoint: str, order: str | None = None,
 ) -> StreamingQuery:
-    """Newest-wins merge of a stream into versions of a Parquet snapshot partitioned by year.
+    """Newest-wins merge of a stream into a :class:`~tempora.streaming.snapshot.Snapshot`.
 
-    Each batch rewrites only the years it touches: those years' latest folders are read, merged
-    and written into a folder named after the batch, and a restart of the same batch writes the
-    same folder again. ``read_snapshot`` takes every year from its latest complete folder; older
-    folders are never opened again. Inside a batch the row with the largest ``order`` wins.
+    Each batch commits its own rows and reads nothing that is stored; a batch that is repeated
+    after a restart changes nothing. The row with the largest ``order`` wins, of equal ones the
+    later batch's. Years with many deltas are compacted on the way.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch
-        if order is not None:
-            rest = [c for c in new.columns if c not in keys]
-            row = F.struct(*rest)
-            new = new.groupBy(*keys).agg(F.max_by(row, F.struct(order, row)).alias("row")).select(*keys, "row.*").select(*batch.columns)
-        new = new.withColumn("year", F.year(time))
-        years = {r.year for r in new.select("year").distinct().collect()}
-        begin = F.lit(start).cast("date")
-        old = _read_years(spark, folder, {y: p for y, p in _latest(spark, folder, batch_id).items() if y in years})
-        known = new.limit(0) if old is None else old.select(*new.columns)
-        merged = merge_newest_wins(known, new, keys, time, begin)
-        merged.write.mode("overwrite").partitionBy("year").parquet(f"{folder}/batch={batch_id}")
+        snapshot = Snapshot(batch.sparkSession, folder, keys, time, (order,) if order else (), start)
+        snapshot.append(batch, batch_id, "stream")
+        snapshot.compact()
 
     return (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -89,34 +78,6 @@ def merge_stream(
     )
 
 
-def _latest(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, str]:
-    """Latest folder of each year among the batches that were written to the end."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return {}
-
-    def named(parent, name: str) -> list[tuple[int, str]]:
-        found = [f.getPath() for f in fs.listStatus(parent) if f.isDirectory()]
-        return [(int(p.getName().partition("=")[2]), p.toString()) for p in found if p.getName().startswith(f"{name}=")]
-
-    latest: dict[int, str] = {}
-    for batch, at in sorted(named(root, "batch")):
-        done = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))
-        if done and (before is None or batch < before):
-            latest.update(named(spark._jvm.org.apache.hadoop.fs.Path(at), "year"))
-    return latest
-
-
-def _read_years(spark: SparkSession, folder: str, paths: dict[int, str]) -> DataFrame | None:
-    if not paths:
-        return None
-    return spark.read.option("basePath", folder).parquet(*paths.values()).drop("batch")
-
-
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Current state of a merged snapshot."""
-    snap = _read_years(spark, folder, _latest(spark, folder))
-    if snap is None:
-        raise FileNotFoundError(folder)
-    return snap
+    return Snapshot.open(spark, folder).read()
