@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,6 +207,30 @@ class Spans:
 PASS = 1 << 20
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def string_hashes(data: np.ndarray, lengths: np.ndarray, halves: int = 1) -> np.ndarray:
+    """XXH3 of every byte string that lies end to end in ``data``: 64 bits, or with ``halves`` 2 both halves of 128.
+
+    Equal strings are found exactly and hashed once.
+    """
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    values = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = values.dictionary_encode()
+    kinds = coded.dictionary.to_pylist()
+    at = coded.indices.to_numpy()
+    if halves == 1:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))[at]
+    raw = b"".join(map(xxhash.xxh3_128_digest, kinds))
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)[at]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, and the index of each text's first word."""
     parts, first, n = [], [np.zeros(1, np.int64)], 0
@@ -213,7 +238,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         at = offsets[i]
         piece = data[at : offsets[j]]
         starts, ends, own = words(piece, offsets[i : j + 1] - at)
-        parts.append((Spans(piece)(starts, ends), starts + at, ends + at))
+        parts.append((string_hashes(piece[~WHITESPACE[piece]], ends - starts), starts + at, ends + at))
         first.append(own[1:] + n)
         n += len(starts)
     if not parts:

@@ -1,14 +1,17 @@
 """Line dedup by range-partitioned line hashes.
 
-Line keys are hashed in the scan, range-partitioned by (hash, document) and sorted inside each
-partition by (hash, document, position). A hot line therefore spreads over as many partitions
-as it needs. Each partition is streamed once; a run of one hash that touches a partition's edge
-may go on next door, so at most two runs per partition are summed across partitions afterwards.
-The decisions come back as one compressed bitmap per document, never as text.
+Line keys are hashed in the scan (128 bits), range-partitioned by (hash, document) and sorted
+inside each partition by (hash, document, position). Partitions are as many as the bytes of text
+ask for, so a hot line spreads over as many of them as it needs and the run that a task holds is
+at most its partition. Each partition is streamed once; a run of one hash that touches a
+partition's edge may go on next door, so at most two runs per partition are summed across
+partitions afterwards. The decisions come back as one compressed bitmap per document, never as
+text.
 
 Null and empty texts are one empty line. A null ``doc_id`` is a document id of its own. Rows
-that repeat a ``doc_id`` count as one document; each row is judged on its own text. Extra
-columns are ignored.
+that repeat a ``doc_id`` count as one document; each row is judged on its own text. Very long
+texts are hashed one at a time. An empty table gives an empty one. Extra columns are ignored by
+the digests and pass through the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from tempora.llm import common as C
 NEWLINE = 0x0A
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-RUNS = "hash long, doc_id long, text_id long, pos int, n_docs long, edge boolean"
+RUNS = "hash long, more long, doc_id long, text_id long, pos int, n_docs long, edge boolean"
+#: Text whose line hashes make up one partition.
+PART_BYTES = 16 << 20
 
 
 def _line_hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
@@ -52,11 +57,14 @@ def _line_hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[
             if min_chars > 1:
                 points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
                 keep = points[e] - points[s] >= min_chars
-            h = C.Spans(part)(s, e)[keep]
+            within = np.zeros(len(part) + 1, np.int8)
+            within[s] += 1
+            within[e] -= 1
+            h = C.string_hashes(part[np.cumsum(within[:-1], dtype=np.int8) > 0], e - s, 2)[keep].view(np.int64)
             row = row[keep] + i
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array(tids[row]), pa.array(pos[keep].astype(np.int32))],
-                ["hash", "doc_id", "text_id", "pos"])
+                [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids[row]), pa.array(tids[row]), pa.array(pos[keep].astype(np.int32))],
+                ["hash", "more", "doc_id", "text_id", "pos"])
 
 
 def _stream_runs(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
@@ -68,9 +76,10 @@ def _stream_runs(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[p
     at_start = True
 
     def emit(rows: np.ndarray, edge: bool) -> pa.RecordBatch | None:
-        begin = np.flatnonzero(np.concatenate([[True], rows["hash"][1:] != rows["hash"][:-1]]))
+        other = (rows["hash"][1:] != rows["hash"][:-1]) | (rows["more"][1:] != rows["more"][:-1])
+        begin = np.flatnonzero(np.concatenate([[True], other]))
         new = np.ones(len(rows), np.int64)
-        new[1:] = (rows["hash"][1:] != rows["hash"][:-1]) | (rows["doc_id"][1:] != rows["doc_id"][:-1])
+        new[1:] = other | (rows["doc_id"][1:] != rows["doc_id"][:-1])
         docs = np.add.reduceat(new, begin)
         size = np.diff(np.append(begin, len(rows)))
         n = np.zeros(len(rows), np.int64)
@@ -80,26 +89,29 @@ def _stream_runs(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[p
             return None
         rows, n = rows[keep], n[keep]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(rows[c])) for c in ("hash", "doc_id", "text_id", "pos")]
+            [pa.array(np.ascontiguousarray(rows[c])) for c in ("hash", "more", "doc_id", "text_id", "pos")]
             + [pa.array(n), pa.array(np.full(len(rows), edge))],
-            ["hash", "doc_id", "text_id", "pos", "n_docs", "edge"])
+            ["hash", "more", "doc_id", "text_id", "pos", "n_docs", "edge"])
 
-    kind = np.dtype([("hash", "<i8"), ("doc_id", "<i8"), ("text_id", "<i8"), ("pos", "<i4")])
+    def same(a: np.ndarray, b: np.void) -> np.ndarray:
+        return (a["hash"] == b["hash"]) & (a["more"] == b["more"])
+
+    kind = np.dtype([("hash", "<i8"), ("more", "<i8"), ("doc_id", "<i8"), ("text_id", "<i8"), ("pos", "<i4")])
     for b in batches:
         if not b.num_rows:
             continue
         rows = np.empty(b.num_rows, kind)
         for c in kind.names:
             rows[c] = b.column(c).to_numpy()
-        if held and held[-1]["hash"][-1] == rows["hash"][-1]:
+        if held and same(held[-1][-1:], rows[-1])[0]:
             held.append(rows)
             continue
-        tail = int(np.searchsorted(rows["hash"], rows["hash"][-1], "left"))
+        tail = int(same(rows, rows[-1]).argmax())
         held.append(rows[:tail])
         done = np.concatenate(held)
         held = [rows[tail:]]
         if at_start and len(done):
-            first = int(np.searchsorted(done["hash"], done["hash"][0], "right"))
+            first = int(same(done, done[0]).sum())
             if (out := emit(done[:first], True)) is not None:
                 yield out
             at_start, done = False, done[first:]
@@ -133,18 +145,20 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     (doc_id, position) order stays. Documents without a row keep every line.
     """
     lines = keyed(docs).mapInArrow(
-        lambda it: _line_hashes(it, min_chars), "hash long, doc_id long, text_id long, pos int")
-    dealt = lines.repartitionByRange("hash", "doc_id").sortWithinPartitions("hash", "doc_id", "text_id", "pos")
+        lambda it: _line_hashes(it, min_chars), "hash long, more long, doc_id long, text_id long, pos int")
+    parts = C.count_for(C.text_bytes(docs), PART_BYTES, 8)
+    dealt = lines.repartitionByRange(parts, "hash", "more", "doc_id").sortWithinPartitions("hash", "more", "doc_id", "text_id", "pos")
     runs = C.store(dealt.mapInArrow(lambda it: _stream_runs(it, min_docs), RUNS), "line-runs")
     first = F.struct("doc_id", "text_id", "pos")
     sure, edges = runs.filter(~F.col("edge")), runs.filter("edge")
     # two runs per partition at most, so this table is bounded by the number of partitions
-    whole = F.broadcast(edges.groupBy("hash").agg(F.sum("n_docs").alias("all_docs"), F.min(first).alias("first")).filter(
+    key = ["hash", "more"]
+    whole = F.broadcast(edges.groupBy(*key).agg(F.sum("n_docs").alias("all_docs"), F.min(first).alias("first")).filter(
         F.col("all_docs") >= min_docs))
-    open_ = edges.join(whole, "hash").filter(~F.col("first").eqNullSafe(first) if keep_first else F.lit(True))
+    open_ = edges.join(whole, key).filter(~F.col("first").eqNullSafe(first) if keep_first else F.lit(True))
     if keep_first:
-        heads = sure.groupBy("hash").agg(F.min(first).alias("first"))
-        sure = sure.join(heads, "hash").filter(~F.col("first").eqNullSafe(first))
+        heads = sure.groupBy(*key).agg(F.min(first).alias("first"))
+        sure = sure.join(heads, key).filter(~F.col("first").eqNullSafe(first))
     drops = sure.select("doc_id", "text_id", "pos").unionByName(open_.select("doc_id", "text_id", "pos"))
     per_doc = drops.groupBy("doc_id", "text_id").agg(F.collect_set("pos").alias("positions"))
     return per_doc.mapInArrow(_bitmaps, "doc_id long, text_id long, keep binary")
@@ -182,24 +196,25 @@ def line_digests(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     return out.withColumn("doc_id", C.null_id())
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], keep_name: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = b.schema.get_field_index("text")
         texts = []
-        for text, keep in zip(b.column("text"), b.column("__keep"), strict=True):
+        for text, keep in zip(b.column("text"), b.column(keep_name), strict=True):
             s = text.as_py()
             if s is not None and keep.is_valid:
                 s = "\n".join(split_kept(s, keep.as_py())[1])
             texts.append(s)
         out = b.set_column(at, "text", pa.array(texts, pa.string()))
-        yield out.drop_columns(["__keep"])
+        yield out.drop_columns([keep_name])
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with the same columns and rows; frequent lines are gone from ``text``."""
+    kid, ktext, kept = (C.unused(docs, n) for n in ("line_id", "line_text", "line_keep"))
     keep = keep_bitmaps(docs, min_docs, min_chars).select(
-        F.col("doc_id").alias("__id"), F.col("text_id").alias("__tid"), F.col("keep").alias("__keep"))
-    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NULL_ID)) == F.col("__id")) & (
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__tid"))
-    joined = docs.join(keep.hint("shuffle_hash"), on, "left").drop("__id", "__tid")
-    return joined.mapInArrow(_apply, docs.schema)
+        F.col("doc_id").alias(kid), F.col("text_id").alias(ktext), F.col("keep").alias(kept))
+    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NULL_ID)) == F.col(kid)) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(ktext))
+    joined = docs.join(keep.hint("shuffle_hash"), on, "left").drop(kid, ktext)
+    return joined.mapInArrow(lambda it: _apply(it, kept), docs.schema)

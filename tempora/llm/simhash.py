@@ -144,60 +144,110 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
         C.null_id(), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), C.null_id("component_id"))
 
 
-# Near duplicates by similarity: wider fingerprints over distinct words, the same keys, exact verification.
+# Near duplicates by similarity: SimHash links first, then an exact prefix filter for what the keys cannot cover.
 
-#: Words of 64 fingerprint bits; each comes from an own mix of the word hashes.
-SALTS = (0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-WIDE_BITS, WIDE_SEGMENT = 64 * len(SALTS), 21
-#: Pairs over so many of the 256 bits are not compared; a similarity of 0.8 stays under 35.
-WIDE_DISTANCE = 56
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
+#: Shingle hashes below this come first in the common order; 5 of 16 on average, more than a prefix at 0.8 needs.
+LOW = np.uint64(5 << 60)
+#: A shingle in so many texts counts as frequent; frequent ones come last among the low hashes.
+FREQUENT = 64
+#: Heads of a group in the first round; each round takes four times as many as the one before.
+HEADS, MORE_HEADS = 1, 4
+
+
+def prefix_size(n: int | np.ndarray, similarity: float):
+    """Two sets with this Jaccard similarity share one of the first so many members in any common order."""
+    return n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1
+
+
+def _shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the ``k``-word shingles of every text; of all its words where there are fewer."""
+    h, _, _, first = C.word_hashes(FOLD[data], offsets)
+    span, out = C.Spans(h), []
+    for a, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        starts = np.arange(a, max(e - k + 1, a + 1)) if e > a else np.zeros(0, np.int64)
+        out.append(np.unique(span(starts, np.minimum(starts + k, e))))
+    return out
 
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, offsets = C.string_bytes(b.column("text"))
-        fp = np.zeros((b.num_rows, len(SALTS)), np.uint64)
-        some = np.zeros(b.num_rows, bool)
-        for i, j in C.slices(offsets, C.PASS):
-            h, _, _, first = C.word_hashes(FOLD[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
-            for k in range(j - i):
-                own = np.unique(h[first[k] : first[k + 1]])
-                some[i + k] = len(own) > 0
-                fp[i + k] = [majority(C.mix(own ^ np.uint64(s))) for s in SALTS]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("same"), pa.array(some), *(pa.array(fp[:, c].copy().view(np.int64)) for c in range(len(SALTS)))],
-            ["doc_id", "same", "worded", *(f"f{c}" for c in range(len(SALTS)))])
-
-
-def _wide_keys(batches: Iterator[pa.RecordBatch], stride: int) -> Iterator[pa.RecordBatch]:
-    """Keys of every segment; ``stride`` gives the order in which the bits make up segments."""
-    n = WIDE_BITS // WIDE_SEGMENT
-    places = np.arange(n * WIDE_SEGMENT) * stride % (n * WIDE_SEGMENT)
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    data, offsets = C.string_bytes(batch.column("text"))
+    for i, j in C.slices(offsets, C.PASS):
+        yield i, j, _shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+
+
+PROFILE = "doc_id long, same string, node long, n int, fp long, shingles binary"
+
+
+def _profiles(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Number of shingles, SimHash, and the shingles that a prefix may be taken from."""
     for b in batches:
-        bits = np.unpackbits(
-            np.stack([b.column(f"f{c}").to_numpy() for c in range(len(SALTS))], 1).view(np.uint8), axis=1, bitorder="little")
-        ids = b.column("doc_id").to_numpy()
-        parts = bits[:, places].reshape(-1, n, WIDE_SEGMENT).astype(np.int64) @ (1 << np.arange(WIDE_SEGMENT))
-        for s in range(n):
-            row, index = codewords(parts[:, (s + 1) % n])
-            key = (np.int64(s) << 40) | (parts[row, s] << 12) | index
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row])], ["key", "doc_id"])
+        for i, j, sets in _sets(b, k):
+            n = np.array([len(s) for s in sets], np.int64)
+            first = [s[: max(int(np.searchsorted(s, LOW)), int(p))].tobytes() if len(s) else b"" for s, p in zip(sets, prefix_size(n, similarity), strict=True)]
+            fp = np.array([majority(C.mix(s)) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).slice(i, j - i) for c in ("doc_id", "same", "node")), pa.array(n.astype(np.int32)), pa.array(fp), pa.array(first, pa.binary())],
+                ["doc_id", "same", "node", "n", "fp", "shingles"])
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, offsets = C.string_bytes(b.column("text"))
-        for i, j in C.slices(offsets, C.PASS):
-            h, _, _, first = C.word_hashes(FOLD[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
-            span, sets = C.Spans(h), []
-            for r in range(j - i):
-                a, e = first[r], first[r + 1]
-                starts = np.arange(a, max(e - k + 1, a + 1)) if e > a else np.zeros(0, np.int64)
-                sets.append(np.unique(span(starts, np.minimum(starts + k, e))).tobytes())
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in part.column("shingles")]
+            size = [len(s) for s in sets]
+            low = [int(np.searchsorted(s, LOW)) for s in sets]
+            row = np.repeat(np.arange(len(sets)), size)
+            values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                [pa.array(values.view(np.int64)), part.column("node").take(pa.array(row)), part.column("n").take(pa.array(row)), pa.array(np.array(low, np.int32)[row])],
+                ["token", "node", "n", "low"])
+
+
+def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of shingles that several texts have, from a stream sorted by (token, node), with the number of texts up to FREQUENT.
+
+    At most FREQUENT rows of an open run are held.
+    """
+    names = ("token", "node", "n", "low")
+    held, hot, last = [np.zeros(0, np.int64) for _ in names], None, None
+
+    def rows(columns: list[np.ndarray], texts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32)), pa.array(texts.astype(np.int32))], [*names, "texts"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [b.column(c).to_numpy().astype(np.int64) for c in names]
+        keep = np.ones(b.num_rows, bool)  # copies of a text are one
+        keep[1:] = (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])
+        keep[0] = (new[0][0], new[1][0]) != last
+        last = (new[0][-1], new[1][-1])
+        both = [np.concatenate([h, x[keep]]) for h, x in zip(held, new, strict=True)]
+        if not len(both[0]):
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], both[0][1:] != both[0][:-1]]))
+        size = np.diff(np.append(begin, len(both[0])))
+        if hot is not None and both[0][0] == hot:
+            size[0] = FREQUENT
+        of = np.minimum(np.repeat(size, np.diff(np.append(begin, len(both[0])))), FREQUENT)
+        hot = both[0][-1] if size[-1] >= FREQUENT else None
+        done = len(both[0]) if hot is not None else begin[-1]
+        out = np.flatnonzero(of[:done] > 1)
+        if len(out):
+            yield rows([c[out] for c in both], of[out])
+        held = [c[done:] for c in both]
+    if len(held[0]) > 1:
+        yield rows(held, np.full(len(held[0]), len(held[0])))
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, j, sets in _sets(b, k):
+            yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -206,68 +256,116 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(both >= least * max(len(x) + len(y) - both, 1))
-        keep = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
-
-
-def _similar_ids(d: DataFrame, own: DataFrame, stride: int, shingle: int, similarity: float) -> DataFrame:
-    """Ids with a smaller id in their group, from candidates of one bit order."""
-    cols = [f"f{c}" for c in range(len(SALTS))]
-    keys = C.store(own.filter("worded").mapInArrow(lambda it: _wide_keys(it, stride), "key long, doc_id long"), "wide-keys")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = C.store(keys.join(shared, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "near")
-    C.discard(keys)
-    left = own.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in cols))
-    right = own.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in cols))
-    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in cols), F.lit(0))
-    pairs = C.store(near.join(left, "a").join(right, "b").filter(apart <= WIDE_DISTANCE).select("a", "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+            good.append(both >= least * max(len(x) + len(y) - both, 1) - 1e-9)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _postings(profiles: DataFrame, similarity: float) -> DataFrame:
+    """(token, node, n) of the shared shingles in each text's prefix.
+
+    The common order has the low hashes first, rare ones before frequent ones, then the others by
+    hash. A text's prefix begins with the shingles that it has alone, which need no row.
+    """
+    dealt = profiles.filter("n > 0").mapInArrow(_tokens, "token long, node long, n int, low int").repartition("token").sortWithinPartitions("token", "node")
+    shared = dealt.mapInArrow(_shared_tokens, "token long, node long, n int, low int, texts int")
+    # unsigned order, as in the profiles
+    is_low = F.col("token").between(0, int(LOW) - 1)
+    own = shared.groupBy("node").agg(
+        F.any_value("n").alias("n"), F.any_value("low").alias("low"),
+        F.sort_array(F.collect_list(F.when(is_low, F.struct("texts", "token")))).alias("near"),
+        F.collect_list(F.when(~is_low, F.col("token"))).alias("beyond"))
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    take = F.greatest(F.lit(0), F.least(F.size("near"), (prefix - (F.col("low") - F.size("near"))).cast("int")))
+    return own.select("node", "n", F.explode(F.concat(F.transform(F.slice("near", F.lit(1), take), lambda x: x.token), "beyond")).alias("token"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long")
+
+
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Texts of one fingerprint with the first of them, and the first ones of linked fingerprints."""
+    first = C.store(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first-of-fp")
+    same = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in "ab")
+    linked = links(first).join(a, "a").join(b, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    return same.unionByName(linked)
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc_id, same, node) of every row, and (node, component) of the texts that have a similar one.
+
+    ``node`` stands for a text. Its neighbours have a Jaccard similarity of ``similarity`` or
+    more over sets of ``shingle``-word shingles, and no pair is missed: two such sets share a
+    shingle of their prefixes. Links that SimHash keys give are verified first and join most of
+    each group. Then every prefix shingle compares its smallest text with its others, as far as
+    these are not in one component yet and their sizes allow the similarity; texts that have been
+    compared with all others of their shingle leave it, and the rest goes on with more heads until
+    each shingle has one component left.
+    """
+    d = docs.select(C.doc_id(), C.text()).withColumn("same", F.md5("text")).withColumn("node", F.conv(F.substring("same", 1, 15), 16, 10).cast("long"))
+    profiles = C.store(d.mapInArrow(lambda it: _profiles(it, shingle, similarity), PROFILE), "profiles")
+    nodes = C.store(profiles.filter("n > 0").groupBy("node").agg(
+        F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.min(F.struct("doc_id", "same")).alias("head")), "nodes")
+    postings = C.store(_postings(profiles, similarity), "postings")
+    rows = C.store(profiles.select("doc_id", "same", "node"), "rows")
+    C.discard(profiles)
+    busy = postings.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    open_ = C.store(postings.join(busy, "token"), "open-postings")
+    C.discard(postings)
+    by_fp = C.store(_simhash_pairs(nodes), "fp-pairs")
+    wanted = open_.select("node").unionByName(by_fp.select(F.col("a").alias("node"))).unionByName(by_fp.select(F.col("b").alias("node"))).distinct()
+    heads = C.store(nodes.join(wanted, "node").select("node", "head.*"), "wanted")
     sets = C.store(
-        d.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(
-            lambda it: _shingle_sets(it, shingle), "doc_id long, shingles binary"), "shingle-sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    links_ = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(
-        lambda it: _similar(it, similarity), "a long, b long")
-    out = C.store(components(links_).filter("node <> component").select(F.col("node").alias("doc_id")), "similar")
+        d.select("doc_id", "same", "text").join(heads.hint("shuffle_hash"), ["doc_id", "same"]).select("node", "text").mapInArrow(
+            lambda it: _set_rows(it, shingle), "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+    found = C.store(_verified(by_fp, sets, similarity), "found")
+    heads_a_round = HEADS
+    while True:
+        labels = components(found)
+        named = open_.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+        several = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+        named = C.store(named.join(several, "token"), "named")
+        C.discard(open_)
+        if named.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("node", F.lit(heads_a_round)), F.lit(heads_a_round))
+        first = C.store(named.groupBy("token", part.alias("part")).agg(F.min(F.struct("node", "n", "component")).alias("h")).select(
+            "token", F.col("h.node").alias("a"), F.col("h.n").alias("an"), F.col("h.component").alias("ac")), "heads")
+        fits = F.least("n", "an") >= F.greatest("n", "an") * similarity - 1e-9
+        pairs = C.store(named.join(first, "token").filter((F.col("component") != F.col("ac")) & fits).select(
+            F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+        more = C.store(_verified(pairs, sets, similarity).unionByName(found), "found")
+        open_ = C.store(named.select("token", "node", "n").join(first.select("token", F.col("a").alias("node")), ["token", "node"], "left_anti"), "open-postings")
+        C.discard(found, named, first, pairs)
+        found, heads_a_round = more, heads_a_round * MORE_HEADS
     C.discard(sets)
-    return out
+    return rows, labels
 
 
 def duplicate_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, same) of the documents that have a near duplicate with a smaller id in their group.
-
-    ``same`` is the MD5 of the text that went; rows of the id with another text stay.
+    """(doc_id, same) of the rows that go: all but the row with the smallest id of each group of near duplicates.
 
-    Copies of a text count as one. Candidates are documents that share a Golay key of their
-    256-bit fingerprints over distinct words, each paired with the smallest id under the key,
-    so a key of n documents gives n - 1 pairs. Pairs are verified by the Jaccard similarity of
-    their sets of ``shingle``-word shingles; verified pairs are joined into groups. What is left
-    is searched once more with the bits in another order.
+    ``same`` is the MD5 of the row's text. Copies of a text are in one group; wordless texts only
+    with their copies. Among null or equal ids the text with the smallest MD5 stays.
     """
-    d = docs.select(C.doc_id(), C.text())
-    cols = [f"f{c}" for c in range(len(SALTS))]
-    kinds = "doc_id long, same string, worded boolean, " + ", ".join(f"{c} long" for c in cols)
-    wide = C.store(d.withColumn("same", F.md5("text")).mapInArrow(_wide, kinds), "wide-fingerprints")
-    first = C.store(wide.groupBy("same").agg(F.min(F.struct("doc_id", "worded", *cols)).alias("x")).select("same", "x.*"), "texts")
-    heads = first.select("same", F.col("doc_id").alias("head"))
-    # a copy of a text goes whatever happens to the text itself
-    gone = wide.select("same", "doc_id").join(heads, "same").filter("doc_id <> head").select("doc_id", "same")
-    own = first.dropDuplicates(["doc_id"])
-    for stride in (1, 11):
-        similar = _similar_ids(d, own, stride, shingle, similarity)
-        gone = gone.unionByName(own.join(similar, "doc_id", "left_semi").select("doc_id", "same"))
-        own = own.join(similar, "doc_id", "left_anti")
-    return C.store(gone.distinct(), "duplicates")
+    rows, labels = similar_texts(docs, shingle, similarity)
+    grouped = rows.join(labels, "node", "left").select("doc_id", "same", F.coalesce("component", "node").alias("component"))
+    kept = C.store(grouped.groupBy("component").agg(F.min(F.struct("doc_id", "same")).alias("kept")), "kept")
+    gone = grouped.join(kept, "component").filter((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("same") != F.col("kept.same")))
+    return C.store(gone.select("doc_id", "same").distinct(), "duplicates")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest id.
 
-    Rows that repeat a ``doc_id`` and text stay or go together.
+    Rows that repeat a ``doc_id`` and text stay or go together. Null texts are empty, null ids the
+    smallest. Columns of any name pass through.
     """
-    gone = duplicate_ids(docs, shingle, similarity).select(F.col("doc_id").alias("__gone"), F.col("same").alias("__same"))
-    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NULL_ID)) == F.col("__gone")) & (
-        F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col("__same"))
+    gone_id, gone_text = C.unused(docs, "gone_id"), C.unused(docs, "gone_text")
+    gone = duplicate_ids(docs, shingle, similarity).select(F.col("doc_id").alias(gone_id), F.col("same").alias(gone_text))
+    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NULL_ID)) == F.col(gone_id)) & (
+        F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col(gone_text))
     return docs.join(gone.hint("shuffle_hash"), on, "left_anti")

@@ -108,6 +108,32 @@ def test_dropping_lines_keeps_columns(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {**{i: f"line {i}" for i in range(10)}, 50: None, 51: ""}
 
 
+def thue_morse(n, a="a", b="b"):
+    x = a
+    while len(x) < n:
+        x += x.translate(str.maketrans({a: b, b: a}))
+    return x, x.translate(str.maketrans({a: b, b: a}))
+
+
+def test_long_lines_and_words_that_polynomials_confuse(spark):
+    """A long Thue-Morse string and its complement have one polynomial hash mod 2**64 whatever the multiplier."""
+    one, two = thue_morse(4096)
+    rows = [(i, f"{(one, two)[i % 2]}\nown {i}") for i in range(12)]
+    assert by_id(lines.line_digests(table(spark, rows))) == brute.lines(rows)
+    assert {r.n_dropped for r in lines.line_digests(table(spark, rows)).collect()} == {0}
+    assert {r.text for r in lines.drop_repeated_lines(table(spark, rows)).collect()} == {t for _, t in rows}
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{two} {tail} x")]
+    assert by_id(substrings.repeated_words(table(spark, rows))) == brute.repeated_words(rows)
+
+
+def test_columns_of_any_name_pass_the_line_stage(spark):
+    rows = [(i, f"common\nline {i}") for i in range(10)]
+    df = table(spark, rows).withColumns({c: F.lit(1) for c in ("__keep", "__id", "__tid", "line_keep", "LINE_ID", "line_text", "hash", "more")})
+    out = lines.drop_repeated_lines(df)
+    assert out.columns == df.columns and {r.text for r in out.collect()} == {f"line {i}" for i in range(10)}
+
+
 def test_maximal_repeats(spark):
     r = random.Random(3)
     letters = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
