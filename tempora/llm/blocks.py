@@ -22,13 +22,37 @@ KEY_BITS = np.uint64(46)
 KEY_MASK = np.uint64((1 << 46) - 1)
 
 
-def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(block, doc_id, text_id, text) and the number of hash buckets; both counts follow the bytes of text."""
-    total = C.text_bytes(docs)
-    n = C.count_for(total, BLOCK_BYTES, LEAST_BLOCKS)
-    d = docs.select(C.doc_id(), C.text()).withColumn("text_id", F.xxhash64("text"))
-    dealt = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_id", F.lit(5)), F.lit(n)).cast("int"))
-    return dealt.select("block", "doc_id", "text_id", "text"), C.count_for(total, BUCKET_BYTES, LEAST_BLOCKS)
+class Dealt:
+    """Distinct (doc_id, text) rows in blocks.
+
+    ``rows`` is (block, doc_id, text_id, text), ``buckets`` the number of hash buckets; both
+    counts follow the bytes of text. A row that is there more than once is dealt once, so its
+    copies do not meet in a block, and :meth:`for_all` gives its result to each of them.
+    """
+
+    def __init__(self, docs: DataFrame):
+        total = C.text_bytes(docs)
+        self.buckets = C.count_for(total, BUCKET_BYTES, LEAST_BLOCKS)
+        self.docs = docs.select(C.doc_id(), C.text()).withColumn("text_id", F.xxhash64("text"))
+        key = ["doc_id", "text_id"]
+        repeated = C.store(self.docs.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "repeated-rows")
+        self.repeated = None if repeated.isEmpty() else repeated
+        once = self.docs
+        if self.repeated is not None:
+            one = self.docs.join(repeated.select(*key), key).groupBy(*key).agg(F.min("text").alias("text"))
+            once = self.docs.join(repeated, key, "left_anti").select("doc_id", "text", "text_id").unionByName(one)
+        block = F.pmod(F.xxhash64(*key, F.lit(5)), F.lit(C.count_for(total, BLOCK_BYTES, LEAST_BLOCKS))).cast("int")
+        self.rows = once.select(block.alias("block"), "doc_id", "text_id", "text")
+
+    def for_all(self, results: DataFrame) -> DataFrame:
+        """``results`` by (doc_id, text_id), a row for every row of the documents."""
+        if self.repeated is None:
+            return results.drop("text_id")
+        copies = results.join(self.repeated, ["doc_id", "text_id"], "left")
+        single = copies.filter("n is null").drop("n", "text_id")
+        # the extra rows of a copy are made where the documents' rows are, not in one task
+        several = C.store(copies.filter("n is not null").drop("n"), "results-of-repeated")
+        return single.unionByName(self.docs.select("doc_id", "text_id").join(several, ["doc_id", "text_id"]).drop("text_id"))
 
 
 class Block:
@@ -45,7 +69,7 @@ class Block:
         #: Place among the distinct rows of every row of the table.
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.cumsum(new) - 1
-        self.all_ids = ids
+        self.all_ids, self.all_texts = ids, tids
         self.ids = ids[rows]
         self.data, self.offsets = C.string_bytes(table.column("text").combine_chunks().take(pa.array(rows)))
 

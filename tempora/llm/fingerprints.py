@@ -8,13 +8,13 @@ bits of each bin. Likeness is the share of equal bins, corrected for the 1 in 2*
 by chance.
 
 The whole computation stays inside a row. Only the successor of each document needs an
-exchange: rows are dealt by ranges of ``doc_id`` and each range gets one guest row, the first of
-the next range.
+exchange: rows are dealt by ranges of (``doc_id``, text) and each range gets one guest row, the
+first of the next range.
 
 Null and empty texts have one shingle, the empty one, as have texts without words; texts of
-fewer words have one shingle of all their words. A null ``doc_id`` stands before all others.
-Rows that repeat a ``doc_id`` follow one another in the order of their texts. Extra columns are
-ignored.
+fewer words have one shingle of all their words. A very long text is one row's arrays. A null
+``doc_id`` stands before all others. Rows that repeat a ``doc_id`` follow one another in the
+order of their texts. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,31 +73,26 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, f, next_text, next_f): each row with its successor by doc_id, the last with the first."""
+    """(doc_id, text, f, next_text, next_f): each row with its successor by doc_id, the last with the first.
+
+    Rows are range-partitioned by (doc_id, text) into partitions of some 16 MB of text, so rows
+    of one id spread over as many as they need. The first row of each partition is a guest at
+    the end of the one before.
+    """
     d = docs.select(C.doc_id(), C.text())
-    ranges = C.count_for(C.text_bytes(docs), RANGE_BYTES, 32)
-    cuts = d.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<long>")
-    # how many cuts are not above the id, by bisection
-    place = F.aggregate(
-        F.array_repeat(F.lit(0), max(len(cuts), 1).bit_length()),
-        F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")),
-        lambda s, _: F.when(s["low"] >= s["high"], s).otherwise(
-            F.when(F.get(bounds, ((s["low"] + s["high"]) / 2).cast("int")) <= F.col("doc_id"),
-                   F.struct((((s["low"] + s["high"]) / 2).cast("int") + 1).alias("low"), s["high"].alias("high")))
-            .otherwise(F.struct(s["low"].alias("low"), ((s["low"] + s["high"]) / 2).cast("int").alias("high")))))
-    d = d.withColumn("part", place["low"])
-    # first document of each range, as a guest at the end of the range before (the first range's in the last)
-    heads = d.groupBy("part").agg(F.min("doc_id").alias("head")).orderBy("part").collect()  # a row per range
-    if not heads:
-        return fingerprinted(d, "text", "f").select("doc_id", "text", "f", F.col("text").alias("next_text"), F.col("f").alias("next_f"))
-    to = {h["part"]: heads[k - 1]["part"] for k, h in enumerate(heads)}
-    back = F.create_map(*(F.lit(x) for kv in to.items() for x in kv))
-    own = d.withColumn("guest", F.lit(0))
-    firsts = d.filter(F.col("doc_id").isin([h["head"] for h in heads])).withColumn("part", F.element_at(back, F.col("part"))).withColumn("guest", F.lit(1))
-    order = Window.partitionBy("part").orderBy("guest", "doc_id", "text")
-    both = fingerprinted(own.unionByName(firsts), "text", "f")
+    parts = C.count_for(C.text_bytes(docs), RANGE_BYTES, 32)
+    dealt = d.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text").select(
+        "doc_id", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    # the number of a row counts from zero in each partition, above it stands the partition
+    firsts = dealt.filter(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    # a row per partition
+    line = Window.orderBy("part")
+    last = F.max("part").over(Window.partitionBy())
+    to = firsts.select("part", "place").select("place", F.coalesce(F.lag("part").over(line), last).alias("to"))
+    guests = firsts.drop("part").join(to, "place").select("doc_id", "text", F.col("to").alias("part"), "place", F.lit(1).alias("guest"))
+    own = dealt.withColumn("guest", F.lit(0))
+    both = fingerprinted(own.unionByName(guests).repartition(parts, "part"), "text", "f")
+    order = Window.partitionBy("part").orderBy("guest", "place")
     both = both.withColumns({"next_text": F.lead("text").over(order), "next_f": F.lead("f").over(order)})
     return both.filter("guest = 0").select("doc_id", "text", "f", "next_text", "next_f")
 

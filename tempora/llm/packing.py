@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tempora.llm import common as C
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long, fill long"
+PACKED = PIECES + ", row long, sequence_id long, offset long, fill long"
 #: Words whose ids a worker keeps between batches.
 CACHE_WORDS = 600_000
 
@@ -207,7 +207,7 @@ def _exchange(bins, fill, lengths, capacity, donor, give, items) -> bool:
 
 
 def _pack(group: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+    group = group.sort_values(["doc_id", "piece", "row"], kind="stable").reset_index(drop=True)
     lengths = group["length"].tolist()
     bins = improve(best_fit(lengths, capacity), lengths, capacity)
     n = len(group)
@@ -225,7 +225,8 @@ def _pack(group: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
 
 def _pack_groups(pieces: DataFrame, capacity: int, group_size: int, base: int) -> tuple[DataFrame, int]:
     parts = C.count_for(pieces.count(), group_size)
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(base)), F.lit(parts)))
+    # by the stored row's number, so copies of one row are dealt over all groups
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", F.lit(base)), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(lambda g: _pack(g, capacity, base), PACKED), parts
 
 
@@ -240,11 +241,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, group_size: int
     ``vocabulary`` is the path of a tokenizer file that executors can read. Bins filled below
     ``loose`` after the first pass are packed once more across groups.
     """
-    pieces = C.store(token_pieces(docs, vocabulary, capacity), "pieces")
+    pieces = C.store(token_pieces(docs, vocabulary, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     first, parts = _pack_groups(pieces, capacity, group_size, 0)
     first = C.store(first, "packed")
     C.discard(pieces)
     tight = F.col("fill") >= int(loose * capacity)
-    rest = first.filter(~tight).select("doc_id", "piece", "start", "length", "ids_crc32")
+    rest = first.filter(~tight).select("doc_id", "piece", "start", "length", "ids_crc32", "row")
     second, _ = _pack_groups(rest, capacity, group_size, parts)
-    return first.filter(tight).unionByName(second).drop("fill")
+    return first.filter(tight).unionByName(second).drop("fill", "row")

@@ -227,14 +227,15 @@ def _digests(table: pa.Table, gone: pa.Table, least: int) -> pa.Table:
         kept = block.data[a:b] if count[k] == count[k + 1] else block.data[a:b][~out[a:b]]
         sha.append(hashlib.sha256(kept.tobytes()).hexdigest())
     return pa.table({
-        "doc_id": pa.array(block.all_ids), "n_bytes": pa.array(np.diff(block.offsets)[block.place]),
+        "doc_id": pa.array(block.all_ids), "text_id": pa.array(block.all_texts), "n_bytes": pa.array(np.diff(block.offsets)[block.place]),
         "n_removed": pa.array(np.diff(count)[block.place]), "n_spans": pa.array(np.diff(spans)[block.place]),
         "kept_sha256": pa.array(sha, pa.string()).take(pa.array(block.place))})
 
 
 def repeated_bytes(docs: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes of every row."""
-    dealt, buckets = B.blocks(docs)
+    dealt = B.Dealt(docs)
+    buckets = dealt.buckets
 
     def contexts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _contexts(table, least, buckets)
@@ -248,15 +249,15 @@ def repeated_bytes(docs: DataFrame, least: int = 50) -> DataFrame:
     def digest(key: tuple[pa.Scalar, ...], table: pa.Table, gone: pa.Table) -> pa.Table:
         return _digests(table, gone, least)
 
-    by_block = dealt.groupBy("block")
+    by_block = dealt.rows.groupBy("block")
     judged = C.store(by_block.applyInArrow(contexts, CONTEXTS).groupBy("bucket").applyInArrow(judge, CONTEXTS), "anchor-contexts")
     minima = C.store(by_block.cogroup(judged.groupBy("block")).applyInArrow(resolve, B.MINIMA), "suffix-minima")
     C.discard(judged)
     gone = C.store(B.settle(minima, by_place=False), "suffix-removed")
     C.discard(minima)
     out = by_block.cogroup(gone.groupBy("block")).applyInArrow(
-        digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", C.null_id())
+        digest, "doc_id long, text_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return dealt.for_all(out).withColumn("doc_id", C.null_id())
 
 
 def interval_tree(data: bytes, bounds: np.ndarray, starts: np.ndarray, least: int) -> Iterator[tuple[int, list[int]]]:
@@ -353,7 +354,8 @@ def maximal_repeats(docs: DataFrame, least: int = 50, around: int = 256) -> Data
     bytes beyond its anchor's windows on either side; a longer one shows as several overlapping
     groups, one for each anchor. ``repeat`` is the SHA-256 of the repeated bytes.
     """
-    dealt, buckets = B.blocks(docs)
+    dealt = B.Dealt(docs)
+    buckets = dealt.buckets
 
     def contexts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _contexts(table, least, buckets)
@@ -367,7 +369,7 @@ def maximal_repeats(docs: DataFrame, least: int = 50, around: int = 256) -> Data
     def groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _groups(table, least)
 
-    by_block = dealt.groupBy("block")
+    by_block = dealt.rows.groupBy("block")
     judged = by_block.applyInArrow(contexts, CONTEXTS).groupBy("bucket").applyInArrow(judge, CONTEXTS)
     found = by_block.cogroup(judged.groupBy("block")).applyInArrow(pieces, "anchor long, doc_id long, start long, piece binary")
     same = found.groupBy("anchor", "piece").agg(F.collect_list(F.struct("doc_id", "start")).alias("at"))

@@ -123,7 +123,7 @@ def _digests(table: pa.Table, gone: pa.Table, window: int) -> pa.Table:
         lost[k] = mask.sum()
         sha.append(hashlib.sha256(b" ".join(compress(words, ~mask) if lost[k] else words)).hexdigest())
     return pa.table({
-        "doc_id": pa.array(block.all_ids), "n_words": pa.array(n[block.place]), "n_removed": pa.array(lost[block.place]),
+        "doc_id": pa.array(block.all_ids), "text_id": pa.array(block.all_texts), "n_words": pa.array(n[block.place]), "n_removed": pa.array(lost[block.place]),
         "kept_sha256": pa.array(sha, pa.string()).take(pa.array(block.place))})
 
 
@@ -132,7 +132,8 @@ KEYS = "bucket int, block int, keys binary"
 
 def repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the remaining words of every row."""
-    dealt, buckets = B.blocks(docs)
+    dealt = B.Dealt(docs)
+    buckets = dealt.buckets
 
     def probes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _probes(table, window // 2, buckets)
@@ -146,12 +147,12 @@ def repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     def digest(key: tuple[pa.Scalar, ...], table: pa.Table, gone: pa.Table) -> pa.Table:
         return _digests(table, gone, window)
 
-    by_block = dealt.groupBy("block")
+    by_block = dealt.rows.groupBy("block")
     hits = C.store(by_block.applyInArrow(probes, KEYS).groupBy("bucket").applyInArrow(hit, KEYS), "anchor-hits")
     minima = C.store(by_block.cogroup(hits.groupBy("block")).applyInArrow(extend, B.MINIMA), "span-minima")
     C.discard(hits)
     gone = C.store(B.settle(minima, by_place=True), "span-removed")
     C.discard(minima)
     out = by_block.cogroup(gone.groupBy("block")).applyInArrow(
-        digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumn("doc_id", C.null_id())
+        digest, "doc_id long, text_id long, n_words long, n_removed long, kept_sha256 string")
+    return dealt.for_all(out).withColumn("doc_id", C.null_id())

@@ -9,7 +9,9 @@ balance to the share of label 1 among all learnable labels. Scoring needs one nu
 bucket (embedding times weights) and reads every text whole in one scan without a shuffle.
 
 Null and empty texts score the prior alone. Labels that are null are not learned from; without
-any learnable row of both labels every score is 0. Repeated rows are scored one by one.
+any learnable row of both labels every score is 0. Rows that repeat an id are scored one by one;
+of an id's texts the smallest is learned, once per different label that the id has. Very long
+texts are scored whole, one at a time. Extra columns are ignored, and pass through the stage.
 """
 
 from __future__ import annotations
@@ -149,7 +151,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 0.0
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
-    known = labels.filter(~held_out() & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    known = labels.filter(~held_out() & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") == 1).alias("toxic")).distinct()
     n, ones = known.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     if not n or not ones or ones == n:
         return None
@@ -159,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
         one = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
         sample = one if sample is None else sample.unionByName(one)
     texts = docs.select("doc_id", C.text()).filter(F.octet_length("text") <= SAMPLE_TEXT)
-    got = sorted((r.doc_id, r.text, r.toxic) for r in texts.join(F.broadcast(sample), "doc_id").collect())
+    # one text per id and label, so that rows that repeat an id do not raise the bound
+    one_each = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = sorted((r.doc_id, r.text, r.toxic) for r in one_each.collect())
     y = np.array([r[2] for r in got], bool)
     if not len(got) or y.all() or not y.any():
         return None
