@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tempora.catalog import climate, models, summaries, text
-from tempora.catalog.base import REGISTRY, B0, B1, MATRIX, SPEC, query, with_sql
+from tempora.catalog.base import REGISTRY, B0, B1, CITY, MATRIX, SPEC, query, with_sql
 from tempora.functions.calendar import month_name
 from tempora.operators import answers as A
 from tempora.operators import climatology as C
@@ -166,7 +166,49 @@ def _(spark, path):
     return A.comparison_answers(slots(spark, m, questions(m)), as_history(m), "city", KEY)
 
 
-@query("question_router", "R10 R7 R8 R9 R11 M5 J6")
+def _nested(name: str) -> str:
+    """The registered SQL of a table branch, without the blocks it shares with the others."""
+    return "WITH " + REGISTRY[name].sql.removeprefix(with_sql(SLOTS, ROUND2)).lstrip().removeprefix(",")
+
+
+_C1, _C1P = "printf('%.1f', round({0}, 1) + 0.0)", "printf('%+.1f', round({0}, 1) + 0.0)"
+_ASKED = QUESTIONS.replace("qs AS", "table_qs AS", 1)
+ROUTER = models.recursive_sql(
+    models.MODEL, models.FUTURE.removeprefix(models.REGION), models.RANGE, models.AHEAD, MATRIX.removeprefix(CITY), _ASKED,
+    """ qs AS (SELECT question FROM table_qs UNION SELECT 'What will the temperature be on ' || CAST(time AS VARCHAR) || '?' FROM future
+      UNION SELECT text FROM benchmark)""",
+    SLOTS.removeprefix(MATRIX + "," + QUESTIONS), ROUND2,
+    f""" miss AS (SELECT y_true, y_true - y_pred AS b, row_number() OVER (ORDER BY time DESC) AS rn FROM modelled WHERE year = {SPEC.current_year}),
+    bias AS (SELECT round(coalesce(avg(b), 0), 1) AS ytd, count(*) AS n, round(coalesce(avg(b) FILTER (rn <= 30), 0), 1) AS recent, count(*) FILTER (rn <= 30) AS n_recent FROM miss),
+    fc AS (SELECT 'What will the temperature be on ' || CAST(time AS VARCHAR) || '?' AS question, CAST(time AS VARCHAR) AS day,
+      CASE WHEN time = DATE '{TODAY.isoformat()}' + 1 THEN 'tomorrow' ELSE CAST(time AS VARCHAR) END AS label, round(y_pred, 1) AS base, y_pred, r.lo AS lo, r.hi AS hi,
+      b.*, n >= 7 AS enough, CAST(year(time) AS VARCHAR) AS year FROM ahead JOIN tr ON target_date = time, bias b),
+    fc2 AS (SELECT *, CASE WHEN enough THEN round(y_pred + recent, 1) ELSE base END AS adjusted,
+      coalesce(' Typical daily range for this time of year: ' || {_C1.format('lo')} || '°C (low) to ' || {_C1.format('hi')} || '°C (high).', '') AS rng FROM fc),
+    forecasts AS (SELECT question, 'For ' || label || ' (' || day || ') in the region, the ' || CASE WHEN enough THEN 'adjusted temperature estimate is ' || {_C1.format('adjusted')}
+      || '°C.' || rng || ' The model''s seasonal baseline for that date is ' || {_C1.format('base')} || '°C. This year has been running ' || {_C1.format('abs(ytd)')}
+      || '°C ' || CASE WHEN ytd >= 0 THEN 'warmer' ELSE 'colder' END || ' than the model baseline year-to-date, and the most recent ' || n_recent || '-day window is '
+      || {_C1.format('abs(recent)')} || '°C ' || CASE WHEN recent >= 0 THEN 'warmer' ELSE 'colder' END
+      || ' than expected. That recent bias is applied as a correction to produce the adjusted estimate. '
+      ELSE 'current climatological baseline estimate is ' || {_C1.format('base')} || '°C.' || rng || ' There are not enough ' || year
+      || ' observations yet to compute a reliable bias correction, so the answer is reported as the raw model baseline rather than an adjusted estimate. ' END
+      || 'This is a climatological trend estimate, not a live synoptic weather forecast.' AS answer,
+      'Baseline: ' || {_C1.format('base')} || '°C | YTD bias: ' || {_C1P.format('ytd')} || '°C | Recent ' || n_recent || 'd bias: ' || {_C1P.format('recent')}
+      || '°C | Adjusted: ' || {_C1.format('adjusted')} || '°C' AS interpretation, 'Temperature model forecast' AS source_title FROM fc2)""",
+    " tables AS (SELECT 0 AS ord, 'forecast' AS kind, * FROM forecasts " + " ".join(
+        f"UNION ALL SELECT {i}, '{kind}', question, answer, interpretation, source_title FROM ({_nested(name)}) AS b{i}"
+        for i, (kind, name) in enumerate((("year-month", "year_month_answers"), ("month-extreme", "month_extreme_answers"), ("comparison", "comparison_answers")), 1)) + ")",
+    """ open_qs AS (SELECT question, question AS text FROM qs WHERE question NOT IN (SELECT question FROM tables))""",
+    text.INDEX, text.QUESTIONS.replace("item_id", "question").replace("benchmark", "open_qs"),
+    f""" found AS (SELECT question, string_agg('**Document ' || doc_id || '**: ' || array_to_string(({text.sentences_sql('d.text')})[1:2], ' '), chr(10) || chr(10) ORDER BY rank) AS answer,
+      arg_min('Document ' || doc_id, rank) AS source_title FROM hits JOIN documents d USING (doc_id) WHERE trim(d.text) <> '' GROUP BY question),
+    answers AS (SELECT * FROM tables UNION ALL SELECT 4, 'retrieval', question, answer, '', source_title FROM found),
+    routed AS (SELECT qs.question, coalesce(kind, 'none') AS kind, coalesce(answer, '{A.NO_ANSWER}') AS answer, coalesce(interpretation, '') AS interpretation, source_title
+      FROM qs LEFT JOIN (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY question ORDER BY ord) = 1) USING (question))""",
+)
+
+
+@query("question_router", "R10 R7 R8 R9 R11 M5 J6", ROUTER + " SELECT question, kind, answer, interpretation, source_title FROM routed")
 @star.one_daily_pass
 def _(spark, path):
     # the matrix and the table answers are small results used by several branches: each is
@@ -217,7 +259,12 @@ def _(spark, path):
     return R.evaluation_rows(a).drop("answer", "n_sources")
 
 
-@query("router_evaluation", "R12 R10")
+@query(
+    "router_evaluation", "R12 R10",
+    ROUTER + f""" SELECT question, NOT contains(answer, '{A.NO_ANSWER[:30]}') AS answered, n AS source_count, length(answer) AS answer_length,
+      CAST({text.SCORE} AS DOUBLE) AS judge_score FROM (SELECT *, CAST(source_title IS NOT NULL AS BIGINT) AS n FROM routed)""",
+    "judge_score",
+)
 def _(spark, path):
     a = REGISTRY["question_router"].run(spark, path)
     n = F.size("sources").cast("long") if "sources" in a.columns else F.col("source_title").isNotNull().cast("long")

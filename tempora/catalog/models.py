@@ -300,13 +300,46 @@ def _(spark, path):
     return MD.forecast_table(t, MD.circular_range(daily, t.select("target_date").distinct(), SPEC))
 
 
+# The same fit in SQL: moments of every target with the inputs, eliminated column by column.
+_N = len(INPUTS) + 1
+_FILLED = "[1.0, " + ", ".join(f"coalesce({n}, (SELECT avg({n}) FROM features WHERE year < {TEST_FROM}))" for n in INPUTS) + "]"
+MODEL = FEATURES + f""",
+filled AS (SELECT time, year, {_FILLED} AS x, y, y_min, y_max FROM features),
+goals AS (SELECT x, unnest(['y', 'y_min', 'y_max']) AS target, unnest([y, y_min, y_max]) AS v FROM filled WHERE year < {TEST_FROM}),
+moments AS (SELECT target, i, j, sum(x[i] * list_append(x, v)[j]) AS m FROM goals, range(1, {_N + 1}) r(i), range(1, {_N + 2}) c(j)
+  WHERE v IS NOT NULL GROUP BY target, i, j),
+lines AS (SELECT target, i, list(m ORDER BY j) AS line FROM moments GROUP BY target, i),
+solved AS (SELECT target, 1 AS k, list(line ORDER BY i) AS a FROM lines GROUP BY target
+  UNION ALL SELECT target, k + 1, list_transform(a, lambda line, i: CASE WHEN i = k THEN list_transform(line, lambda z: z / line[k])
+    ELSE list_transform(line, lambda z, j: z - line[k] * a[k][j] / a[k][k]) END) FROM solved WHERE k <= {_N}),
+weights AS (SELECT target, list_transform(a, lambda line: line[{_N + 1}]) AS w FROM solved WHERE k = {_N + 1}),
+w_y AS (SELECT w FROM weights WHERE target = 'y'), w_min AS (SELECT w FROM weights WHERE target = 'y_min'), w_max AS (SELECT w FROM weights WHERE target = 'y_max'),
+modelled AS (SELECT time, year, y AS y_true, list_inner_product(x, (SELECT w FROM w_y)) AS y_pred, list_inner_product(x, (SELECT w FROM w_min)) AS y_min_pred,
+  list_inner_product(x, (SELECT w FROM w_max)) AS y_max_pred FROM filled WHERE year >= {TEST_FROM})"""
+_SEASON = ("sin(2 * pi() * dayofyear(time) / 365.0)", "cos(2 * pi() * dayofyear(time) / 365.0)", "(year(time) - 1991) / 30.0")
+AHEAD = f""",
+ahead_x AS (SELECT time, [1.0, {', '.join(_SEASON)}, {', '.join(f"(SELECT avg({n}) FROM features WHERE year < {TEST_FROM})" for n in INPUTS[3:])}] AS x FROM future),
+ahead AS (SELECT time, list_inner_product(x, (SELECT w FROM w_y)) AS y_pred, list_inner_product(x, (SELECT w FROM w_min)) AS y_min_pred,
+  list_inner_product(x, (SELECT w FROM w_max)) AS y_max_pred FROM ahead_x)"""
+
+
+def recursive_sql(*parts: str) -> str:
+    """One WITH RECURSIVE clause; a block that several parts begin with is written once."""
+    return "WITH RECURSIVE " + ",".join(p.strip().removeprefix(",") for p in parts)
+
+
 def _fitted(spark, path):
     train, test = FT.chronological_split(features(spark, path), TEST_FROM)
     contract = FT.fit_contract(train, INPUTS)
     return MD.fit_regressors(train, contract), contract, test
 
 
-@query("fit_regressors", "M1")
+@query(
+    "fit_regressors", "M1",
+    recursive_sql(MODEL) + " " + " UNION ALL ".join(
+        f"SELECT target, '{n}' AS feature, w[{i}] AS coefficient FROM weights" for i, n in enumerate(("intercept", *INPUTS), 1)),
+    "coefficient",
+)
 @star.one_daily_pass
 def _(spark, path):
     models, contract, _ = _fitted(spark, path)
@@ -336,14 +369,23 @@ def _(spark, path):
     return one.select(F.explode(F.array(*one.columns)).alias("c")).select("c.*")
 
 
-@query("batch_predictions", "M2")
+@query(
+    "batch_predictions", "M2",
+    recursive_sql(MODEL) + " SELECT time, y_true, y_pred, y_true - y_pred AS residual, y_min_pred, y_max_pred FROM modelled",
+    "y_true y_pred residual y_min_pred y_max_pred",
+)
 @star.one_daily_pass
 def _(spark, path):
     models, contract, test = _fitted(spark, path)
     return MD.predictions(test, models, contract, ("time",))
 
 
-@query("forecast_days", "M3 F7 M2")
+@query(
+    "forecast_days", "M3 F7 M2",
+    recursive_sql(MODEL, FUTURE.removeprefix(REGION), AHEAD) + """ SELECT time AS target_date, y_pred AS model_temp, y_min_pred AS model_low, y_max_pred AS model_high,
+      y_pred AS temperature, y_min_pred AS temp_low, y_max_pred AS temp_high, 'model' AS mode FROM ahead""",
+    "model_temp model_low model_high temperature temp_low temp_high",
+)
 @star.one_daily_pass
 def _(spark, path):
     models, contract, _ = _fitted(spark, path)
