@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("climate", "summaries", "ingest", "models", "text", "answers", "sft", "documents", "streams", "mergeable")
+_MODULES = ("climate", "summaries", "ingest", "models", "text", "answers", "sft", "documents", "streams", "mergeable", "upkeep", "dashboard")
 
 
 def load():

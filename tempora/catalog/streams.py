@@ -9,7 +9,7 @@ from tempora.catalog.climate import CITY_ENRICHED, CUR, city_ytd
 from tempora.operators import climatology as C
 from tempora.session import shared_dir, shared_table
 from tempora.sources import star
-from tempora.streaming import jobs, rolling
+from tempora.streaming import jobs, panes, rolling
 
 MONTHLY = """WITH o AS (SELECT o_orderpriority AS priority, date_trunc('month', o_orderdate) AS m, o_totalprice AS v FROM orders)
   SELECT priority, CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, avg(v) AS mean, count(v) AS count FROM o"""
@@ -47,12 +47,15 @@ def _(spark, path):
     return w.select(F.to_date("window_start").alias("first_day"), F.to_date("window_end").alias("next_first_day")).distinct()
 
 
-@query(
-    "stream_sliding_rates", "ST5",
-    """WITH w AS (SELECT event_type, unnest(range(0, 10)) AS k, ts FROM events),
+RATES_SQL = """WITH w AS (SELECT event_type, unnest(range(0, 10)) AS k, ts FROM events),
       c AS (SELECT event_type, date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)) AS window_start, count(*) AS n FROM w GROUP BY ALL)
       SELECT event_type, strftime(window_start, '%Y-%m-%d %H:%M') AS window_start, n FROM c WHERE n > 40
-        AND window_start + INTERVAL 10 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+        AND window_start + INTERVAL 10 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+
+@query(
+    "stream_sliding_rates", "ST5",
+    RATES_SQL,
 )
 def _(spark, path):
     # the events are minutes apart, so ten one-second steps become ten one-hour steps
@@ -64,6 +67,17 @@ def _(spark, path):
         "event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
 
 
+@query("stream_pane_rates", "ST5", RATES_SQL)
+def _(spark, path):
+    # every event is counted once, in its one-hour pane; a window is a sum of ten panes in state
+    out = shared_dir(spark, "pane-rates")
+    events = jobs.as_stream(spark, path, "events.parquet").select("event_type", "ts")
+    with rolling.state_store(spark):
+        jobs.run_available(panes.sliding_rates_by_panes(events, "event_type", "ts", 40, 3600, 10, "1 hour"), out, f"{out}-checkpoint")
+    return spark.read.parquet(out).select(
+        "event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
+
+
 @query(
     "stream_merge_snapshot", "ST4 I10",
     """SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,

@@ -31,84 +31,101 @@ class Conflict(RuntimeError):
     """Another writer has committed the same version."""
 
 
-class Snapshot:
-    """Newest row per key of a table with a date column, kept by year.
-
-    The newest row of a key has the largest ``order`` columns; equal ones are decided by the later
-    commit. Without ``order`` the later commit wins. Rows before ``start`` are left out. Rows
-    without a date are kept under year -1.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], time: str, order: tuple[str, ...] = (), start: str | None = None):
-        self.spark, self.folder, self.keys, self.time, self.order, self.start = spark, folder.rstrip("/"), list(keys), time, tuple(order), start
-
-    @classmethod
-    def open(cls, spark: SparkSession, folder: str) -> Snapshot:
-        """An existing snapshot with the keys and order it was made with."""
-        m = cls(spark, folder, [], "").manifest()
-        if m["schema"] is None:
-            raise FileNotFoundError(folder)
-        return cls(spark, folder, m["keys"], m["time"], tuple(m["order"]), m["start"])
+class Manifests:
+    """Numbered JSON manifests of a folder, of which the newest counts."""
 
-    # files
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _path(self, *parts: str):
+    def path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
 
-    def _fs(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def fs(self):
+        return self.path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _names(self, *parts: str) -> list[str]:
-        fs, at = self._fs(), self._path(*parts)
-        return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    def entries(self, *parts: str) -> list:
+        fs, at = self.fs(), self.path(*parts)
+        return list(fs.listStatus(at)) if fs.exists(at) else []
+
+    def delete(self, *parts: str) -> None:
+        self.fs().delete(self.path(*parts), True)
 
     def versions(self) -> list[int]:
-        return sorted(int(n[1:-5]) for n in self._names(MANIFESTS) if n.startswith("v") and n.endswith(".json"))
+        names = [f.getPath().getName() for f in self.entries(MANIFESTS)]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
+    def read(self, version: int | None = None) -> dict:
         """The newest manifest, or that of a version still kept; this is the only one opened."""
         have = self.versions()
         if not have and version is None:
-            return json.loads(json.dumps(EMPTY))
+            return {"version": 0}
         v = have[-1] if version is None else version
-        lines = self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray
-        stream = self._fs().open(self._path(MANIFESTS, f"v{v:012d}.json"))
+        stream = self.fs().open(self.path(MANIFESTS, f"v{v:012d}.json"))
         try:
-            return json.loads(bytes(lines(stream)).decode())
+            return json.loads(bytes(self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode())
         finally:
             stream.close()
 
-    def _publish(self, manifest: dict) -> None:
+    def publish(self, manifest: dict) -> None:
+        """Rename a manifest into place; :class:`Conflict` if its version is there."""
         jvm = self.spark._jvm
-        draft = self._path(MANIFESTS, f".{uuid.uuid4().hex}")
-        out = self._fs().create(draft, False)
+        draft = self.path(MANIFESTS, f".{uuid.uuid4().hex}")
+        out = self.fs().create(draft, False)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        final = self._path(MANIFESTS, f"v{manifest['version']:012d}.json")
+        final = self.path(MANIFESTS, f"v{manifest['version']:012d}.json")
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
         no_overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             context.rename(context.makeQualified(draft), context.makeQualified(final), no_overwrite)
         except Exception as e:
-            self._fs().delete(draft, False)
+            self.fs().delete(draft, False)
             if "FileAlreadyExists" in str(e):
                 raise Conflict(f"version {manifest['version']} exists") from e
             raise
 
-    def _commit(self, change: Callable[[dict], dict | None]) -> int:
+    def commit(self, change: Callable[[dict], dict | None]) -> int:
         """Apply ``change`` to the newest manifest and publish it; tried again if another writer was first."""
         while True:
-            old = self.manifest()
+            old = self.read()
             new = change(json.loads(json.dumps(old)))
             if new is None:
                 return old["version"]
             new["version"] = old["version"] + 1
             try:
-                self._publish(new)
+                self.publish(new)
                 return new["version"]
             except Conflict:
                 continue
 
+
+class Snapshot:
+    """Newest row per key of a table with a date column, kept by year.
+
+    The newest row of a key has the largest ``order`` columns; equal ones are decided by the later
+    commit. Without ``order`` the later commit wins. Rows before ``start`` are left out. Rows
+    without a date are kept under year -1.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], time: str, order: tuple[str, ...] = (), start: str | None = None):
+        self.spark, self.keys, self.time, self.order, self.start = spark, list(keys), time, tuple(order), start
+        self.manifests = Manifests(spark, folder)
+        self.folder = self.manifests.folder
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Snapshot:
+        """An existing snapshot with the keys and order it was made with."""
+        m = cls(spark, folder, [], "").manifest()
+        if m["schema"] is None:
+            raise FileNotFoundError(folder)
+        return cls(spark, folder, m["keys"], m["time"], tuple(m["order"]), m["start"])
+
+    def manifest(self, version: int | None = None) -> dict:
+        return EMPTY | self.manifests.read(version)
+
+    def versions(self) -> list[int]:
+        return self.manifests.versions()
+
     # rows
 
     def _newest(self, rows: DataFrame) -> DataFrame:
@@ -122,7 +139,7 @@ class Snapshot:
         at = f"{DATA}/{name}-{uuid.uuid4().hex}"
         year = F.coalesce(F.year(self.time), F.lit(-1))
         rows.withColumn("year", year).write.partitionBy("year").parquet(f"{self.folder}/{at}")
-        return at, [n.partition("=")[2] for n in self._names(at) if n.startswith("year=")]
+        return at, [n.partition("=")[2] for n in (f.getPath().getName() for f in self.manifests.entries(at)) if n.startswith("year=")]
 
     def append(self, batch: DataFrame, batch_id: int, source: str = "batch") -> int:
         """Commit the newest rows of a batch; a batch of this source that is not newer than its last one is skipped."""
@@ -137,6 +154,7 @@ class Snapshot:
         at, years = self._write(self._newest(rows).withColumn(VERSION, F.lit(base["version"] + 1).cast("long")), f"{source}-{batch_id}")
 
         def change(m: dict) -> dict | None:
+            m = json.loads(json.dumps(EMPTY)) | m
             if m["batches"].get(source, -1) >= batch_id:
                 return None
             m |= {"schema": json.loads(_nullable(T.StructType.fromJson(schema)).json()), "keys": self.keys, "time": self.time,
@@ -146,7 +164,7 @@ class Snapshot:
             m["batches"][source] = batch_id
             return m
 
-        return self._commit(change)
+        return self.manifests.commit(change)
 
     def read(self, version: int | None = None) -> DataFrame:
         """Rows of the newest version, or of one still kept."""
@@ -186,19 +204,19 @@ class Snapshot:
                 now["years"][y] = [at, *now["years"][y][len(ats) :]]
             return now
 
-        return self._commit(change)
+        return self.manifests.commit(change)
 
     def expire(self, keep: int = 3, older_than_s: float = 3600.0) -> list[str]:
         """Delete all but the last ``keep`` manifests, and data folders that these do not name and that nothing has written to lately."""
-        fs, have = self._fs(), self.versions()
+        have = self.versions()
         for v in have[:-keep]:
-            fs.delete(self._path(MANIFESTS, f"v{v:012d}.json"), False)
+            self.manifests.delete(MANIFESTS, f"v{v:012d}.json")
         named = {at for v in have[-keep:] for ats in self.manifest(v)["years"].values() for at in ats}
         gone, now = [], clock.time()
-        for f in fs.listStatus(self._path(DATA)) if fs.exists(self._path(DATA)) else []:
+        for f in self.manifests.entries(DATA):
             name = f"{DATA}/{f.getPath().getName()}"
             if name not in named and now - f.getModificationTime() / 1000 >= older_than_s:
-                fs.delete(f.getPath(), True)
+                self.manifests.delete(name)
                 gone.append(name)
         return gone
 

@@ -163,7 +163,7 @@ def test_two_writers(spark, tmp_path):
     stale = other.manifest()
     s.append(batch(spark, ("b", "2001-05-01", 5, 2)), 1)
     with pytest.raises(Conflict):
-        other._publish({**stale, "version": 2})
+        other.manifests.publish({**stale, "version": 2})
     other.append(batch(spark, ("c", "2003-05-01", 5, 3)), 0, "other")
     assert len(state(s)) == 3 and s.manifest()["version"] == 3
     with pytest.raises(ValueError):
