@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tempora.catalog import climate, models, summaries
+from tempora.catalog import climate, models, summaries, wording
 from tempora.catalog.base import B0, B1, MATRIX, REGISTRY, SPEC, query, with_sql
 from tempora.operators import degree_days as DG
 from tempora.operators import documents as D
@@ -36,7 +36,10 @@ def _corpus(spark, path):
     ])
 
 
-@query("corpus_documents", "R1 F17 F14")
+@query(
+    "corpus_documents", "R1 F17 F14",
+    wording.corpus_sql(*[REGISTRY[n].sql for n in ("threshold_days", "degree_day_ytd", "degree_day_season")]),
+)
 @star.one_daily_pass
 def _(spark, path):
     return _corpus(spark, path)

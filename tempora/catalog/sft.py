@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tempora.catalog import climate, models, summaries
+from tempora.catalog import climate, models, summaries, wording
 from tempora.catalog.base import MATRIX, SPEC, query, with_sql
 from tempora.operators import modeling as MD
 from tempora.operators import month_slice as MS
@@ -13,29 +13,48 @@ from tempora.operators import summary as SM
 from tempora.sources import star
 
 
+def _latest(spark, path):
+    return SM.latest_metrics(climate.city_current(spark, path), SPEC, ("city",))
+
+
+def _slices(spark, path):
+    return summaries.slices(spark, path)
+
+
+BUILDERS = {
+    "ytd": lambda s, p: S.ytd_examples(summaries.region_summary(s, p), "the region", f"01-01 to {SPEC.cutoff}"),
+    "entity_ytd": lambda s, p: S.entity_ytd_examples(summaries.city_summary(s, p), "city"),
+    "ranking": lambda s, p: S.ranking_examples(summaries.city_summary(s, p), "city"),
+    "annual_trend": lambda s, p: S.annual_trend_examples(summaries.region_annual(s, p).withColumn("place", F.lit("region")), ["place"]),
+    "entity_month": lambda s, p: S.entity_month_examples(climate.city_monthly(s, p), "city"),
+    "latest_month": lambda s, p: S.latest_month_examples(climate.city_monthly(s, p), "city"),
+    "region_month": lambda s, p: S.region_month_examples(climate.region_monthly(s, p), "the region"),
+    "rolling": lambda s, p: S.rolling_examples(_latest(s, p), "city"),
+    "slice": lambda s, p: S.slice_examples(_slices(s, p), MS.slice_summary(_slices(s, p), ["city", "month"]), "city"),
+    "slice_trend": lambda s, p: S.slice_trend_examples(_slices(s, p), "city"),
+    "slice_comparison": lambda s, p: S.slice_comparison_examples(_slices(s, p), "city"),
+    "model": lambda s, p: S.model_examples(MD.regression_metrics(models.city_pred(s, p))),
+    "residual": lambda s, p: S.residual_examples(models.city_pred(s, p), ["city", "time"]),
+    "matrix": lambda s, p: S.matrix_examples(climate.matrix(s, p), "city"),
+    "strongest": lambda s, p: S.strongest_examples(climate.matrix(s, p), "city"),
+}
+
+
 def table_examples(spark, path):
     """Examples of every builder over the result tables."""
-    city_sum, city_mon = summaries.city_summary(spark, path), climate.city_monthly(spark, path)
-    slices, m, pred = summaries.slices(spark, path), climate.matrix(spark, path), models.city_pred(spark, path)
-    latest = SM.latest_metrics(climate.city_current(spark, path), SPEC, ("city",))
-    region_annual = summaries.region_annual(spark, path).withColumn("place", F.lit("region"))
-    return S.union([
-        S.ytd_examples(summaries.region_summary(spark, path), "the region", f"01-01 to {SPEC.cutoff}"),
-        S.entity_ytd_examples(city_sum, "city"),
-        S.ranking_examples(city_sum, "city"),
-        S.annual_trend_examples(region_annual, ["place"]),
-        S.entity_month_examples(city_mon, "city"),
-        S.latest_month_examples(city_mon, "city"),
-        S.region_month_examples(climate.region_monthly(spark, path), "the region"),
-        S.rolling_examples(latest, "city"),
-        S.slice_examples(slices, MS.slice_summary(slices, ["city", "month"]), "city"),
-        S.slice_trend_examples(slices, "city"),
-        S.slice_comparison_examples(slices, "city"),
-        S.model_examples(MD.regression_metrics(pred)),
-        S.residual_examples(pred, ["city", "time"]),
-        S.matrix_examples(m, "city"),
-        S.strongest_examples(m, "city"),
-    ])
+    return S.union([build(spark, path) for build in BUILDERS.values()])
+
+
+def _register(name, build):
+    """The texts of one builder; its context column is the row itself and is compared as tables elsewhere."""
+    @query(f"sft_text_{name}", "S1 F17", wording.SFT[name])
+    @star.one_daily_pass
+    def run(spark, path):
+        return build(spark, path).select("instruction", "output")
+
+
+for _name in wording.SFT:
+    _register(_name, BUILDERS[_name])
 
 
 @query("sft_examples", "S1 S2 F17")
