@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tempora.catalog import climate
 from tempora.catalog.base import MATRIX, query, with_sql
 from tempora.functions import text as TX
+from tempora.operators import dense
 from tempora.operators import retrieval as R
 from tempora.session import input_state, shared_dir
 from tempora.sources import star
@@ -210,7 +211,22 @@ def _(spark, path):
 def _(spark, path):
     # the query vectors are the mean vectors of the labels, a set of fixed size
     e = star.table(spark, path, "embeddings")
-    return R.dense_top_k(e, R.mean_vectors(e, "label", "embedding"), "vec_id", "embedding", "label", 5)
+    return dense.dense_top_k(e, R.mean_vectors(e, "label", "embedding"), "vec_id", "embedding", "label", 5)
+
+
+@query(
+    "dense_topk_cells", "R6",
+    """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 10 = 0),
+      s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings, q)
+      SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY round(score, 6) DESC, vec_id) AS rank FROM s) WHERE rank <= 3""",
+    "score",
+)
+def _(spark, path):
+    # every tenth vector asks for its neighbours: the number of queries grows with the table
+    e = star.table(spark, path, "embeddings")
+    q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return dense.search_cells(dense.build_cells(e, "vec_id", "embedding"), e, q, "query_id", 3)[0]
 
 
 PROMPT = "Answer using only the provided context.\n\nQuestion: {question}\n\nContext:\n{context}\n"

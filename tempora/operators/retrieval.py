@@ -141,42 +141,6 @@ def mean_vectors(vectors: DataFrame, label: str, embedding: str) -> DataFrame:
     return means.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"].alias("query"))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def _unit_vector(c: str) -> Column:
-    """Components divided by the vector's length; NULL for a vector of zeros."""
-    v = F.col(c)
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), F.sqrt(F.col("_sq"))))
-
-
-def _normalized(df: DataFrame, column: str, out: str) -> DataFrame:
-    v = F.col(column)
-    return df.withColumn("_sq", _dot(v, v)).filter("_sq > 0").withColumn(out, _unit_vector(column)).drop("_sq")
-
-
-def dense_top_k(
-    vectors: DataFrame, queries: DataFrame, key: str, embedding: str, question: str, k: int = 3, block: int = 256
-) -> DataFrame:
-    """Cosine top-k of dense vectors for any number of query vectors.
-
-    Queries are cut into blocks of about ``block`` by hash; a vector meets each block as one
-    array and scores its queries inside the task. Vectors and queries are brought to unit length
-    once. Only k rows per query leave a task. Zero vectors have no direction and no score.
-    """
-    queries = shared_table(_normalized(queries, "query", "u").select(question, "u"), "unit-queries")
-    blocks = max(1, -(-queries.count() // block))
-    of = F.pmod(F.xxhash64(question), F.lit(blocks).cast("long")).alias("_block")
-    groups = queries.groupBy(of).agg(F.collect_list(F.struct(question, "u")).alias("_q"))
-    unit = _normalized(vectors.select(key, embedding), embedding, "_v").withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = unit.join(groups, "_block")
-    scored = met.select(key, "_v", F.explode("_q").alias("q")).select(
-        key, F.col(f"q.{question}").alias(question), _dot(F.col("_v"), F.col("q.u")).alias("score"))
-    return top_per_question(scored, question, key, k)
-
-
 def with_documents(hits: DataFrame, docs: DataFrame, doc: str, question: str) -> DataFrame:
     """Hits with title, source and text of their documents."""
     return hits.join(docs.select(doc, "title", "source", "text"), doc)

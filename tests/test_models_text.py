@@ -11,6 +11,7 @@ from tempora.functions import text as TX
 from tempora.operators import answers as A
 from tempora.operators import features as FT
 from tempora.operators import modeling as MD
+from tempora.operators import dense
 from tempora.operators import retrieval as R
 from tempora.operators import sft as S
 from tempora.spec import ObservationSpec
@@ -170,7 +171,7 @@ def test_retrieval_is_exact_whatever_terms_come_first(spark, tmp_path, first):
 def test_dense_queries_in_blocks(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id int, e array<float>")
     q = spark.createDataFrame([(i, [1.0, 0.1] if i % 2 else [0.0, 2.0]) for i in range(1001)], "q int, query array<double>")
-    top = {r["q"]: r["id"] for r in R.dense_top_k(v, q, "id", "e", "q", 1).collect()}
+    top = {r["q"]: r["id"] for r in dense.dense_top_k(v, q, "id", "e", "q", 1).collect()}
     assert top == {i: 1 if i % 2 else 2 for i in range(1001)}
 
 
