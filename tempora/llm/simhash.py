@@ -152,8 +152,8 @@ FOLD[65:91] += 32
 LOW = np.uint64(5 << 60)
 #: A shingle in so many texts counts as frequent; frequent ones come last among the low hashes.
 FREQUENT = 64
-#: Heads of a group in the first round; each round takes four times as many as the one before.
-HEADS, MORE_HEADS = 1, 4
+#: Heads of a group in the first round; each round takes eight times as many as the one before.
+HEADS, MORE_HEADS = 1, 8
 
 
 def prefix_size(n: int | np.ndarray, similarity: float):
@@ -260,23 +260,28 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _postings(profiles: DataFrame, similarity: float) -> DataFrame:
-    """(token, node, n) of the shared shingles in each text's prefix.
+def _in_prefix(tokens: DataFrame, similarity: float) -> DataFrame:
+    """(token, node, n, shared) of the shared shingles in each text's prefix, as far as another text has them in its own.
 
-    The common order has the low hashes first, rare ones before frequent ones, then the others by
-    hash. A text's prefix begins with the shingles that it has alone, which need no row.
+    ``tokens`` is (token, node, n, low) with ``low`` the number of the text's shingles under LOW,
+    or n where the order is by number of texts alone. A prefix begins with the shingles that the
+    text has alone, which need no row.
     """
-    dealt = profiles.filter("n > 0").mapInArrow(_tokens, "token long, node long, n int, low int").repartition("token").sortWithinPartitions("token", "node")
+    dealt = tokens.repartition("token").sortWithinPartitions("token", "node")
     shared = dealt.mapInArrow(_shared_tokens, "token long, node long, n int, low int, texts int")
     # unsigned order, as in the profiles
-    is_low = F.col("token").between(0, int(LOW) - 1)
+    early = F.col("token").between(0, int(LOW) - 1) | (F.col("low") == F.col("n"))
     own = shared.groupBy("node").agg(
         F.any_value("n").alias("n"), F.any_value("low").alias("low"),
-        F.sort_array(F.collect_list(F.when(is_low, F.struct("texts", "token")))).alias("near"),
-        F.collect_list(F.when(~is_low, F.col("token"))).alias("beyond"))
+        F.sort_array(F.collect_list(F.when(early, F.struct("texts", "token")))).alias("near"),
+        F.collect_list(F.when(~early, F.struct("texts", "token"))).alias("beyond"))
     prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
     take = F.greatest(F.lit(0), F.least(F.size("near"), (prefix - (F.col("low") - F.size("near"))).cast("int")))
-    return own.select("node", "n", F.explode(F.concat(F.transform(F.slice("near", F.lit(1), take), lambda x: x.token), "beyond")).alias("token"))
+    shared = F.size("near") + F.size("beyond")
+    taken = own.select("node", "n", shared.alias("shared"), F.explode(F.concat(F.slice("near", F.lit(1), take), "beyond")).alias("x"))
+    postings = C.store(taken.select("x.token", "node", "n", "shared"), "postings")
+    several = postings.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    return postings.join(several, "token")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -294,53 +299,74 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(linked)
 
 
+def _set_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, node, n, low) of whole sets, with ``low`` as n: the order does not look at LOW."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in part.column("shingles")]
+            size = np.array([len(s) for s in sets], np.int64)
+            row = np.repeat(np.arange(len(sets)), size)
+            n = pa.array(size[row].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), part.column("node").take(pa.array(row)), n, n], ["token", "node", "n", "low"])
+
+
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Stored (doc_id, same, node) of every row, and (node, component) of the texts that have a similar one.
 
     ``node`` stands for a text. Its neighbours have a Jaccard similarity of ``similarity`` or
     more over sets of ``shingle``-word shingles, and no pair is missed: two such sets share a
-    shingle of their prefixes. Links that SimHash keys give are verified first and join most of
-    each group. Then every prefix shingle compares its smallest text with its others, as far as
-    these are not in one component yet and their sizes allow the similarity; texts that have been
-    compared with all others of their shingle leave it, and the rest goes on with more heads until
-    each shingle has one component left.
+    shingle of their prefixes in any common order. The first order takes a sample of the hashes
+    first, rare shingles before frequent ones, and only tells which texts can have a neighbour.
+    These texts are compared in the order of all their shingles by number of texts, so a shared
+    one comes up only where four fifths of the text are shared.
+
+    Links that SimHash keys give are verified with the first comparisons and join most of each
+    group. Every prefix shingle compares its smallest text with its others, as far as these are
+    not in one component yet and the numbers of their shingles, and of those that any other text
+    has, allow the similarity; texts that have been compared
+    with all others of their shingle leave it, and the rest goes on with more heads until each
+    shingle has one component left.
     """
     d = docs.select(C.doc_id(), C.text()).withColumn("same", F.md5("text")).withColumn("node", F.conv(F.substring("same", 1, 15), 16, 10).cast("long"))
     profiles = C.store(d.mapInArrow(lambda it: _profiles(it, shingle, similarity), PROFILE), "profiles")
     nodes = C.store(profiles.filter("n > 0").groupBy("node").agg(
         F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.min(F.struct("doc_id", "same")).alias("head")), "nodes")
-    postings = C.store(_postings(profiles, similarity), "postings")
+    tokens = profiles.filter("n > 0").mapInArrow(_tokens, "token long, node long, n int, low int")
+    some = C.store(_in_prefix(tokens, similarity).select("node").distinct(), "with-candidates")
     rows = C.store(profiles.select("doc_id", "same", "node"), "rows")
     C.discard(profiles)
-    busy = postings.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    open_ = C.store(postings.join(busy, "token"), "open-postings")
-    C.discard(postings)
     by_fp = C.store(_simhash_pairs(nodes), "fp-pairs")
-    wanted = open_.select("node").unionByName(by_fp.select(F.col("a").alias("node"))).unionByName(by_fp.select(F.col("b").alias("node"))).distinct()
+    wanted = some.unionByName(by_fp.select(F.col("a").alias("node"))).unionByName(by_fp.select(F.col("b").alias("node"))).distinct()
     heads = C.store(nodes.join(wanted, "node").select("node", "head.*"), "wanted")
     sets = C.store(
         d.select("doc_id", "same", "text").join(heads.hint("shuffle_hash"), ["doc_id", "same"]).select("node", "text").mapInArrow(
             lambda it: _set_rows(it, shingle), "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
-    found = C.store(_verified(by_fp, sets, similarity), "found")
-    heads_a_round = HEADS
+    again = sets.join(some, "node", "left_semi").mapInArrow(_set_tokens, "token long, node long, n int, low int")
+    open_ = C.store(_in_prefix(again, similarity), "open-postings")
+    labels, found, pairs, heads_a_round = None, None, by_fp, HEADS
     while True:
-        labels = components(found)
-        named = open_.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+        component = F.col("node") if labels is None else F.coalesce("component", "node")
+        named = (open_ if labels is None else open_.join(labels, "node", "left")).select("token", "node", "n", "shared", component.alias("component"))
         several = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
         named = C.store(named.join(several, "token"), "named")
-        C.discard(open_)
-        if named.isEmpty():
+        if named.isEmpty() and labels is not None:
             break
         part = F.pmod(F.xxhash64("node", F.lit(heads_a_round)), F.lit(heads_a_round))
-        first = C.store(named.groupBy("token", part.alias("part")).agg(F.min(F.struct("node", "n", "component")).alias("h")).select(
-            "token", F.col("h.node").alias("a"), F.col("h.n").alias("an"), F.col("h.component").alias("ac")), "heads")
-        fits = F.least("n", "an") >= F.greatest("n", "an") * similarity - 1e-9
-        pairs = C.store(named.join(first, "token").filter((F.col("component") != F.col("ac")) & fits).select(
-            F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        more = C.store(_verified(pairs, sets, similarity).unionByName(found), "found")
-        open_ = C.store(named.select("token", "node", "n").join(first.select("token", F.col("a").alias("node")), ["token", "node"], "left_anti"), "open-postings")
-        C.discard(found, named, first, pairs)
-        found, heads_a_round = more, heads_a_round * MORE_HEADS
+        first = C.store(named.groupBy("token", part.alias("part")).agg(F.min(F.struct("node", "n", "shared", "component")).alias("h")).select(
+            "token", F.col("h.node").alias("a"), F.col("h.n").alias("an"), F.col("h.shared").alias("ashared"), F.col("h.component").alias("ac")), "heads")
+        # what two sets share is at most what each shares with any other, and at least this for the similarity
+        needed = F.ceil((F.col("n") + F.col("an")) * (similarity / (1 + similarity)) - 1e-9)
+        fits = needed <= F.least("n", "an", "shared", "ashared")
+        met = named.join(first, "token").filter((F.col("component") != F.col("ac")) & fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        pairs = C.store((met if labels is not None else met.unionByName(pairs)).distinct(), "pairs")
+        more = C.store(_verified(pairs, sets, similarity), "found")
+        left = named.select("token", "node", "n", "shared").join(first.select("token", F.col("a").alias("node")), ["token", "node"], "left_anti")
+        open_ = C.store(left, "open-postings")
+        if labels is None or not more.isEmpty():
+            found = more if found is None else found.unionByName(more)
+            labels = components(found)
+        heads_a_round *= MORE_HEADS
     C.discard(sets)
     return rows, labels
 
