@@ -23,6 +23,7 @@ HEADLINE = (
     "source_priority", "feature_table", "regression_metrics", "typical_range_every_day", "even_sample", "weather_gate",
     "keyed_sum", "tokenize", "tfidf_topk", "dense_topk", "sft_tokens", "year_month_answers", "stream_monthly_means",
     "corpus_documents", "dashboard_document", "entity_documents", "sft_examples", "forecast_days", "question_router",
+    "index_refresh", "combine_monthly_means", "dense_topk_cells", "moments_matrix", "matrix_published", "stream_merge_snapshot",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 

@@ -654,3 +654,14 @@ def _(spark, path):
 )
 def _(spark, path):
     return L.version_for_run(_versions(spark, path))
+
+
+@query(
+    "promotion_ledger", "T-11",
+    """WITH p AS (SELECT l_suppkey AS model, l_linenumber AS version, max(l_orderkey) AS run_id FROM lineitem WHERE l_extendedprice < 20000 GROUP BY ALL)
+      SELECT model, 'champion' AS alias, version, run_id, lag(version) OVER w AS previous_version, lead(version) OVER w IS NULL AS current,
+        'passed' AS quality_gate, 'champion' AS promoted_alias FROM p WINDOW w AS (PARTITION BY model ORDER BY version)""",
+)
+def _(spark, path):
+    p = L.promotions(_versions(spark, path))
+    return p.withColumns({t: F.col("tags")[t] for t in ("quality_gate", "promoted_alias")}).drop("tags")

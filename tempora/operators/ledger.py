@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,17 @@ def champion(versions: DataFrame) -> DataFrame:
 def version_for_run(versions: DataFrame) -> DataFrame:
     """Highest version registered for each run of a model."""
     return versions.groupBy("model", "run_id").agg(F.max("version").alias("version"))
+
+
+def promotions(versions: DataFrame, alias: str = "champion") -> DataFrame:
+    """A row per promotion: the version that took the alias, the one it took it from, and its tags.
+
+    Versions that passed their gate take the alias in the order of their numbers; of several runs
+    of a version the largest id counts. ``current`` marks the one that has the alias now.
+    """
+    passed = versions.filter("passed").groupBy("model", "version").agg(F.max("run_id").alias("run_id"))
+    w = Window.partitionBy("model").orderBy("version")
+    return passed.select(
+        "model", F.lit(alias).alias("alias"), "version", "run_id", F.lag("version").over(w).alias("previous_version"),
+        F.lead("version").over(w).isNull().alias("current"),
+        F.create_map(F.lit("quality_gate"), F.lit("passed"), F.lit("promoted_alias"), F.lit(alias)).alias("tags"))
