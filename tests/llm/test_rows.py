@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tempora.llm import fingerprints, sharding, urls
@@ -127,6 +128,18 @@ def test_false_positives_of_the_filter_are_removed(spark):
     assert {r.verdict: r["count"] for r in got} == {"block": 10000, "allow": 10000}
 
 
+def test_filter_grows_with_the_list():
+    assert [urls.blocks_for(n) for n in (0, 1, 32_768, 32_769, 10_000_000, 10**9)] == [1 << 10, 1 << 10, 1 << 10, 1 << 11, 1 << 19, 1 << 21]
+    r = np.random.default_rng(1)
+    listed, others = (r.integers(-(2**63), 2**63, n, dtype=np.int64) for n in (50_000, 200_000))
+    blocks = urls.blocks_for(len(listed))
+    words = np.zeros(blocks * 8, np.uint64)
+    at, mask = urls._slots(listed, blocks)
+    np.bitwise_or.at(words, at.ravel(), mask.ravel())
+    passes = lambda h: ((words[(s := urls._slots(h, blocks))[0]] & s[1]) == s[1]).all(1)
+    assert passes(listed).all() and passes(others).mean() < 0.01
+
+
 def test_urls_of_nothing(spark):
     none = spark.createDataFrame([], "canonical string")
     assert urls.judge(pages(spark, []), none).count() == 0
