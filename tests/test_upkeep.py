@@ -171,3 +171,18 @@ def test_document_of_mixed_sections(spark):
 def test_document_of_nothing(spark):
     empty = SC.section("s", spark.createDataFrame([], "k string"), ["k"], [])
     assert SC.document(empty).first().document in ("{}", "null")
+
+
+# --- promotions -------------------------------------------------------------------------------------------------------
+
+
+def test_promotions(spark):
+    from tempora.operators import ledger
+
+    v = spark.createDataFrame(
+        [("m", "run-1", 1, True), ("m", "run-2", 2, False), ("m", "run-3", 3, True), ("m", "run-9", 3, True), ("n", "run-5", 1, False)],
+        "model string, run_id string, version int, passed boolean")
+    got = {(r.version): (r.alias, r.run_id, r.previous_version, r.current, r.tags) for r in ledger.promotions(v).collect()}
+    tags = {"quality_gate": "passed", "promoted_alias": "champion"}
+    assert got == {1: ("champion", "run-1", None, False, tags), 3: ("champion", "run-9", 1, True, tags)}
+    assert [r.run_id for r in ledger.champion(v).collect()] == ["run-9"]
