@@ -261,7 +261,9 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
 
 
 def _in_prefix(tokens: DataFrame, similarity: float) -> DataFrame:
-    """(token, node, n, shared) of the shared shingles in each text's prefix, as far as another text has them in its own.
+    """(token, node, n, left) of the shared shingles in each text's prefix, as far as another text has them in its own.
+
+    ``left`` is the number of the text's shingles from this one on, in the common order.
 
     ``tokens`` is (token, node, n, low) with ``low`` the number of the text's shingles under LOW,
     or n where the order is by number of texts alone. A prefix begins with the shingles that the
@@ -278,8 +280,8 @@ def _in_prefix(tokens: DataFrame, similarity: float) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
     take = F.greatest(F.lit(0), F.least(F.size("near"), (prefix - (F.col("low") - F.size("near"))).cast("int")))
     shared = F.size("near") + F.size("beyond")
-    taken = own.select("node", "n", shared.alias("shared"), F.explode(F.concat(F.slice("near", F.lit(1), take), "beyond")).alias("x"))
-    postings = C.store(taken.select("x.token", "node", "n", "shared"), "postings")
+    taken = own.select("node", "n", shared.alias("shared"), F.posexplode(F.concat(F.slice("near", F.lit(1), take), "beyond")).alias("place", "x"))
+    postings = C.store(taken.select("x.token", "node", "n", (F.col("shared") - F.col("place")).alias("left")), "postings")
     several = postings.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     return postings.join(several, "token")
 
@@ -323,8 +325,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     Links that SimHash keys give are verified with the first comparisons and join most of each
     group. Every prefix shingle compares its smallest text with its others, as far as these are
-    not in one component yet and the numbers of their shingles, and of those that any other text
-    has, allow the similarity; texts that have been compared
+    not in one component yet and their shingles from this one on allow the similarity; texts that have been compared
     with all others of their shingle leave it, and the rest goes on with more heads until each
     shingle has one component left.
     """
@@ -347,22 +348,22 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     labels, found, pairs, heads_a_round = None, None, by_fp, HEADS
     while True:
         component = F.col("node") if labels is None else F.coalesce("component", "node")
-        named = (open_ if labels is None else open_.join(labels, "node", "left")).select("token", "node", "n", "shared", component.alias("component"))
+        named = (open_ if labels is None else open_.join(labels, "node", "left")).select("token", "node", "n", "left", component.alias("component"))
         several = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
         named = C.store(named.join(several, "token"), "named")
         if named.isEmpty() and labels is not None:
             break
         part = F.pmod(F.xxhash64("node", F.lit(heads_a_round)), F.lit(heads_a_round))
-        first = C.store(named.groupBy("token", part.alias("part")).agg(F.min(F.struct("node", "n", "shared", "component")).alias("h")).select(
-            "token", F.col("h.node").alias("a"), F.col("h.n").alias("an"), F.col("h.shared").alias("ashared"), F.col("h.component").alias("ac")), "heads")
-        # what two sets share is at most what each shares with any other, and at least this for the similarity
+        first = C.store(named.groupBy("token", part.alias("part")).agg(F.min(F.struct("node", "n", "left", "component")).alias("h")).select(
+            "token", F.col("h.node").alias("a"), F.col("h.n").alias("an"), F.col("h.left").alias("aleft"), F.col("h.component").alias("ac")), "heads")
+        # at its first shared shingle a pair has at most the rest of either set in common; for the similarity it needs this
         needed = F.ceil((F.col("n") + F.col("an")) * (similarity / (1 + similarity)) - 1e-9)
-        fits = needed <= F.least("n", "an", "shared", "ashared")
+        fits = needed <= F.least("left", "aleft")
         met = named.join(first, "token").filter((F.col("component") != F.col("ac")) & fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         pairs = C.store((met if labels is not None else met.unionByName(pairs)).distinct(), "pairs")
         more = C.store(_verified(pairs, sets, similarity), "found")
-        left = named.select("token", "node", "n", "shared").join(first.select("token", F.col("a").alias("node")), ["token", "node"], "left_anti")
-        open_ = C.store(left, "open-postings")
+        rest = named.select("token", "node", "n", "left").join(first.select("token", F.col("a").alias("node")), ["token", "node"], "left_anti")
+        open_ = C.store(rest, "open-postings")
         if labels is None or not more.isEmpty():
             found = more if found is None else found.unionByName(more)
             labels = components(found)
