@@ -215,20 +215,36 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def string_hashes(data: np.ndarray, lengths: np.ndarray, halves: int = 1) -> np.ndarray:
-    """XXH3 of every byte string that lies end to end in ``data``: 64 bits, or with ``halves`` 2 both halves of 128.
-
-    Equal strings are found exactly and hashed once.
-    """
+def string_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Both halves of the 128-bit XXH3 of every byte string that lies end to end in ``data``; equal strings are hashed once."""
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     values = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
     coded = values.dictionary_encode()
-    kinds = coded.dictionary.to_pylist()
-    at = coded.indices.to_numpy()
-    if halves == 1:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))[at]
-    raw = b"".join(map(xxhash.xxh3_128_digest, kinds))
-    return np.frombuffer(raw, np.uint64).reshape(-1, 2)[at]
+    raw = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+
+
+#: Words up to so many bytes are hashed in whole arrays, longer ones one by one.
+SHORT_WORD = 64
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: each 8 bytes go through :func:`mix` with what came before, so no two strings cancel by their form."""
+    length = ends - starts
+    out = mix(length.astype(np.uint64) + np.uint64(_MULTIPLIER[0]))
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    live = np.flatnonzero(length <= SHORT_WORD)
+    for at in range(0, SHORT_WORD, 8):
+        live = live[length[live] > at]
+        if not len(live):
+            break
+        block = eight[starts[live] + at].view("<u8").ravel().astype(np.uint64)
+        short = np.minimum(length[live] - at, 8).astype(np.uint64)
+        block &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short)
+        out[live] = mix((out[live] ^ block) * np.uint64(_MULTIPLIER[1]) + np.uint64(at + 1))
+    for k in np.flatnonzero(length > SHORT_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +254,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         at = offsets[i]
         piece = data[at : offsets[j]]
         starts, ends, own = words(piece, offsets[i : j + 1] - at)
-        parts.append((string_hashes(piece[~WHITESPACE[piece]], ends - starts), starts + at, ends + at))
+        parts.append((span_hashes(piece, starts, ends), starts + at, ends + at))
         first.append(own[1:] + n)
         n += len(starts)
     if not parts:

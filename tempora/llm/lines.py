@@ -60,7 +60,7 @@ def _line_hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[
             within = np.zeros(len(part) + 1, np.int8)
             within[s] += 1
             within[e] -= 1
-            h = C.string_hashes(part[np.cumsum(within[:-1], dtype=np.int8) > 0], e - s, 2)[keep].view(np.int64)
+            h = C.string_hashes(part[np.cumsum(within[:-1], dtype=np.int8) > 0], e - s)[keep].view(np.int64)
             row = row[keep] + i
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids[row]), pa.array(tids[row]), pa.array(pos[keep].astype(np.int32))],
