@@ -34,11 +34,14 @@ def fit_regressors(train: DataFrame, contract: FeatureContract) -> dict[str, Lin
     """A linear model per target present, by the normal equations.
 
     All moments of all targets are sums of one aggregate over the training rows; the system of
-    one equation per input is solved on the driver.
+    one equation per input is solved on the driver. Inputs are measured from their training
+    means and scaled to the same length, so the squares in the system lose no digits to a large
+    common value. An input that does not vary has coefficient 0.
     """
     targets = [t for t in TARGETS if t in train.columns]
     data = contract.apply(train, tuple(targets))
-    x = [F.lit(1.0), *(F.col(c) for c in contract.columns)]
+    at = np.array([0.0, *(contract.default(c) for c in contract.columns)])
+    x = [F.lit(1.0), *(F.col(c) - F.lit(float(m)) for c, m in zip(contract.columns, at[1:], strict=True))]
     n = len(x)
     cells = []
     for t in targets:
@@ -52,8 +55,12 @@ def fit_regressors(train: DataFrame, contract: FeatureContract) -> dict[str, Lin
         gram = np.zeros((n, n))
         gram[np.triu_indices(n)] = sums[:-n]
         gram = gram + np.triu(gram, 1).T
-        w = np.linalg.lstsq(gram, np.array(sums[-n:]), rcond=1e-13)[0]
-        models[t] = LinearModel(float(w[0]), tuple(map(float, w[1:])))
+        length = np.sqrt(gram.diagonal())
+        # what is left of a constant input is the rounding of its mean
+        varies = length > 1e-12 * np.abs(at) * np.sqrt(gram[0, 0])
+        scale = np.divide(1.0, length, out=np.zeros(n), where=varies & (length > 0))
+        w = scale * np.linalg.lstsq(gram * np.outer(scale, scale), np.array(sums[-n:]) * scale, rcond=1e-13)[0]
+        models[t] = LinearModel(float(w[0] - w[1:] @ at[1:]), tuple(map(float, w[1:])))
     return models
 
 

@@ -61,6 +61,18 @@ def test_fit_equals_least_squares(spark):
     assert m["r2"] > 0.99 and m["residual_mean"] == pytest.approx(0.0, abs=1e-6)
 
 
+def test_fit_keeps_its_digits_far_from_zero(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([11.2 + rng.normal(0, 0.07, 300), 1.65 + rng.normal(0, 0.001, 300), np.full(300, 0.1)])
+    y = 25.0 + x[:, :2] @ [0.5, -0.9] + rng.normal(0, 0.5, 300)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
+    contract = FT.fit_contract(df)
+    model = MD.fit_regressors(df, contract)["y"]
+    want = np.linalg.lstsq(np.column_stack([x[:, :2] - x[:, :2].mean(0), np.ones(300)]), y, rcond=None)[0]
+    assert model.coefficients == pytest.approx((want[0], want[1], 0.0), abs=1e-9)
+    assert model.intercept == pytest.approx(want[2] - want[:2] @ x[:, :2].mean(0), abs=1e-9)
+
+
 def test_metrics_of_constant_truth(spark):
     m = MD.regression_metrics(spark.createDataFrame([(1.0, 2.0), (1.0, 0.0)], "y_true double, y_pred double")).first()
     assert (m["mse"], m["r2"], m["residual_std"]) == (1.0, 0.0, 1.0)
