@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.text import NO_ANSWER, answer_score, bigrams, first_sentences, interpretation, words
+from tempora.operators.terms import unit_vectors
 from tempora.session import shared_table
 
 
@@ -42,15 +43,10 @@ def _unit(w: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
 def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): unit-length vectors of a corpus in long form.
 
-    The texts are cut once: the counts are stored and both sides of the term join read them.
-    Both sides of the term join grow with the corpus, and their size after the token explosion
-    is unknown to the optimizer, so the join is pinned to sort-merge and never broadcast. A
-    frequent term fills one join partition; adaptive execution splits it, because the following
-    exchange on the key leaves the join free to do so.
+    The texts are cut once. Rows of a text and a term stand in the task that made them: blocks of
+    texts ask for the document frequencies of their terms, so a term travels once per block.
     """
-    counts = shared_table(term_counts(docs, key, text), "term-counts")
-    idf = _idf(counts, docs.agg(F.count("*")).scalar())
-    return _unit(counts.join(idf.select("term", "idf").hint("merge"), "term"), key)
+    return unit_vectors(docs, key, text)
 
 
 def _bucket(buckets: int) -> Column:
