@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.text import NO_ANSWER, answer_score, bigrams, first_sentences, interpretation, words
-from tempora.operators.terms import unit_vectors
+from tempora.operators.terms import smooth_idf, unit_vectors
 from tempora.session import shared_table
 
 
@@ -56,18 +56,17 @@ def _bucket(buckets: int) -> Column:
 def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
     """Full rebuild of the stored index; returns the stored vectors and vocabulary.
 
-    Vectors are partitioned by term hash, so a question reads only the folders of its terms. The
-    rebalance hint sizes the files and splits the folder of a frequent term over several tasks.
+    Vectors are partitioned by term hash, so a question reads only the folders of its terms. Every
+    task writes its texts' rows to the folders, without a further exchange.
     The vocabulary (term, df, max_weight, idf) is aggregated from the stored vectors.
     """
     spark = docs.sparkSession
     vectors = build_index(docs, key, text).withColumn("bucket", _bucket(buckets))
-    vectors.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
+    vectors.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
     stored = spark.read.parquet(f"{path}/vectors")
     # the vocabulary carries each term's folder, so questions join on (bucket, term) and prune
     size = docs.agg(F.count("*")).scalar()
-    vocabulary = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("weight").alias("max_weight")).withColumn(
-        "idf", F.log((1 + F.greatest(size, F.lit(1))) / (1 + F.col("df"))) + 1.0)
+    vocabulary = smooth_idf(stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("weight").alias("max_weight")), size)
     vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     return stored, spark.read.parquet(f"{path}/vocabulary")
 
