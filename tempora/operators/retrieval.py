@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.text import NO_ANSWER, answer_score, bigrams, first_sentences, interpretation, words
-from tempora.operators.terms import smooth_idf, unit_vectors
+from tempora.operators.terms import document_counts, smooth_idf, unit_vectors
 from tempora.session import shared_table
 
 
@@ -22,15 +22,9 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(key, "term").agg(F.count("*").alias("n"), F.max("total").alias("total"))
 
 
-def _idf(counts: DataFrame, size: Column) -> DataFrame:
-    """(term, df, idf) of stored term counts, smoothed: ln((1 + N) / (1 + df)) + 1."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log((1 + F.greatest(size, F.lit(1))) / (1 + F.col("df"))) + 1.0)
-
-
 def inverse_document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, df, idf) of a corpus. A term's rows are combined on the map side."""
-    return _idf(term_counts(docs, key, text), docs.agg(F.count("*")).scalar())
+    """(term, df, idf) of a corpus. Texts are cut and counted in the scan, a row per term and block of texts travels."""
+    return smooth_idf(document_counts(docs, key, text), docs.agg(F.count("*")).scalar())
 
 
 def _unit(w: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
