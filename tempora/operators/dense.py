@@ -4,7 +4,10 @@ Few queries are one matrix that every task multiplies its vectors with. For many
 stored in cells around sampled centroids, with each cell's largest angle to its centroid. The
 angle of a query to anything in a cell is at least its angle to the centroid less that radius,
 so once a query has k scores, cells that cannot beat the k-th are skipped and the result stays
-exact. Cells are cut into blocks of vectors and meet blocks of queries, a matrix product each.
+exact. Cells are dealt in groups of some MB to the tasks. A query goes once to each group in which
+it has cells to visit, and a group returns at most k rows for it, so what travels does not grow
+with the number of cells. Where nothing can be skipped every pair is multiplied: the work then
+grows with the square of the table, the rows between tasks with groups times queries.
 
 Vectors of zeros have no direction and no score, nor has a vector of another length than the
 first query's or centroid's. Scores are compared at six decimals, ties by key.
@@ -31,6 +34,8 @@ ONE_SCAN = 2048
 #: Centroids at most, and vectors or queries of one block.
 MOST_CELLS, BLOCK = 4096, 256
 SALTS = 16
+#: Bytes of vectors in one group of cells, and queries that meet it in one task.
+GROUP, TOGETHER = 16 << 20, 65536
 #: Scores are compared at six decimals.
 MARGIN = 2e-6
 
@@ -153,26 +158,72 @@ def build_cells(vectors: DataFrame, key: str, embedding: str, cells: int | None
     return Cells(blocks, centroids, radius, size, key)
 
 
-def _blocked(pairs: DataFrame, question: str) -> DataFrame:
-    """Queries of one cell in blocks: (cell, part, questions, queries)."""
-    sizes = pairs.groupBy("cell").agg(F.count("*").alias("n"))
-    dealt = pairs.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64(question), F.ceil(F.col("n") / BLOCK)))
-    return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct(F.col(question).alias("name"), "u")).alias("qs"))
-
-
-def _meet(cells: Cells, pairs: DataFrame, result: StructType, question: str, k: int) -> DataFrame:
-    schema, width = to_arrow_schema(result), cells.centroids.shape[1]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, raw, qs in zip(b.column("keys"), b.column("vectors"), b.column("qs"), strict=True):
-                names, u = (qs.values.field(i) for i in range(2))
-                q = np.frombuffer(b"".join(x.as_py() for x in u)).reshape(-1, width)
-                v = np.frombuffer(raw.as_buffer()).reshape(-1, width)
-                yield _found(names.to_pylist(), keys.values.to_numpy(zero_copy_only=False), v @ q.T, k, schema)
-
-    met = cells.blocks.select("cell", "keys", "vectors").join(_blocked(pairs, question), "cell").select("keys", "vectors", "qs")
-    return met.mapInArrow(score, result)
+def _groups(cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """First group and number of groups of every cell; a cell larger than a group is spread over several."""
+    per = max(1, GROUP // max(8 * cells.centroids.shape[1], 1))
+    start = (np.cumsum(cells.size) - cells.size) // per
+    return start, np.maximum(-(-cells.size // per), 1)
+
+
+def _leading(row: np.ndarray, score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of each row: by score at six decimals, then name."""
+    order = np.lexsort((names, -np.round(score, 6), row))
+    ordered = row[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
+
+
+def _meet(cells: Cells, probes: DataFrame, result: StructType, question: str, k: int, parts: int) -> DataFrame:
+    """The ``k`` best of each probe in its group, among those not below its ``kth``."""
+    schema, width, (start, span) = to_arrow_schema(result), cells.centroids.shape[1], _groups(cells)
+    spark = cells.blocks.sparkSession
+    at = spark.createDataFrame(list(zip(range(len(start)), start.tolist(), span.tolist(), strict=True)), "cell int, start long, span long")
+    group = F.col("start") + F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.col("span"))
+    dealt = cells.blocks.join(F.broadcast(at), "cell").select(
+        "cell", "keys", "vectors", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def score(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        blocks, asked = blocks.combine_chunks(), asked.combine_chunks()
+        q = np.frombuffer(b"".join(x.as_py() for x in asked.column("u"))).reshape(-1, width)
+        visited = [np.frombuffer(x.as_py(), np.int32) for x in asked.column("cells")]
+        visits = np.concatenate(visited)
+        order = np.argsort(visits, kind="stable")
+        visits, who = visits[order], np.repeat(np.arange(len(q)), [len(x) for x in visited])[order]
+        names = blocks.column("keys").combine_chunks().values
+        ranks = np.empty(len(names), np.int64)
+        ranks[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        least = np.round(asked.column("kth").fill_null(-np.inf).to_numpy(), 6) - MARGIN
+        row, place, found, waiting, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0, 0
+        for cell, raw in zip(blocks.column("cell").to_pylist(), blocks.column("vectors"), strict=True):
+            v = np.frombuffer(raw.as_buffer()).reshape(-1, width)
+            those = who[np.searchsorted(visits, cell) : np.searchsorted(visits, cell, "right")]
+            for i in range(0, len(those), 4096):
+                some = those[i : i + 4096]
+                scores = q[some] @ v.T
+                x, y = np.nonzero(scores >= least[some, None])
+                row.append(some[x])
+                place.append(begin + y)
+                found.append(scores[x, y])
+                waiting += len(x)
+                if waiting > 1 << 20:
+                    row, place, found = ([np.concatenate(c)] for c in (row, place, found))
+                    best_ = _leading(row[0], found[0], ranks[place[0]], k)
+                    row, place, found = ([c[0][best_]] for c in (row, place, found))
+                    held = np.bincount(row[0], minlength=len(q)) >= k
+                    last = np.full(len(q), np.inf)
+                    np.minimum.at(last, row[0], found[0])
+                    least[held] = np.maximum(least[held], last[held] - MARGIN)
+                    waiting = 0
+            begin += len(v)
+        row, place, found = (np.concatenate(c) for c in (row, place, found))
+        best_ = _leading(row, found, ranks[place], k)
+        return pa.Table.from_arrays(
+            [asked.column(question).take(pa.array(row[best_])), names.take(pa.array(place[best_])), pa.array(found[best_])], schema=schema)
+
+    by = probes.withColumn("part", F.pmod(F.xxhash64(question), F.lit(parts)).cast("int"))
+    return dealt.groupBy("group", "part").cogroup(by.groupBy("group", "part")).applyInArrow(score, result)
 
 
 def search_cells(cells: Cells, vectors: DataFrame, queries: DataFrame, question: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -180,39 +231,54 @@ def search_cells(cells: Cells, vectors: DataFrame, queries: DataFrame, question:
     key, centroids, radius, size = cells.key, cells.centroids, cells.radius, cells.size
     result = _result(vectors, queries, key, question)
     kind = queries.schema[question].dataType.simpleString()
-    probe = f"{question} {kind}, u binary, cell int, first boolean, limit double"
-
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every cell of each query with the best score it could hold; the likeliest that hold k vectors come first."""
-        for b in batches:
-            q, at = matrix(b.column("query"), centroids.shape[1])
-            for i in range(0, len(q), 64):
-                limit = np.cos(np.maximum(_angles(q[i : i + 64], centroids) - radius - 1e-9, 0.0))
-                limit[:, size == 0] = -np.inf
-                order = np.argsort(-limit, axis=1, kind="stable")
-                before = np.cumsum(size[order], axis=1) - size[order]
-                rows, place = np.nonzero(size[order] > 0)
-                names = b.column(question).take(pa.array(at[i : i + 64][rows]))
-                cell = order[rows, place]
-                yield pa.RecordBatch.from_arrays(
-                    [names, pa.array([q[i + r].tobytes() for r in rows.tolist()], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(before[rows, place] < k), pa.array(limit[rows, cell])],
-                    [question, "u", "cell", "first", "limit"])
+    probe = f"{question} {kind}, u binary, group long, cells binary, scored long, kth double"
+    start, span = _groups(cells)
+
+    def plan(likeliest: bool):
+        """For each query and group the cells to visit: the likeliest that hold k vectors, or all others that could hold a better score than the k-th."""
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                q, at = matrix(b.column("query"), centroids.shape[1])
+                names, kth = b.column(question).take(pa.array(at)), b.column("kth").fill_null(-np.inf).to_numpy(zero_copy_only=False)[at]
+                for i in range(0, len(q), 64):
+                    limit = np.cos(np.maximum(_angles(q[i : i + 64], centroids) - radius - 1e-9, 0.0))
+                    limit[:, size == 0] = -np.inf
+                    order = np.argsort(-limit, axis=1, kind="stable")
+                    first = np.zeros(limit.shape, bool)
+                    np.put_along_axis(first, order, np.cumsum(size[order], axis=1) - size[order] < k, 1)
+                    wanted = (first if likeliest else ~first & (limit >= kth[i : i + 64, None] - MARGIN)) & (size > 0)
+                    r, cell = np.nonzero(wanted)
+                    if not len(r):
+                        continue
+                    times = span[cell]
+                    # a cell of several groups is visited in each, and counted in its first
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    r, cell = np.repeat(r, times), np.repeat(cell, times)
+                    group, n = start[cell] + nth, np.where(nth == 0, size[cell], 0)
+                    order = np.lexsort((cell, group, r))
+                    r, cell, group, n = r[order], cell[order].astype(np.int32), group[order], n[order]
+                    head = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+                    ends = np.append(head[1:], len(r))
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(i + r[head])), pa.array([q[i + x].tobytes() for x in r[head].tolist()], pa.binary()), pa.array(group[head], pa.int64()),
+                         pa.array([cell[x:y].tobytes() for x, y in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                         pa.array(np.add.reduceat(n, head), pa.int64()), pa.array(kth[i + r[head]], pa.float64())],
+                        [question, "u", "group", "cells", "scored", "kth"])
+
+        return rows
 
     if not len(centroids):
         none = vectors.sparkSession.createDataFrame([], result)
         return top_per_question(none, question, key, k), none.select(question, F.lit(0).cast("long").alias("scored"))
     asked = queries.select(question, "query")
-    first = shared_table(asked.mapInArrow(plan, probe).filter("first").select(question, "u", "cell"), "first-cells")
-    some = shared_table(_meet(cells, first, result, question, k), "first-scores")
+    parts = max(1, -(-asked.count() // TOGETHER))
+    first = asked.withColumn("kth", F.lit(None).cast("double")).mapInArrow(plan(True), probe)
+    some = shared_table(_meet(cells, first, result, question, k, parts), "first-scores")
     best_ = top_per_question(some, question, key, k)
     kth = best_.groupBy(question).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    # the plan is made anew instead of being stored: it has a row per query and cell
-    rest = asked.mapInArrow(plan, probe).filter("not first").join(kth, question, "left").filter(
-        F.col("kth").isNull() | (F.col("limit") >= F.col("kth") - MARGIN)).select(question, "u", "cell")
-    rest = shared_table(rest, "more-cells")
-    more = _meet(cells, rest, result, question, k)
-    sizes = cells.blocks.groupBy("cell").agg(F.sum("n").alias("n"))
-    scored = first.select(question, "cell").unionByName(rest.select(question, "cell")).join(sizes, "cell").groupBy(question).agg(F.sum("n").alias("scored"))
+    rest = asked.join(kth, question, "left").mapInArrow(plan(False), probe)
+    more = _meet(cells, rest, result, question, k, parts)
+    scored = first.select(question, "scored").unionByName(rest.select(question, "scored")).groupBy(question).agg(F.sum("scored").alias("scored"))
     return top_per_question(best_.select(question, key, "score").unionByName(more), question, key, k), scored
 
 
