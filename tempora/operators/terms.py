@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, Str
 from tempora.functions.text import STOP_WORDS, TOKEN_PATTERN
 
 #: Bytes of text in a block, at least one text; of the corpus for each bucket of terms; and for each task of blocks.
-BLOCK, BUCKET, TASK = 8 << 20, 32 << 20, 16 << 20
+BLOCK, BUCKET, TASK = 4 << 20, 16 << 20, 16 << 20
 _TOKEN = np.array([c < 128 and re.fullmatch(TOKEN_PATTERN, chr(c)) is not None for c in range(256)])
 _STOP = pa.array(STOP_WORDS)
 _PRIME = 2**31 - 1
