@@ -1,13 +1,19 @@
-"""TF-IDF index in long form, cosine retrieval and grounded contexts."""
+"""TF-IDF index of packed postings, cosine retrieval and grounded contexts."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from tempora.functions.text import NO_ANSWER, answer_score, bigrams, first_sentences, interpretation, words
-from tempora.operators.terms import document_counts, smooth_idf, unit_vectors
-from tempora.session import shared_table
+from tempora.operators.terms import BUCKET, block_scores, document_counts, posting_blocks, postings_of, smooth_idf, term_shares, text_norms, unit_vectors
+from tempora.session import shared_table, shuffles_removed
+
+#: Passes over the folders for the vocabulary; terms that one scan of the index looks for; questions that one task scores together.
+PASSES, ASKED, TOGETHER = 8, 1 << 18, 4096
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -43,26 +49,40 @@ def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return unit_vectors(docs, key, text)
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+@dataclass(frozen=True)
+class Index:
+    """Stored vectors: packed postings by folder of terms, and the texts of each block with their lengths."""
+
+    postings: DataFrame
+    texts: DataFrame
 
 
-def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> tuple[Index, DataFrame]:
     """Full rebuild of the stored index; returns the stored vectors and vocabulary.
 
-    Vectors are partitioned by term hash, so a question reads only the folders of its terms. Every
-    task writes its texts' rows to the folders, without a further exchange.
-    The vocabulary (term, df, max_weight, idf) is aggregated from the stored vectors.
+    Vectors are kept as counts, totals and lengths, from which a weight is one product: a row per
+    block of texts and folder of terms, written by the task that cut the texts. A question reads
+    only the folders of its terms.
+    The vocabulary (term, df, max_weight, idf) is aggregated from the stored vectors, some folders
+    at a time, so what travels for it is never on disk at once.
     """
     spark = docs.sparkSession
-    vectors = build_index(docs, key, text).withColumn("bucket", _bucket(buckets))
-    vectors.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
-    stored = spark.read.parquet(f"{path}/vectors")
-    # the vocabulary carries each term's folder, so questions join on (bucket, term) and prune
-    size = docs.agg(F.count("*")).scalar()
-    vocabulary = smooth_idf(stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("weight").alias("max_weight")), size)
-    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    return stored, spark.read.parquet(f"{path}/vocabulary")
+    stored = lambda name, df: spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    with shuffles_removed(spark):
+        rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+        blocks = posting_blocks(docs, key, text, buckets, -(-(size or 0) // (BUCKET * buckets)) or 1)
+        blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
+        postings = stored("vectors", blocks)
+        lengths = text_norms(postings, docs.schema[key], max(rows, 1))
+        lengths.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/texts")
+        texts = stored("texts", lengths)
+        for i in range(passes := min(PASSES, buckets)):
+            # the vocabulary carries each term's folder, so questions join on (bucket, term) and prune
+            some = postings.filter(F.col("bucket").isin([*range(i, buckets, passes)]))
+            found = term_shares(some, texts).groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("share").alias("share"))
+            vocabulary = smooth_idf(found, F.lit(rows)).withColumn("max_weight", F.col("share") * F.col("idf")).select("bucket", "term", "df", "max_weight", "idf")
+            vocabulary.sortWithinPartitions("bucket", "term").write.mode("append" if i else "overwrite").option("compression", "zstd").parquet(f"{path}/vocabulary")
+    return Index(postings, texts), stored("vocabulary", vocabulary)
 
 
 def top_per_question(scores: DataFrame, question: str, doc: str, k: int) -> DataFrame:
@@ -73,21 +93,43 @@ def top_per_question(scores: DataFrame, question: str, doc: str, k: int) -> Data
 
 
 def question_vectors(questions: DataFrame, question: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """(question, bucket, term, q_weight, df, max_weight) of the question terms found in the vocabulary.
+    """(question, bucket, term, q_weight, df, max_weight, idf) of the question terms found in the vocabulary.
 
     Terms outside the vocabulary count in the length of the question but carry no weight.
     """
     known = term_counts(questions, question, text).join(vocabulary, "term")
-    return _unit(known, question, ("bucket", "df", "max_weight")).withColumnRenamed("weight", "q_weight")
+    return _unit(known, question, ("bucket", "df", "max_weight", "idf")).withColumnRenamed("weight", "q_weight")
 
 
-def _dots(index: DataFrame, terms: DataFrame, doc: str, question: str) -> DataFrame:
-    """Dot products over shared terms, combined on the map side."""
-    return index.join(terms, ["bucket", "term"]).groupBy(question, doc).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
+def _dots(index: Index, terms: DataFrame, doc: str, question: str, k: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(question, doc, score, block, code): dot products over shared terms, whole in the block of the text.
+
+    Only packed postings of the terms asked for leave the scan. With ``k`` a block returns its k
+    best per question; ``only`` (question, block, code) names the texts that are scored.
+    """
+    n_terms, n_questions = terms.agg(F.count_distinct("term"), F.approx_count_distinct(question)).first()
+    groups, parts = -(-n_terms // ASKED) or 1, -(-n_questions // TOGETHER) or 1
+    # at most a row per folder
+    folders = F.broadcast(terms.select("bucket").distinct())
+    postings = index.postings.join(folders, "bucket", "left_semi")
+    found = None
+    for g in range(groups):
+        wanted = terms.filter(F.pmod(F.xxhash64("term"), F.lit(groups)) == g).select("term").distinct().toArrow()["term"].combine_chunks()
+        some = postings_of(postings, wanted)
+        found = some if found is None else found.unionByName(some)
+    part = F.pmod(F.xxhash64(question), F.lit(parts)).cast("int").alias("part")
+    hits = found.join(terms, ["bucket", "term"]).select(
+        "block", part, question, "docs", "n", (F.col("q_weight") * F.col("idf")).alias("f"), F.lit(None).cast("array<int>").alias("only"))
+    if only is not None:
+        hits = hits.join(only.select("block", question).distinct(), ["block", question], "left_semi")
+        hits = hits.unionByName(only.groupBy("block", question).agg(F.collect_list("code").alias("only")).select(
+            "block", part, question, F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("n"), F.lit(None).cast("double").alias("f"), "only"))
+    texts = index.texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return block_scores(hits, texts, ["block", "part"], terms.schema[question], StructField(doc, index.texts.schema["keys"].dataType.elementType), k)
 
 
 def retrieve(
-    index: DataFrame, vocabulary: DataFrame, questions: DataFrame, doc: str, question: str, text: str, k: int = 3,
+    index: Index, vocabulary: DataFrame, questions: DataFrame, doc: str, question: str, text: str, k: int = 3,
     first: float = 0.5,
 ) -> DataFrame:
     """(question, doc, score, rank): the k most similar documents with a positive score.
@@ -95,32 +137,34 @@ def retrieve(
     Each question's rarest terms, a share ``first`` of them, are matched with their documents.
     The largest possible contribution of its other terms is known from the vocabulary; where it
     cannot lift a document over the k-th best score found so far, only the documents that can
-    still reach the top k look these terms up, by (term, document). Questions without such a
-    guarantee are matched on all terms, so the result is exact in every case.
+    still reach the top k look these terms up, in their block. Questions without such a
+    guarantee are matched on all terms, of which each block returns the k best, so the result is
+    exact in every case.
 
-    Question vectors, first scores and lookups are read several times and are stored in between,
-    which also tells the optimizer their true size for the joins with the index.
+    Question vectors, first scores and lookups are read several times and are stored in between.
     """
-    q = shared_table(question_vectors(questions, question, text, vocabulary), "question-vectors")
-    w = Window.partitionBy(question)
-    placed = q.withColumn("_place", F.row_number().over(w.orderBy("df", "term")) <= F.ceil(F.count("*").over(w) * first))
-    rare, hot = placed.filter("_place").drop("_place"), placed.filter(~F.col("_place")).drop("_place")
-    partial = shared_table(_dots(index, rare, doc, question), "first-scores")
-    kth = top_per_question(partial, question, doc, k).groupBy(question).agg(
-        F.when(F.count("*") == k, F.min("score")).alias("kth"))
-    bound = hot.groupBy(question).agg(F.sum(F.col("q_weight") * F.col("max_weight")).alias("bound"))
-    # scores are compared at six decimals, hence the margin
-    decided = bound.join(kth, question, "left").withColumn(
-        "settled", F.coalesce(F.col("bound") < F.col("kth") - 2e-6, F.lit(False)))
-    settled = decided.filter("settled").select(question, "bound", "kth")
-    open_hot = hot.join(decided.filter(~F.col("settled")).select(question), question)
-    reachable = partial.join(settled, question).filter(F.col("score") + F.col("bound") >= F.col("kth") - 2e-6)
-    lookups = shared_table(
-        reachable.select(question, doc).join(hot.select(question, "bucket", "term", "q_weight"), question), "lookups")
-    found = index.join(lookups, ["bucket", "term", doc]).select(question, doc, (F.col("weight") * F.col("q_weight")).alias("score"))
-    total = partial.unionByName(found).unionByName(_dots(index, open_hot, doc, question)).groupBy(question, doc).agg(
-        F.sum("score").alias("score"))
-    return top_per_question(total.filter(F.col("score") > 0), question, doc, k)
+    with shuffles_removed(questions.sparkSession):
+        q = shared_table(question_vectors(questions, question, text, vocabulary), "question-vectors")
+        w = Window.partitionBy(question)
+        placed = q.withColumn("_place", F.row_number().over(w.orderBy("df", "term")) <= F.ceil(F.count("*").over(w) * first))
+        placed = shared_table(placed, "question-places")
+        rare, hot = placed.filter("_place").drop("_place"), placed.filter(~F.col("_place")).drop("_place")
+        scores = shared_table(_dots(index, rare, doc, question), "first-scores")
+        kth = top_per_question(scores, question, doc, k).groupBy(question).agg(
+            F.when(F.count("*") == k, F.min("score")).alias("kth"))
+        bound = hot.groupBy(question).agg(F.sum(F.col("q_weight") * F.col("max_weight")).alias("bound"))
+        # scores are compared at six decimals, hence the margin
+        decided = shared_table(bound.join(kth, question, "left").withColumn(
+            "settled", F.coalesce(F.col("bound") < F.col("kth") - 2e-6, F.lit(False))), "settled")
+        settled, unsettled = decided.filter("settled").select(question, "bound", "kth"), decided.filter(~F.col("settled")).select(question)
+        lookups = shared_table(
+            scores.join(settled, question).filter(F.col("score") + F.col("bound") >= F.col("kth") - 2e-6).select(question, "block", "code"), "lookups")
+        found = _dots(index, hot.join(settled.select(question), question), doc, question, only=lookups)
+        whole = _dots(index, q.join(unsettled, question), doc, question, k)
+        columns = [question, doc, "score"]
+        part = scores.join(unsettled, question, "left_anti").select(columns)
+        total = part.unionByName(found.select(columns)).unionByName(whole.select(columns)).groupBy(question, doc).agg(F.sum("score").alias("score"))
+        return top_per_question(total.filter(F.col("score") > 0), question, doc, k)
 
 
 def mean_vectors(vectors: DataFrame, label: str, embedding: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tempora.functions.text import STOP_WORDS, TOKEN_PATTERN
 
@@ -173,6 +173,15 @@ def _unpack_strings(packed: bytes) -> pa.StringArray:
     return _strings(np.frombuffer(pa.decompress(packed[cut:], int(offsets[-1]), "zstd", asbytes=True), np.uint8), offsets)
 
 
+def _added(chunks: pa.Table) -> pa.Array:
+    """Document frequencies over all blocks of a bucket, back in each block's order."""
+    terms = [_unpack_strings(x.as_py()) for x in chunks.column("terms")]
+    place = pa.concat_arrays(terms).dictionary_encode().indices.to_numpy()
+    df = np.bincount(place, np.concatenate([_unpack(x.as_py()) for x in chunks.column("df")])).astype(np.int64)[place]
+    ends = np.cumsum([len(t) for t in terms])
+    return pa.array([_pack(x, "<u8") for x in np.split(df, ends[:-1])], pa.binary())
+
+
 def unit_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): tf x idf of words and bigrams, scaled to unit length per key."""
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
@@ -219,13 +228,7 @@ def unit_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
                     ["block", "bucket", "terms", "df"])
 
     def add(chunks: pa.Table) -> pa.Table:
-        """Document frequencies over all blocks of a bucket, back in each block's order."""
-        terms = [_unpack_strings(x.as_py()) for x in chunks.column("terms")]
-        place = pa.concat_arrays(terms).dictionary_encode().indices.to_numpy()
-        df = np.bincount(place, np.concatenate([_unpack(x.as_py()) for x in chunks.column("df")])).astype(np.int64)[place]
-        ends = np.cumsum([len(t) for t in terms])
-        return pa.table({"block": chunks.column("block"), "bucket": chunks.column("bucket"), "df": pa.array(
-            [_pack(x, "<u8") for x in np.split(df, ends[:-1])], pa.binary())})
+        return pa.table({"block": chunks.column("block"), "bucket": chunks.column("bucket"), "df": _added(chunks)})
 
     def weigh(blocks: pa.Table, found: pa.Table) -> pa.Table:
         if blocks.num_rows != 1:
@@ -248,6 +251,188 @@ def unit_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
     return blocks.groupBy("block").cogroup(added.groupBy("block")).applyInArrow(weigh, out)
 
 
+#: A block's terms of one folder, in ``sub`` after ``sub``: how many texts hold each, which ones, and how often.
+#: The row of folder 0 names the texts and their totals, whether it has terms or not.
+_POSTINGS = ("terms", "of_sub", "held", "docs", "n", "total")
+
+
+def posting_type(key: StructField) -> StructType:
+    return StructType([StructField("block", StringType()), *(StructField(c, BinaryType()) for c in _POSTINGS), StructField("keys", ArrayType(key.dataType)), StructField("bucket", IntegerType())])
+
+
+def text_type(key: StructField) -> StructType:
+    return StructType([StructField("block", StringType()), StructField("keys", ArrayType(key.dataType)), StructField("total", BinaryType()), StructField("norm", BinaryType())])
+
+
+def _folders(terms: pa.StringArray, folders: int) -> np.ndarray:
+    """Folder of each term, by its first eight bytes: neighbours in the alphabet stay together and pack well."""
+    raw, at = _bytes(terms)
+    raw = np.append(raw, np.zeros(8, np.uint8)).astype(np.uint64)
+    size, x = np.diff(at), np.zeros(len(terms), np.uint64)
+    for i in range(8):
+        x = x * np.uint64(257) + np.where(size > i, raw[at[:-1] + i], 0)
+    return ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(folders)).astype(np.int64)
+
+
+def posting_blocks(docs: DataFrame, key: str, text: str, folders: int, subs: int) -> DataFrame:
+    """A row per block of texts and folder of terms, as :func:`posting_type`."""
+    kind = posting_type(docs.schema[key])
+    packed = to_arrow_schema(kind)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, (keys, c) in enumerate(_blocks(batches)):
+            sub = (c.hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(subs)
+            group = _folders(c.terms, folders) * subs + sub.astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            code = place[c.code]
+            by_term = np.argsort(code * max(len(keys), 1) + c.doc)
+            held, doc, n = np.bincount(code, minlength=len(order)), c.doc[by_term], c.n[by_term]
+            of_group = np.bincount(group, minlength=folders * subs).reshape(folders, subs)
+            terms, ends = c.terms.take(pa.array(order)), np.append(0, np.cumsum(of_group.sum(1)))
+            at = np.append(0, np.cumsum(held))[ends]
+            name = f"{TaskContext.get().partitionId()}-{i}"
+            yield pa.RecordBatch.from_pylist([{
+                "block": name, "terms": _pack_strings(terms.slice(s, e - s)), "of_sub": _pack(of_group[f]), "held": _pack(held[s:e]), "docs": _pack(doc[p:q]), "n": _pack(n[p:q]),
+                "total": None if f else _pack(c.total), "keys": None if f else keys.to_pylist(), "bucket": f,
+            } for f, (s, e, p, q) in enumerate(zip(ends[:-1], ends[1:], at[:-1], at[1:], strict=True)) if e > s or not f], schema=packed)
+
+    return _parts(docs, key, text).mapInArrow(cut, kind)
+
+
+def _same_order(ok: bool) -> None:
+    if not ok:
+        raise ValueError("a block and its document frequencies do not fit")
+
+
+def text_norms(postings: DataFrame, key: StructField, many: int) -> DataFrame:
+    """A row per block: its texts, their totals and the length of their tf x idf vectors.
+
+    Terms travel once per block to their document frequencies, places and counts once to their
+    block, without the terms.
+    """
+    kind = text_type(key)
+    named = to_arrow_schema(kind)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, bucket, packed, of_sub, held in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "terms", "of_sub", "held")), strict=True):
+                of_sub, held = _unpack(of_sub), _unpack(held)
+                terms = _unpack_strings(packed) if len(of_sub) > 1 else None
+                ends = np.append(0, np.cumsum(of_sub)).tolist()
+                full = [(k, s, e) for k, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if e > s]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(full), pa.string()), pa.array([bucket] * len(full), pa.int32()), pa.array([k for k, _, _ in full], pa.int32()),
+                     pa.array([packed if terms is None else _pack_strings(terms.slice(s, e - s)) for _, s, e in full], pa.binary()), pa.array([_pack(held[s:e]) for _, s, e in full], pa.binary())],
+                    ["block", "bucket", "sub", "terms", "df"])
+
+    def add(chunks: pa.Table) -> pa.Table:
+        df = _added(chunks)
+        return pa.table({c: chunks.column(c) for c in ("block", "bucket", "sub")} | {"df": df})
+
+    def measure(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        by_folder = {b: {} for b in blocks.column("bucket").to_pylist()}
+        for bucket, sub, df in zip(*(found.column(c).to_pylist() for c in ("bucket", "sub", "df")), strict=True):
+            by_folder[bucket][sub] = df
+        first = blocks.filter(pc.equal(blocks.column("bucket"), 0))
+        _same_order(first.num_rows == 1 and len(by_folder) == blocks.num_rows)
+        total, keys = _unpack(first.column("total")[0].as_py()), first.column("keys")
+        squares = np.zeros(len(total))
+        for r in range(blocks.num_rows):
+            held, doc, n = (_unpack(blocks.column(c)[r].as_py()) for c in ("held", "docs", "n"))
+            subs = by_folder[blocks.column("bucket")[r].as_py()]
+            df = np.concatenate([np.zeros(0, np.int64), *(_unpack(subs[k], "<u8") for k in sorted(subs))])
+            _same_order(len(df) == len(held))
+            w = n / total[doc] * np.repeat(np.log((1 + many) / (1 + df)) + 1.0, held)
+            squares += np.bincount(doc, w * w, minlength=len(total))
+        return pa.Table.from_arrays([first.column("block"), keys, first.column("total"), pa.array([_pack(np.sqrt(squares).view(np.uint64), "<u8")], pa.binary())], schema=named)
+
+    dealt = postings.select("block", "bucket", "terms", "of_sub", "held").mapInArrow(deal, "block string, bucket int, sub int, terms binary, df binary")
+    added = dealt.groupBy("bucket", "sub").applyInArrow(add, "block string, bucket int, sub int, df binary")
+    places = postings.select("block", "bucket", "held", "docs", "n", "keys", "total")
+    return places.groupBy("block").cogroup(added.groupBy("block")).applyInArrow(measure, kind)
+
+
+def _norms(packed: bytes) -> np.ndarray:
+    return _unpack(packed, "<u8").view(np.float64)
+
+
+def term_shares(postings: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, term, df, share) of each block: its texts with the term, the largest tf over the text's length."""
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, terms, held, doc, n, total, norm in zip(*(b.column(c).to_pylist() for c in ("bucket", "terms", "held", "docs", "n", "total", "norm")), strict=True):
+                terms, held, doc, n, total, norm = _unpack_strings(terms), _unpack(held), _unpack(doc), _unpack(n), _unpack(total), _norms(norm)
+                if len(terms):
+                    share = np.maximum.reduceat(n / total[doc] / norm[doc], np.cumsum(held) - held)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), bucket, np.int32)), terms, pa.array(held), pa.array(share)], ["bucket", "term", "df", "share"])
+
+    rows = postings.select("block", "bucket", "terms", "held", "docs", "n").join(texts.select("block", "total", "norm"), "block")
+    return rows.mapInArrow(largest, "bucket int, term string, df long, share double")
+
+
+def postings_of(postings: DataFrame, wanted: pa.StringArray) -> DataFrame:
+    """(bucket, term, block, docs, n): the packed places and counts of some terms in each block."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, bucket, terms, held, doc, n in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "terms", "held", "docs", "n")), strict=True):
+                terms = _unpack_strings(terms)
+                at = np.flatnonzero(pc.is_in(terms, value_set=wanted).to_numpy(zero_copy_only=False))
+                if len(at):
+                    ends, doc, n = np.append(0, np.cumsum(_unpack(held))), _unpack(doc), _unpack(n)
+                    cuts = [slice(s, e) for s, e in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bucket] * len(at), pa.int32()), terms.take(pa.array(at)), pa.array([name] * len(at), pa.string()),
+                         pa.array([_pack(doc[c]) for c in cuts], pa.binary()), pa.array([_pack(n[c]) for c in cuts], pa.binary())], ["bucket", "term", "block", "docs", "n"])
+
+    return postings.select("block", "bucket", "terms", "held", "docs", "n").mapInArrow(find, "bucket int, term string, block string, docs binary, n binary")
+
+
+def block_scores(hits: DataFrame, texts: DataFrame, by: list[str], question: StructField, doc: StructField, k: int | None) -> DataFrame:
+    """(question, doc, score, block, code) from hits(question, docs, n, f, only) of one block at a time.
+
+    A block holds all terms of its texts, so its scores are whole and with ``k`` only its best
+    leave it. Rows with ``only`` name the texts of a question that are scored at all.
+    """
+    kind = StructType([question, doc, StructField("score", DoubleType()), StructField("block", StringType()), StructField("code", IntegerType())])
+    named = to_arrow_schema(kind)
+
+    def score(rows: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not rows.num_rows or not blocks.num_rows:
+            return named.empty_table()
+        keys, name = blocks.column("keys").combine_chunks().flatten(), blocks.column("block")[0].as_py()
+        length = _unpack(blocks.column("total")[0].as_py()) * _norms(blocks.column("norm")[0].as_py())
+        rank = np.empty(len(keys), np.int64)
+        rank[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+        asked = rows.column(question.name).combine_chunks().dictionary_encode(null_encoding="encode")
+        of = asked.indices.to_numpy()
+        order = np.argsort(of, kind="stable")
+        docs, n, f, only = (rows.column(c).to_pylist() for c in ("docs", "n", "f", "only"))
+        out = []
+        for rs in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            met = [(_unpack(docs[r]), _unpack(n[r]) * f[r]) for r in rs.tolist() if only[r] is None]
+            if not met:
+                continue
+            code, at = np.unique(np.concatenate([d for d, _ in met]), return_inverse=True)
+            s = np.bincount(at, np.concatenate([w for _, w in met])) / length[code]
+            if some := [only[r] for r in rs.tolist() if only[r] is not None]:
+                kept = np.isin(code, np.concatenate([np.asarray(x, np.int64) for x in some]))
+                code, s = code[kept], s[kept]
+            if k is not None and len(code) > k:  # texts without a key are one to their reader
+                nameless = keys.take(pa.array(code)).is_null().to_numpy(zero_copy_only=False)
+                best = np.lexsort((rank[code], -np.round(s, 6), nameless))[:k]
+                kept = np.union1d(best, np.flatnonzero(nameless))
+                code, s = code[kept], s[kept]
+            out.append((int(of[rs[0]]), code, s))
+        code = np.concatenate([np.zeros(0, np.int64), *(c for _, c, _ in out)])
+        q = pa.array(np.repeat([i for i, _, _ in out], [len(c) for _, c, _ in out]).astype(np.int64))
+        return pa.Table.from_arrays(
+            [asked.dictionary.take(q), keys.take(pa.array(code)), pa.array(np.concatenate([np.zeros(0), *(s for _, _, s in out)])), pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32))], schema=named)
+
+    return hits.groupBy(*by).cogroup(texts.groupBy(*by)).applyInArrow(score, kind)
+
+
 def _places(held: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     """Places of terms from their gaps; every text starts from zero."""
     run = np.cumsum(gaps)
