@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
 from tempora.functions.text import NO_ANSWER, answer_score, bigrams, first_sentences, interpretation, words
-from tempora.operators.terms import BUCKET, block_scores, document_counts, posting_blocks, postings_of, smooth_idf, term_shares, text_norms, unit_vectors
+from tempora.operators.terms import block_scores, document_counts, posting_blocks, postings_of, smooth_idf, term_shares, text_norms, unit_vectors
 from tempora.session import shared_table, shuffles_removed
 
-#: Passes over the folders for the vocabulary; terms that one scan of the index looks for; questions that one task scores together.
-PASSES, ASKED, TOGETHER = 8, 1 << 18, 4096
+#: Bytes of the corpus for each part of a folder; passes over the folders for the vocabulary; terms that one scan of the
+#: index looks for; questions that one task scores together.
+PART, PASSES, ASKED, TOGETHER = 8 << 20, 4, 1 << 18, 4096
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,7 +71,7 @@ def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int =
     stored = lambda name, df: spark.read.schema(df.schema).parquet(f"{path}/{name}")
     with shuffles_removed(spark):
         rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
-        blocks = posting_blocks(docs, key, text, buckets, -(-(size or 0) // (BUCKET * buckets)) or 1)
+        blocks = posting_blocks(docs, key, text, buckets, -(-(size or 0) // (PART * buckets)) or 1)
         blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
         postings = stored("vectors", blocks)
         lengths = text_norms(postings, docs.schema[key], max(rows, 1))
@@ -79,9 +80,8 @@ def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int =
         for i in range(passes := min(PASSES, buckets)):
             # the vocabulary carries each term's folder, so questions join on (bucket, term) and prune
             some = postings.filter(F.col("bucket").isin([*range(i, buckets, passes)]))
-            found = term_shares(some, texts).groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("share").alias("share"))
-            vocabulary = smooth_idf(found, F.lit(rows)).withColumn("max_weight", F.col("share") * F.col("idf")).select("bucket", "term", "df", "max_weight", "idf")
-            vocabulary.sortWithinPartitions("bucket", "term").write.mode("append" if i else "overwrite").option("compression", "zstd").parquet(f"{path}/vocabulary")
+            vocabulary = smooth_idf(term_shares(some, texts), F.lit(rows)).withColumn("max_weight", F.col("share") * F.col("idf")).select("bucket", "term", "df", "max_weight", "idf")
+            vocabulary.write.mode("append" if i else "overwrite").option("compression", "zstd").parquet(f"{path}/vocabulary")
     return Index(postings, texts), stored("vocabulary", vocabulary)
 
 

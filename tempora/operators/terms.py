@@ -267,11 +267,9 @@ def text_type(key: StructField) -> StructType:
 def _folders(terms: pa.StringArray, folders: int) -> np.ndarray:
     """Folder of each term, by its first eight bytes: neighbours in the alphabet stay together and pack well."""
     raw, at = _bytes(terms)
-    raw = np.append(raw, np.zeros(8, np.uint8)).astype(np.uint64)
-    size, x = np.diff(at), np.zeros(len(terms), np.uint64)
-    for i in range(8):
-        x = x * np.uint64(257) + np.where(size > i, raw[at[:-1] + i], 0)
-    return ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(folders)).astype(np.int64)
+    head = np.append(raw, np.zeros(8, np.uint8))[at[:-1, None] + np.arange(8)]
+    head[np.arange(8) >= np.diff(at)[:, None]] = 0
+    return ((head.view(np.uint64).ravel() * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(folders)).astype(np.int64)
 
 
 def posting_blocks(docs: DataFrame, key: str, text: str, folders: int, subs: int) -> DataFrame:
@@ -283,7 +281,7 @@ def posting_blocks(docs: DataFrame, key: str, text: str, folders: int, subs: int
         for i, (keys, c) in enumerate(_blocks(batches)):
             sub = (c.hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(subs)
             group = _folders(c.terms, folders) * subs + sub.astype(np.int64)
-            order = np.argsort(group, kind="stable")
+            order = np.argsort(group.astype(np.min_scalar_type(folders * subs)), kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             code = place[c.code]
@@ -359,17 +357,37 @@ def _norms(packed: bytes) -> np.ndarray:
 
 
 def term_shares(postings: DataFrame, texts: DataFrame) -> DataFrame:
-    """(bucket, term, df, share) of each block: its texts with the term, the largest tf over the text's length."""
+    """(bucket, term, df, share): the texts with a term, and its largest tf over a text's length."""
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, terms, held, doc, n, total, norm in zip(*(b.column(c).to_pylist() for c in ("bucket", "terms", "held", "docs", "n", "total", "norm")), strict=True):
-                terms, held, doc, n, total, norm = _unpack_strings(terms), _unpack(held), _unpack(doc), _unpack(n), _unpack(total), _norms(norm)
-                if len(terms):
-                    share = np.maximum.reduceat(n / total[doc] / norm[doc], np.cumsum(held) - held)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), bucket, np.int32)), terms, pa.array(held), pa.array(share)], ["bucket", "term", "df", "share"])
-
-    rows = postings.select("block", "bucket", "terms", "held", "docs", "n").join(texts.select("block", "total", "norm"), "block")
-    return rows.mapInArrow(largest, "bucket int, term string, df long, share double")
+            for bucket, packed, of_sub, held, doc, n, total, norm in zip(*(b.column(c).to_pylist() for c in ("bucket", "terms", "of_sub", "held", "docs", "n", "total", "norm")), strict=True):
+                of_sub, held, doc, n, total, norm = _unpack(of_sub), _unpack(held), _unpack(doc), _unpack(n), _unpack(total), _norms(norm)
+                if not len(held):
+                    continue
+                share = np.maximum.reduceat(n / total[doc] / norm[doc], np.cumsum(held) - held)
+                terms = _unpack_strings(packed) if len(of_sub) > 1 else None
+                ends = np.append(0, np.cumsum(of_sub)).tolist()
+                full = [(k, s, e) for k, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if e > s]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket] * len(full), pa.int32()), pa.array([k for k, _, _ in full], pa.int32()),
+                     pa.array([packed if terms is None else _pack_strings(terms.slice(s, e - s)) for _, s, e in full], pa.binary()),
+                     pa.array([_pack(held[s:e]) for _, s, e in full], pa.binary()), pa.array([share[s:e].tobytes() for _, s, e in full], pa.binary())],
+                    ["bucket", "sub", "terms", "df", "share"])
+
+    def meet(chunks: pa.Table) -> pa.Table:
+        """The terms of a part of a folder over all blocks, in order."""
+        met = pa.concat_arrays([_unpack_strings(x.as_py()) for x in chunks.column("terms")]).dictionary_encode()
+        place, names = met.indices.to_numpy(), met.dictionary
+        df = np.bincount(place, np.concatenate([_unpack(x.as_py()) for x in chunks.column("df")]), len(names)).astype(np.int64)
+        share = np.zeros(len(names))
+        np.maximum.at(share, place, np.concatenate([np.frombuffer(x.as_py()) for x in chunks.column("share")]))
+        order = pc.sort_indices(names)
+        bucket = pa.array(np.full(len(names), chunks.column("bucket")[0].as_py(), np.int32))
+        return pa.table([bucket, names.take(order), pa.array(df).take(order), pa.array(share).take(order)], ["bucket", "term", "df", "share"])
+
+    rows = postings.select("block", "bucket", "terms", "of_sub", "held", "docs", "n").join(texts.select("block", "total", "norm"), "block")
+    dealt = rows.mapInArrow(largest, "bucket int, sub int, terms binary, df binary, share binary")
+    return dealt.groupBy("bucket", "sub").applyInArrow(meet, "bucket int, term string, df long, share double")
 
 
 def postings_of(postings: DataFrame, wanted: pa.StringArray) -> DataFrame:

@@ -46,7 +46,7 @@ def test_index_stores_no_row_per_text_and_term(spark, tmp_path):
 
 
 def test_vocabulary_equals_a_brute_count(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(R, "BUCKET", 1)  # many parts of a folder
+    monkeypatch.setattr(R, "PART", 1)  # many parts of a folder
     d = spark.createDataFrame(DOCS, "doc long, text string").repartition(3, "doc")
     _, vocabulary = R.write_index(d, "doc", "text", str(tmp_path / "ix"), buckets=3)
     weights, df = brute_vectors(DOCS)
