@@ -141,7 +141,8 @@ def retrieve(
     guarantee are matched on all terms, of which each block returns the k best, so the result is
     exact in every case.
 
-    Question vectors, first scores and lookups are read several times and are stored in between.
+    Question vectors, first scores, lookups and hits are read several times and are stored in
+    between, which also tells the optimizer their true size for the joins with other tables.
     """
     with shuffles_removed(questions.sparkSession):
         q = shared_table(question_vectors(questions, question, text, vocabulary), "question-vectors")
@@ -164,7 +165,7 @@ def retrieve(
         columns = [question, doc, "score"]
         part = scores.join(unsettled, question, "left_anti").select(columns)
         total = part.unionByName(found.select(columns)).unionByName(whole.select(columns)).groupBy(question, doc).agg(F.sum("score").alias("score"))
-        return top_per_question(total.filter(F.col("score") > 0), question, doc, k)
+        return shared_table(top_per_question(total.filter(F.col("score") > 0), question, doc, k), "hits")
 
 
 def mean_vectors(vectors: DataFrame, label: str, embedding: str) -> DataFrame:

@@ -90,3 +90,26 @@ def test_a_block_returns_its_best_and_only_the_texts_asked_for(spark, tmp_path):
     one = next(r for r in every if r["q"] == 2)
     only = spark.createDataFrame([(2, one["block"], one["code"])], "q long, block string, code int")
     assert R._dots(index, terms, "doc", "q", only=only).collect() == [one]
+
+
+@contextlib.contextmanager
+def broadcast_up_to(spark, size):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def unsized_questions(spark):
+    return spark.range(10**7).filter("id < 2").select("id", F.lit("w1 w2 w3").alias("text"))
+
+
+def test_texts_of_hits_do_not_travel(spark, tmp_path):
+    _, d = corpus(spark)
+    d.selectExpr("doc", "text", "'t' AS title", "'s' AS source").write.parquet(str(tmp_path / "docs"))
+    index, vocabulary = R.write_index(d, "doc", "text", str(tmp_path / "ix"), buckets=4)
+    with broadcast_up_to(spark, "16k"):
+        hits = R.retrieve(index, vocabulary, unsized_questions(spark), "doc", "id", "text")
+        assert "SortMergeJoin" not in plan(R.with_documents(hits, spark.read.parquet(str(tmp_path / "docs")), "doc", "id"))
