@@ -95,9 +95,10 @@ def top_per_question(scores: DataFrame, question: str, doc: str, k: int) -> Data
 def question_vectors(questions: DataFrame, question: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """(question, bucket, term, q_weight, df, max_weight, idf) of the question terms found in the vocabulary.
 
-    Terms outside the vocabulary count in the length of the question but carry no weight.
+    Terms outside the vocabulary count in the length of the question but carry no weight. The
+    terms are stored first: by their size the optimizer sees that the vocabulary need not travel.
     """
-    known = term_counts(questions, question, text).join(vocabulary, "term")
+    known = shared_table(term_counts(questions, question, text), "question-terms").join(vocabulary, "term")
     return _unit(known, question, ("bucket", "df", "max_weight", "idf")).withColumnRenamed("weight", "q_weight")
 
 

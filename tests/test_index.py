@@ -113,3 +113,10 @@ def test_texts_of_hits_do_not_travel(spark, tmp_path):
     with broadcast_up_to(spark, "16k"):
         hits = R.retrieve(index, vocabulary, unsized_questions(spark), "doc", "id", "text")
         assert "SortMergeJoin" not in plan(R.with_documents(hits, spark.read.parquet(str(tmp_path / "docs")), "doc", "id"))
+
+
+def test_vocabulary_does_not_travel_to_few_questions(spark, tmp_path):
+    _, d = corpus(spark)
+    _, vocabulary = R.write_index(d, "doc", "text", str(tmp_path / "ix"), buckets=4)
+    with broadcast_up_to(spark, "16k"):
+        assert "SortMergeJoin" not in plan(R.question_vectors(unsized_questions(spark), "id", "text", vocabulary))
