@@ -105,8 +105,8 @@ def question_vectors(questions: DataFrame, question: str, text: str, vocabulary:
 def _dots(index: Index, terms: DataFrame, doc: str, question: str, k: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """(question, doc, score, block, code): dot products over shared terms, whole in the block of the text.
 
-    Only packed postings of the terms asked for leave the scan. With ``k`` a block returns its k
-    best per question; ``only`` (question, block, code) names the texts that are scored.
+    Only postings of the terms asked for leave the scan. With ``k`` a block returns its k best per
+    question; for questions that ``only`` (question, block, code) has, these texts alone are scored.
     """
     n_terms, n_questions = terms.agg(F.count_distinct("term"), F.approx_count_distinct(question)).first()
     groups, parts = -(-n_terms // ASKED) or 1, -(-n_questions // TOGETHER) or 1
@@ -119,11 +119,14 @@ def _dots(index: Index, terms: DataFrame, doc: str, question: str, k: int | None
         some = postings_of(postings, wanted)
         found = some if found is None else found.unionByName(some)
     part = F.pmod(F.xxhash64(question), F.lit(parts)).cast("int").alias("part")
-    hits = found.join(terms, ["bucket", "term"]).select(
-        "block", part, question, "docs", "n", (F.col("q_weight") * F.col("idf")).alias("f"), F.lit(None).cast("array<int>").alias("only"))
+    hits = found.join(terms, ["bucket", "term"])
     if only is not None:
-        hits = hits.join(only.select("block", question).distinct(), ["block", question], "left_semi")
-        hits = hits.unionByName(only.groupBy("block", question).agg(F.collect_list("code").alias("only")).select(
+        asked, here = only.groupBy(question).agg(F.lit(True).alias("_limited")), only.groupBy("block", question).agg(F.collect_list("code").alias("only"))
+        hits = hits.join(asked, question, "left").join(here.select("block", question, F.lit(True).alias("_here")), ["block", question], "left")
+        hits = hits.filter(F.col("_limited").isNull() | F.col("_here"))
+    hits = hits.select("block", part, question, "docs", "n", (F.col("q_weight") * F.col("idf")).alias("f"), F.lit(None).cast("array<int>").alias("only"))
+    if only is not None:
+        hits = hits.unionByName(here.select(
             "block", part, question, F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("n"), F.lit(None).cast("double").alias("f"), "only"))
     texts = index.texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return block_scores(hits, texts, ["block", "part"], terms.schema[question], StructField(doc, index.texts.schema["keys"].dataType.elementType), k)
@@ -138,9 +141,9 @@ def retrieve(
     Each question's rarest terms, a share ``first`` of them, are matched with their documents.
     The largest possible contribution of its other terms is known from the vocabulary; where it
     cannot lift a document over the k-th best score found so far, only the documents that can
-    still reach the top k look these terms up, in their block. Questions without such a
-    guarantee are matched on all terms, of which each block returns the k best, so the result is
-    exact in every case.
+    still reach the top k are scored on all terms, in their block. Questions without such a
+    guarantee are scored for all documents, in the same scan; each block returns its k best, so
+    the result is exact in every case.
 
     Question vectors, first scores, lookups and hits are read several times and are stored in
     between, which also tells the optimizer their true size for the joins with other tables.
@@ -158,14 +161,12 @@ def retrieve(
         # scores are compared at six decimals, hence the margin
         decided = shared_table(bound.join(kth, question, "left").withColumn(
             "settled", F.coalesce(F.col("bound") < F.col("kth") - 2e-6, F.lit(False))), "settled")
-        settled, unsettled = decided.filter("settled").select(question, "bound", "kth"), decided.filter(~F.col("settled")).select(question)
         lookups = shared_table(
-            scores.join(settled, question).filter(F.col("score") + F.col("bound") >= F.col("kth") - 2e-6).select(question, "block", "code"), "lookups")
-        found = _dots(index, hot.join(settled.select(question), question), doc, question, only=lookups)
-        whole = _dots(index, q.join(unsettled, question), doc, question, k)
+            scores.join(decided.filter("settled").select(question, "bound", "kth"), question).filter(F.col("score") + F.col("bound") >= F.col("kth") - 2e-6).select(question, "block", "code"), "lookups")
+        whole = _dots(index, q.join(decided.select(question), question), doc, question, k, lookups)
         columns = [question, doc, "score"]
-        part = scores.join(unsettled, question, "left_anti").select(columns)
-        total = part.unionByName(found.select(columns)).unionByName(whole.select(columns)).groupBy(question, doc).agg(F.sum("score").alias("score"))
+        part = scores.join(decided.select(question), question, "left_anti").select(columns)
+        total = part.unionByName(whole.select(columns)).groupBy(question, doc).agg(F.sum("score").alias("score"))
         return shared_table(top_per_question(total.filter(F.col("score") > 0), question, doc, k), "hits")
 
 

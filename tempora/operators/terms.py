@@ -391,18 +391,18 @@ def term_shares(postings: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def postings_of(postings: DataFrame, wanted: pa.StringArray) -> DataFrame:
-    """(bucket, term, block, docs, n): the packed places and counts of some terms in each block."""
+    """(bucket, term, block, docs, n): the places and counts of some terms in each block, as bytes."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, bucket, terms, held, doc, n in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "terms", "held", "docs", "n")), strict=True):
                 terms = _unpack_strings(terms)
                 at = np.flatnonzero(pc.is_in(terms, value_set=wanted).to_numpy(zero_copy_only=False))
                 if len(at):
-                    ends, doc, n = np.append(0, np.cumsum(_unpack(held))), _unpack(doc), _unpack(n)
+                    ends, doc, n = np.append(0, np.cumsum(_unpack(held))), _unpack(doc).astype("<u4"), _unpack(n).astype("<u4")
                     cuts = [slice(s, e) for s, e in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([bucket] * len(at), pa.int32()), terms.take(pa.array(at)), pa.array([name] * len(at), pa.string()),
-                         pa.array([_pack(doc[c]) for c in cuts], pa.binary()), pa.array([_pack(n[c]) for c in cuts], pa.binary())], ["bucket", "term", "block", "docs", "n"])
+                         pa.array([doc[c].tobytes() for c in cuts], pa.binary()), pa.array([n[c].tobytes() for c in cuts], pa.binary())], ["bucket", "term", "block", "docs", "n"])
 
     return postings.select("block", "bucket", "terms", "held", "docs", "n").mapInArrow(find, "bucket int, term string, block string, docs binary, n binary")
 
@@ -429,10 +429,10 @@ def block_scores(hits: DataFrame, texts: DataFrame, by: list[str], question: Str
         docs, n, f, only = (rows.column(c).to_pylist() for c in ("docs", "n", "f", "only"))
         out = []
         for rs in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            met = [(_unpack(docs[r]), _unpack(n[r]) * f[r]) for r in rs.tolist() if only[r] is None]
+            met = [(np.frombuffer(docs[r], "<u4"), np.frombuffer(n[r], "<u4") * f[r]) for r in rs.tolist() if only[r] is None]
             if not met:
                 continue
-            code, at = np.unique(np.concatenate([d for d, _ in met]), return_inverse=True)
+            code, at = np.unique(np.concatenate([d for d, _ in met]).astype(np.int64), return_inverse=True)
             s = np.bincount(at, np.concatenate([w for _, w in met])) / length[code]
             if some := [only[r] for r in rs.tolist() if only[r] is not None]:
                 kept = np.isin(code, np.concatenate([np.asarray(x, np.int64) for x in some]))
